@@ -26,39 +26,53 @@ from .graph import connected_components
 BITS = 31
 #: An anchor with more rows than this is compared in blocks, dealt over many tasks.
 BLOCK = 8192
+#: A side of at most so many ids, counted first, is broadcast.
+BROADCAST_ROWS = 500_000
 #: Shingles hashed at a time, so that memory doesn't grow with a text.
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, n: int = 3) -> int:
-    """The 64-bit fingerprint of a text, unsigned; 0 if it has no words."""
+def _stream(hashes: np.ndarray, part: int) -> np.ndarray:
+    """The hashes for one part of a longer fingerprint; part 0 has them as they are."""
+    if not part:
+        return hashes
+    x = hashes * np.uint64((2 * part + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF | 1)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def simhash(text: str | None, n: int = 3, parts: int = 1) -> list[int]:
+    """The fingerprint of a text as unsigned numbers of 64 bits, one a part; zeros if it has no words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    count = max(1, len(words) - n + 1)
-    if len(words) < n:
-        n = len(words)
-    ones = np.zeros(64, np.int64)
+        return [0] * parts
+    n = min(n, len(words))
+    count = len(words) - n + 1
+    ones = np.zeros((parts, 64), np.int64)
     for at in range(0, count, CHUNK):
-        part = words[at : at + CHUNK + n - 1]
-        grams = map(b" ".join, zip(*(part[k:] for k in range(n)), strict=False))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(part) - n + 1)
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+        some = words[at : at + CHUNK + n - 1]
+        grams = map(b" ".join, zip(*(some[k:] for k in range(n)), strict=False))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(some) - n + 1)
+        for part in range(parts):
+            bits = np.unpackbits(_stream(hashes, part).view(np.uint8), bitorder="little")
+            ones[part] += bits.reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > count, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as a signed long) of each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, n: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fps: array of signed longs) of each row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([simhash(t.as_py(), n) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], [id_col, "fp"])
+            values = np.array([simhash(t.as_py(), n, parts) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
+            offsets = np.arange(0, len(values) + 1, parts, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))], [id_col, "fps"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fps array<bigint>")
 
 
 def _masks() -> list[list[int]]:
@@ -79,18 +93,19 @@ def _syndrome(word):
 
 
 def replicate(fps: DataFrame) -> DataFrame:
-    """(half, anchor, fp, own) for every anchor within 2 of a fingerprint's halves; own marks its nearest one."""
+    """(half, anchor, fp, own, node) for every anchor within 2 of the halves of each (node, part, fp); own: the nearest."""
     table = F.array(*[F.array(*[F.lit(m) for m in row]) for row in _masks()])
     low = F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     high = F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    halves = fps.select("fp", F.posexplode(F.array(low, high)).alias("half", "word"))
-    spread = halves.select("fp", "half", "word", F.posexplode(F.element_at(table, _syndrome(F.col("word")) + 1)).alias("k", "mask"))
-    return spread.select("half", F.col("word").bitwiseXOR(F.col("mask")).alias("anchor"), "fp", (F.col("k") == 0).alias("own"))
+    halves = fps.select("node", "fp", "part", F.posexplode(F.array(low, high)).alias("half", "word"))
+    halves = halves.withColumn("half", F.col("half") + 2 * F.col("part"))
+    spread = halves.select("node", "fp", "half", "word", F.posexplode(F.element_at(table, _syndrome(F.col("word")) + 1)).alias("k", "mask"))
+    return spread.select("half", F.col("word").bitwiseXOR(F.col("mask")).alias("anchor"), "fp", (F.col("k") == 0).cast("int").alias("own"), "node")
 
 
-def _forest(own: np.ndarray, every: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between own and every fingerprint of an anchor."""
-    labels = {int(x): int(x) for x in every}
+def _forest(own: np.ndarray, fps: np.ndarray, nodes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the own rows and all rows of an anchor."""
+    labels = {x: x for x in nodes.tolist()}
 
     def root(x: int) -> int:
         while labels[x] != x:
@@ -98,93 +113,91 @@ def _forest(own: np.ndarray, every: np.ndarray, limit: int) -> list[tuple[int, i
             x = labels[x]
         return x
 
-    edges = []
-    values, signed = every.view(np.uint64), every
-    for x in own:
-        for y in signed[np.bitwise_count(values ^ np.uint64(int(x) & 0xFFFFFFFFFFFFFFFF)) <= limit].tolist():
-            a, b = root(labels.setdefault(int(x), int(x))), root(y)
+    edges, values = [], fps.view(np.uint64)
+    for i in np.flatnonzero(own).tolist():
+        x = int(nodes[i])
+        for y in nodes[np.bitwise_count(values ^ values[i]) <= limit].tolist():
+            a, b = root(x), root(y)
             if a != b:
                 labels[b] = a
-                edges.append((int(x), y))
+                edges.append((x, y))
     return edges
 
 
+#: Rows of _compare: half, anchor, fp, own, node and the cell (i, j); what tells one comparison from the next.
+_KEY = [0, 1, 5, 6]
+LINKS = "a long, b long, half int, anchor int, fp long, own int"
+
+
 def _compare(limit: int, block: int | None):
     """Compare the rows of each anchor, which come sorted; anchors over block rows are handed on as they are."""
 
+    def handed(edges: list, rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "half", "anchor", "fp", "own"]
+        if edges:
+            e, none = np.array(edges, np.int64), pa.nulls(len(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int32())], names)
+        for r in rest:
+            if len(r):
+                small = [pa.array(r[:, k].astype(np.int32)) for k in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(r[:, 4]), pa.nulls(len(r)).cast(pa.int64()), *small[:2], pa.array(r[:, 2]), small[2]], names)
+
+    def settle(rows: np.ndarray) -> tuple[list, list]:
+        """Whole anchors: those with a partner are compared."""
+        cuts = np.flatnonzero((rows[1:, _KEY] != rows[:-1, _KEY]).any(1)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
+        pairs = (np.add.reduceat(rows[:, 3], starts) > 0) & (ends - starts > 1)
+        edges, rest = [], []
+        for i, j in zip(starts[pairs].tolist(), ends[pairs].tolist(), strict=True):
+            part = rows[i:j]
+            if block and j - i > block:
+                rest.append(part)
+            else:
+                edges += _forest(part[:, 3] == 1, np.ascontiguousarray(part[:, 2]), part[:, 4], limit)
+        return edges, rest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "half", "anchor", "own"]
         held: list[np.ndarray] = []
         held_rows, over = 0, None
-
-        def out(edges: list, rest: list[np.ndarray]):
-            if edges:
-                e = np.array(edges, np.int64)
-                none = pa.nulls(len(e))
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.bool_())], names)
-            for r in rest:
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(r[:, 2]), pa.nulls(len(r)).cast(pa.int64()), pa.array(r[:, 0].astype(np.int32)), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 3] == 1)], names)
-
-        def settle(rows: np.ndarray):
-            """Whole anchors: those with a partner to compare."""
-            cuts = np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 4] != rows[:-1, 4]) | (rows[1:, 5] != rows[:-1, 5])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
-            owned = np.add.reduceat(rows[:, 3], starts) > 0
-            edges, rest = [], []
-            for i, j in zip(starts[owned & (ends - starts > 1)].tolist(), ends[owned & (ends - starts > 1)].tolist(), strict=True):
-                if block and j - i > block:
-                    rest.append(rows[i:j])
-                    continue
-                part = rows[i:j]
-                edges += _forest(np.ascontiguousarray(part[part[:, 3] == 1, 2]), np.ascontiguousarray(part[:, 2]), limit)
-            return edges, rest
-
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(k).cast(pa.int64())) for k in range(6)], axis=1)
+            rows = np.stack([np.asarray(batch.column(k).cast(pa.int64())) for k in range(7)], axis=1)
             if not len(rows):
                 continue
-            key = tuple(rows[-1, [0, 1, 4, 5]])
-            first = np.flatnonzero((rows[:, [0, 1, 4, 5]] == np.array(key)).all(1))[0]  # the last anchor may go on
-            head, tail = rows[:first], rows[first:]
-            if over is not None:  # an anchor that is handed on
-                same = (rows[:, [0, 1, 4, 5]] == np.array(over)).all(1)
-                yield from out([], [rows[same]])
-                if same.all():
+            key = tuple(rows[-1, _KEY].tolist())
+            if over is not None:  # the rest of an anchor that is handed on
+                same = (rows[:, _KEY] == np.array(over)).all(1)
+                yield from handed([], [rows[same]])
+                rows = rows[~same]
+                if not len(rows):
                     continue
-                head = head[~same[:first]]
                 over = None
-            if len(head):
-                yield from out(*settle(np.concatenate([*held, head])))
-                held, held_rows = [], 0
-            elif held and tuple(held[-1][-1, [0, 1, 4, 5]]) != key:
-                yield from out(*settle(np.concatenate(held)))
+            last = (rows[:, _KEY] == np.array(key)).all(1)  # this anchor may go on in the next batch
+            head, tail = rows[~last], rows[last]
+            if held and (len(head) or tuple(held[-1][-1, _KEY].tolist()) != key):
+                yield from handed(*settle(np.concatenate([*held, head])))
                 held, held_rows = [], 0
+            elif len(head):
+                yield from handed(*settle(head))
             held.append(tail)
             held_rows += len(tail)
-            if block and held_rows > block:
-                rest = np.concatenate(held)
-                mine = (rest[:, [0, 1, 4, 5]] == np.array(key)).all(1)
-                if not mine.all():
-                    yield from out(*settle(rest[~mine]))
-                yield from out([], [rest[mine]])
+            if block and held_rows > block:  # all of one anchor
+                yield from handed([], held)
                 held, held_rows, over = [], 0, key
         if held:
-            yield from out(*settle(np.concatenate(held)))
+            yield from handed(*settle(np.concatenate(held)))
 
     return run
 
 
 def links(fps: DataFrame, limit: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that span the components of distinct fingerprints (column fp) at Hamming distance limit or less."""
-    if not 0 <= limit <= 3:
-        raise ValueError("the anchors cover distances up to 3")
-    schema = "a long, b long, half int, anchor int, own boolean"
+    """(a, b): links between nodes of (node, part, fp) that span what is within limit bits in a part.
+
+    All links of up to 3 bits are spanned; beyond that, those whose halves happen to share an anchor.
+    """
     keys = ["half", "anchor", "i", "j"]
-    spread = replicate(fps).withColumns({"own": F.col("own").cast("int"), "i": F.lit(0), "j": F.lit(0)})
-    spread = spread.select("half", "anchor", "fp", "own", "i", "j")
+    spread = replicate(fps).select("half", "anchor", "fp", "own", "node", F.lit(0).alias("i"), F.lit(0).alias("j"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartition(n, "half", "anchor").sortWithinPartitions(*keys).mapInArrow(_compare(limit, block), schema)
+    found = spread.repartition(n, "half", "anchor").sortWithinPartitions(*keys).mapInArrow(_compare(limit, block), LINKS)
     found = materialize(found, "simhash-links")
     edges, rest = found.filter("b is not null").select("a", "b"), found.filter("b is null")
     if rest.isEmpty():
@@ -192,10 +205,11 @@ def links(fps: DataFrame, limit: int = 3, block: int = BLOCK) -> DataFrame:
     # Anchors beyond a block: own rows in blocks i, all rows in blocks j, each cell of the grid by itself.
     sizes = rest.groupBy("half", "anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     grid = rest.join(sizes, ["half", "anchor"]).withColumn("at", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
-    every = grid.select("half", "anchor", F.col("a").alias("fp"), F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("at").alias("j"))
-    own = grid.filter("own").select("half", "anchor", F.col("a").alias("fp"), F.lit(1).alias("own"), F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    every = grid.select("half", "anchor", "fp", F.lit(0).alias("own"), F.col("a").alias("node"), all_blocks.alias("i"), F.col("at").alias("j"))
+    own = grid.filter("own = 1").select("half", "anchor", "fp", "own", F.col("a").alias("node"), F.col("at").alias("i"), all_blocks.alias("j"))
     cells = every.union(own).repartition(n, *keys).sortWithinPartitions(*keys)
-    more = cells.mapInArrow(_compare(limit, None), schema).select("a", "b")
+    more = cells.mapInArrow(_compare(limit, None), LINKS).select("a", "b")
     return edges.union(materialize(more, "simhash-cells"))
 
 
@@ -203,14 +217,61 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, id_col: str = "
     """(id, fp, component_id) for each row of docs.
 
     Words are lower-cased in A-Z; a fingerprint bit is 1 if it is set in over half the shingles. component_id is the
-    smallest id that is reachable over links of at most limit bits. A null text counts as empty, an empty text has
-    fingerprint zero and links like any other; a row with a null id keeps its place and never names a component;
+    smallest id that is reachable over links of at most limit (0 to 3) bits. A null text counts as empty, an empty text
+    has fingerprint zero and links like any other; a row with a null id keeps its place and never names a component;
     repeated rows stay. Other columns of docs are not read.
     """
-    table = materialize(fingerprints(docs, n, id_col, text_col), "simhash-fp")
+    if not 0 <= limit <= 3:
+        raise ValueError("the anchors cover distances up to 3")
+    table = materialize(fingerprints(docs, n, 1, id_col, text_col).select(id_col, F.element_at("fps", 1).alias("fp")), "simhash-fp")
     least = materialize(table.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = connected_components(links(least.select("fp"), limit)).withColumnRenamed("node", "fp")
+    roots = connected_components(links(least.select(F.col("fp").alias("node"), F.lit(0).alias("part"), "fp"), limit)).withColumnRenamed("node", "fp")
     named = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     return table.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def similar_groups(docs: DataFrame, n: int = 2, parts: int = 6, share: float = 0.104, candidate_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id) of the documents that have a near copy; group_id is the smallest id of the group.
+
+    Three bits of one 64-bit fingerprint tell copies with a word or two changed; texts whose five-word shingles have a
+    Jaccard similarity of 0.8 differ in more. So the fingerprint has `parts` parts over n-word shingles, candidates
+    share an anchor in any half of a part, and they are linked if at most `share` of all bits differ: a changed word
+    changes 2 of the 2-word shingles where it changes 5 of the 5-word ones, and 0.104 is the share of bits that a
+    similarity of 0.8 in five-word shingles comes to. Equal texts are one candidate. Rows with a null id take no
+    part; null texts count as empty, and documents without words are copies of each other.
+    """
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    table = fingerprints(named, n, parts, "node", "t")
+    table = materialize(table, "similar-fp")
+    least = materialize(table.groupBy("fps").agg(F.min("node").alias("least")), "similar-distinct")
+    each = least.select(F.col("least").alias("node"), F.posexplode("fps").alias("part", "fp"))
+    pairs = links(each, candidate_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = least.select(F.col("least").alias("a"), F.col("fps").alias("x"))
+    right = least.select(F.col("least").alias("b"), F.col("fps").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    near = pairs.join(left, "a").join(right, "b").filter(differ <= int(share * 64 * parts)).select("a", "b")
+    roots = materialize(connected_components(near), "similar-roots")
+    smallest = roots.groupBy("root").agg(F.min("node").alias("group_id"))
+    groups = roots.join(smallest, "root").select(F.col("node").alias("least"), "group_id")
+    every = table.join(least, "fps").select("node", "least").join(groups, "least", "left")
+    every = every.select(F.col("node").alias(id_col), F.coalesce("group_id", "least").alias("group_id"))
+    return every
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of near copies, that of the smallest id; all columns as they are.
+
+    A repeated id stays once. Rows with a null id stay.
+    """
+    groups = materialize(similar_groups(docs, id_col=id_col, text_col=text_col, **options), "similar-groups")
+    out = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("out")).distinct()
+    out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    kept = docs.join(out, docs[id_col] == F.col("out"), "left_anti")
+    repeated = groups.groupBy(id_col).count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    again = materialize(repeated.select(F.col(id_col).alias("again")), "similar-again")
+    once = kept.join(again, kept[id_col] == F.col("again"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col] == F.col("again"), "left_anti").unionByName(once)

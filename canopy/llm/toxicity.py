@@ -212,3 +212,20 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, n_windows long, worst int")
+
+
+def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs without the rows that are predicted toxic; all columns as they are, scored where they are read."""
+    key, at = f"toxicity-{zlib.crc32(repr(model).encode()):08x}", docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = per_process(key, lambda: Distance(*model["dictionaries"]))
+        weights = np.array(model["weights"])
+        for batch in batches:
+            keep = []
+            for text in batch.column(at):
+                parts = windows(text.as_py() or "", model["window"])
+                keep.append(float(np.dot(features([s for s in map(distance.__getitem__, parts) if s > 0], len(parts)), weights)) < 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
