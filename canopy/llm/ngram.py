@@ -28,10 +28,10 @@ from .common import local_path, materialize, new_path, per_process
 
 #: The end of a text; no word can be a line feed.
 END = b"\n"
-#: Tokens looked up at a time, and words remembered in a worker.
-CHUNK, MEMO = 1 << 21, 700_000
+#: Tokens numbered at a time, tokens looked up at a time, and words remembered in a worker.
+BLOCK, CHUNK, MEMO = 1 << 17, 1 << 20, 250_000
 #: Keys in a shard of a level.
-SHARD = 4_000_000
+SHARD = 1_000_000
 STEP = 2048.0
 
 
@@ -238,23 +238,44 @@ def _first(lengths: list[int]) -> np.ndarray:
     return first
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows with the tokens of their texts, about CHUNK tokens at a time."""
-    rows, texts, size = [], [], 0
+def _chunks(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[int], np.ndarray]]:
+    """Rows, the lengths of their texts and the word numbers of all, about CHUNK tokens at a time.
+
+    Tokens are numbered in blocks, so that few of them are objects at once.
+    """
+    rows, lengths, parts, some, size = [], [], [], [], 0
+
+    def number() -> None:
+        nonlocal some, size
+        if some:
+            parts.append(model.numbers(some))
+        some, size = [], 0
+
     for batch in batches:
-        for i, text in enumerate(batch.column(column)):
+        for i in range(batch.num_rows):
+            some.append(tokens(batch.column(column)[i].as_py()))
             rows.append(batch.column(0)[i].as_py() if column else None)
-            texts.append(tokens(text.as_py()))
-            size += len(texts[-1])
-            if size >= CHUNK:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-    if texts:
-        yield rows, texts
+            lengths.append(len(some[-1]))
+            size += lengths[-1]
+            if size >= BLOCK:
+                number()
+                if sum(map(len, parts)) >= CHUNK:
+                    yield rows, lengths, np.concatenate(parts)
+                    rows, lengths, parts = [], [], []
+    number()
+    if rows:
+        yield rows, lengths, np.concatenate(parts)
 
 
 def _model(about: dict) -> Model:
-    return per_process(("ngram", about["id"], len(about["levels"])), lambda: Model(about))
+    """The model in this worker; a later one of the same vocabulary takes over the words that are remembered."""
+    held = per_process("ngram", dict)
+    if held.get("id") != about["id"]:
+        old, model = held.get("model"), Model(about)
+        if old is not None and old.about["vocabulary"] == about["vocabulary"]:
+            model.known = old.known
+        held.update(id=about["id"], model=model)
+    return held["model"]
 
 
 def _vocabulary(texts: DataFrame) -> DataFrame:
@@ -285,8 +306,8 @@ def _grams(texts: DataFrame, about: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(about)
-        for _, some in _chunks(batches, 0):
-            words, first = model.numbers(some), _first([len(t) for t in some])
+        for _, lengths, words in _chunks(model, batches, 0):
+            first = _first(lengths)
             context = model.contexts(words, first, len(about["levels"]))[-1]
             before = np.concatenate(([-1], context[:-1]))
             there = (before >= 0) & ~first
@@ -333,7 +354,7 @@ def train(texts: DataFrame, order: int = 3, least: int = 2, discount: float = 0.
     unigrams = materialize(_vocabulary(texts), "ngram-1")
     total = unigrams.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     shift = max(1, int(total.v).bit_length())
-    about = {"id": uuid.uuid4().hex, "order": order, "shift": shift, "types": int(total.v), "tokens": int(total.n), "levels": [], "weights": []}
+    about = {"id": uuid.uuid4().hex, "vocabulary": uuid.uuid4().hex, "order": order, "shift": shift, "types": int(total.v), "tokens": int(total.n), "levels": [], "weights": []}
     about["levels"].append(_write(unigrams, total.v, f"{folder}/1", lambda keys, n: ({"keys": keys, "n": n}, {})))
     for level in range(2, order + 1):
         counted = materialize(_grams(texts, about).filter(F.col("n") >= least), f"ngram-{level}")
@@ -373,9 +394,8 @@ def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(about)
-        for rows, some in _chunks(batches, 1):
-            lengths = [len(t) for t in some]
-            words, first, starts = model.numbers(some), _first(lengths), np.cumsum([0, *lengths[:-1]])
+        for rows, lengths, words in _chunks(model, batches, 1):
+            first, starts = _first(lengths), np.cumsum([0, *lengths[:-1]])
             counts = np.zeros(len(words))
             counts[words >= 0] = model.levels[0].values(words[words >= 0], "n")
             p = base = (counts + 0.5) / (about["tokens"] + 0.5 * (about["types"] + 1))
