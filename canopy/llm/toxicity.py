@@ -45,7 +45,7 @@ def windows(text: str, size: int) -> list[str]:
 class Distance(dict):
     """Bytes saved by the toxic dictionary on a window; remembered, for at most `most` windows."""
 
-    def __init__(self, toxic: str, ordinary: str, most: int = 1_000_000):
+    def __init__(self, toxic: str, ordinary: str, most: int = 500_000):
         import zstandard as zs
 
         super().__init__()
@@ -74,30 +74,45 @@ class Distance(dict):
         return saved
 
 
-def _fragments(text: str) -> Iterator[tuple[str, tuple[str, str]]]:
-    """Words and their beginnings, each with the words around it."""
-    words = text.lower().split()
-    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        word = f" {word} "
-        for k in {*range(4, min(len(word), 13)), len(word)}:
-            yield word[:k], (before, after)
+def _fragments(word: str) -> Iterator[str]:
+    """A word between blanks, and its beginnings of 4 to 12 characters."""
+    word = f" {word} "
+    for k in {*range(4, min(len(word), 13)), len(word)}:
+        yield word[:k]
+
+
+def _frequent(docs: list[set[str]], floor: float) -> dict[str, int]:
+    """In how many documents each fragment is, for those that are in floor or more: shorter ones first, as a fragment is no more frequent than its beginning."""
+    found: dict[str, int] = {}
+    for k in range(4, 14):
+        counts: Counter = Counter()
+        for doc in docs:
+            seen = set()
+            for word in doc:
+                word = f" {word} "
+                if len(word) >= k and (k == 4 or word[: k - 1] in found):
+                    seen.add(word[:k] if k < 13 else word)
+            counts.update(seen)
+        found |= {f: n for f, n in counts.items() if n >= floor}
+    return found
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str], common_words: int = 1500, least: int = 3) -> tuple[str, str]:
     """The toxic fragments and the ordinary words, each as the text of a dictionary."""
-    tox_docs, ord_docs, contexts = Counter(), Counter(), defaultdict(set)
-    plain = Counter()
+    floor = max(least, 0.015 * len(toxic))
+    tox_docs = _frequent([set(t.lower().split()) for t in toxic], floor)
+    ord_docs, contexts, plain = Counter(), defaultdict(set), Counter()
     for text in toxic:
-        seen = set()
-        for fragment, around in _fragments(text):
-            seen.add(fragment)
-            if len(contexts[fragment]) < 64:  # enough to tell copies from contexts
-                contexts[fragment].add(around)
-        tox_docs.update(seen)
-    keep = {f for f, n in tox_docs.items() if n >= least and len(contexts[f]) >= least}
+        words = text.lower().split()
+        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for f in _fragments(word):
+                if f in tox_docs and len(contexts[f]) < 64:  # enough to tell copies from contexts
+                    contexts[f].add((before, after))
+    keep = {f for f in tox_docs if len(contexts[f]) >= least}
     for text in ordinary:
-        plain.update(text.lower().split())
-        ord_docs.update(keep.intersection(f for f, _ in _fragments(text)))
+        words = text.lower().split()
+        plain.update(words)
+        ord_docs.update({f for w in set(words) for f in _fragments(w) if f in keep})
     n_t, n_o = len(toxic) + 1, len(ordinary) + 1
 
     def support(f: str) -> float:
@@ -110,7 +125,6 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], common_words: int
         odds = np.log(a / n_t) - np.log(b / n_o)
         return odds, odds - 1.64 * np.sqrt(1 / a + 1 / b)
 
-    floor = max(least, 0.015 * len(toxic))
     found = [f for f in keep if support(f) >= floor and weight(f)[0] > 2 and weight(f)[1] > 0.5]
     chosen: list[str] = []
     for f in sorted(found, key=lambda f: (-round(weight(f)[1], 1), -len(f), f)):
@@ -145,7 +159,7 @@ def fit(texts: list[str], labels: list[int], window: int = 1) -> dict:
         for part in (0, 1):
             seen = [i for i in range(len(texts)) if side[i] != part]
             toxic, ordinary = ({texts[i] for i in seen if labels[i] == v} for v in (1, 0))
-            distance = Distance(*train_dictionaries(sorted(toxic), sorted(ordinary)))
+            distance = Distance(*train_dictionaries(sorted(toxic), sorted(ordinary)), most=200_000)
             for t, i in first.items():
                 if side[i] != part:
                     continue
