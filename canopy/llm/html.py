@@ -27,6 +27,8 @@ SKIP = frozenset(
     "aside audio button canvas datalist dialog fieldset footer form frameset head iframe input label legend map menu nav noscript object optgroup option "
     "script select style svg template textarea title video".split()
 )
+#: Elements that can be a content region.
+REGIONS = frozenset("article body center div fieldset html main section table tbody td".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Parts of class and id names that mark what isn't article text.
 MARKS = frozenset(
@@ -72,7 +74,7 @@ class _Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, bool(self.stack) and self.stack[-1][1], tuple(x[2] for x in self.stack)))
+                self.lines.append((text, self.tags, bool(self.stack) and self.stack[-1][1], tuple(x[2] for x in self.stack if x[3] or x[0] in REGIONS)))
                 self.tags = 0
             self.text = []
 
