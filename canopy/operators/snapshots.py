@@ -84,3 +84,26 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
+
+
+def manifest_lookup(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
+    """wanted (source, level, format) with the output that was last recorded for it, null where there's none."""
+    last = manifest.groupBy("source", "level", "format").agg(F.max_by("output", "recorded").alias("output"))
+    return wanted.join(last, ["source", "level", "format"], "left")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of counts from (status): how a batch went; failed if nothing went well."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "failed", "reused", "added", "removed")]
+    return outcomes.agg(*counts).withColumn("all_failed", (F.col("ok") + F.col("reused") == 0) & (F.col("failed") > 0))
+
+
+def diagnostics(checks: DataFrame) -> DataFrame:
+    """(group, worst) of checks (group, status): fail over warn over ok."""
+    rank = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
+    return checks.groupBy("group").agg(F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), rank + 1).alias("worst"))
+
+
+def first_items(items: DataFrame, most: int, *order) -> DataFrame:
+    """The first items in an order, the same ones each time."""
+    return items.orderBy(*order).limit(most)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, enumeration, heuristic, provider, segments, snapshots, trees
-from ..sources import markdown, subtitles
+from ..operators import anchors, enumeration, heuristic, outlines, provider, segments, snapshots, trees
+from ..sources import article, markdown, subtitles
 from ..streaming import events as streams
 from . import maps
 
@@ -423,3 +423,53 @@ def source_kinds(spark, sf_dir):
 @query()
 def article_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_title(F.col("url")).alias("title"))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS page, count(*) OVER (PARTITION BY conv_id) AS n, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM conversations),
+  o AS (SELECT conv_id, page AS seq, role_title, page FROM (SELECT f.*, 'T' || page AS role_title FROM f) WHERE page % 2 = 0)
+  SELECT o.conv_id AS source, CAST(o.seq // 2 AS INTEGER) AS seq, o.role_title AS title, string_agg(f.text, ' ' ORDER BY f.page) FILTER (WHERE f.text <> '') AS text
+  FROM o JOIN f ON f.conv_id = o.conv_id AND f.page >= o.page AND f.page < o.page + 2 GROUP BY ALL""")
+def outline_leaf_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    pages = rows.select(F.col("conv_id").alias("source"), (F.row_number().over(order) - 1).alias("seq"), T.collapse(F.coalesce("text", F.lit(""))).alias("text"))
+    heads = pages.filter("seq % 2 = 0").select("source", F.floor(F.col("seq") / 2).cast("int").alias("seq"), F.lit(1).alias("level"), F.concat(F.lit("T"), F.col("seq").cast("string")).alias("title"), F.col("seq").alias("page"))
+    return outlines.leaf_texts(heads, pages).select("source", "seq", "title", F.nullif("text", F.lit("")).alias("text"))
+
+
+@query("""SELECT o_custkey AS source, CASE WHEN c_custkey % 2 = 0 THEN 'full' ELSE 'brief' END AS level, 'opml' AS format, max(o_orderkey) || '.opml' AS output
+  FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL UNION ALL
+  SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'full' ELSE 'brief' END, 'opml', NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def manifest_lookup(spark, sf_dir):
+    level = F.when(F.col("source") % 2 == 0, "full").otherwise("brief").alias("level")
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source")).select("source", level, F.lit("opml").alias("format"))
+    past = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("recorded"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".opml")).alias("output"))
+    return snapshots.manifest_lookup(wanted, past.select("*", level, F.lit("opml").alias("format")))
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'view') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'click') AS reused, count(*) FILTER (WHERE event_type = 'signup') AS added,
+  count(*) FILTER (WHERE event_type = 'purchase') AS removed, count(*) FILTER (WHERE event_type IN ('view', 'click')) = 0 AND count(*) FILTER (WHERE event_type = 'error') > 0 AS all_failed FROM events""")
+def outcome_counts(spark, sf_dir):
+    names = {"view": "ok", "error": "failed", "click": "reused", "signup": "added", "purchase": "removed"}
+    status = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
+    return snapshots.outcome_counts(table(spark, sf_dir, "events").select(status.alias("status")))
+
+
+@query()
+def article_sections(spark, sf_dir):
+    return article.sections(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, count(*) AS n_chunks, count(*) + 1 AS calls FROM chunk GROUP BY doc_id")
+def call_estimate(spark, sf_dir):
+    n = topic_chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return provider.call_estimate(n)
+
+
+@query("""SELECT n_regionkey AS map_id, CAST(k - 1 AS INTEGER) AS i, k || '. ' || list_reduce(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1:1]) || w[2:]), lambda a, b: a || ' ' || b) AS title, k * 5.0 AS timestamp
+  FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)""")
+def enumerated_map(spark, sf_dir):
+    spoken = _spoken(spark, sf_dir)
+    told, intro = enumeration.spans(spoken, enumeration.detect(spoken))
+    nodes = heuristic.enumerated_map(told.withColumnRenamed("source", "map_id"), intro.withColumnRenamed("source", "map_id"))
+    return nodes.filter(F.size("path") == 1).select("map_id", F.get("path", F.lit(0)).alias("i"), "title", "timestamp")
