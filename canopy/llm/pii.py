@@ -29,6 +29,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^ \t-\r]+")
 _DIGIT = re.compile(r"[0-9]")
+#: Up to so many texts with additions, counted first, are broadcast.
+BROADCAST_ROWS = 100_000
 #: Token edges that don't belong to an identifier.
 _EDGE = ".,;:!?\"'()[]<>{}"
 
@@ -179,7 +181,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     flat = rows.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
     found = bootstrap(flat.select("surface", "seed", "kinds", "before", "after"), **options)
     more = flat.filter("seed is null").join(found.select("surface", "kind"), "surface").select("key", F.struct(F.col("kind").alias("k"), "s", "e").alias("x"))
-    more = more.groupBy("key").agg(F.collect_set("x").alias("more"))
+    more = materialize(more.groupBy("key").agg(F.collect_set("x").alias("more")), "pii-more")
+    # Few texts have additions; so equal texts, however many, needn't meet in one task. Beyond the bound Spark splits them.
+    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
     told = rows.join(more, "key", "left").withColumn("every", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))))
     names = F.array(*[F.lit(k) for k in KINDS])
     told_of = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
