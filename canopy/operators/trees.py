@@ -86,7 +86,8 @@ def markdown(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     depth = F.size("path")
     indent = F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0)))
     bullet = F.concat(indent, F.lit("- "), F.coalesce(tags[F.col("type")], F.lit("")), F.col("title"))
-    note = T.collapse(F.coalesce("note", F.lit("")))
+    told = T.note_with_clock(F.coalesce("note", F.lit("")), F.col("timestamp")) if "timestamp" in nodes.columns else F.coalesce("note", F.lit(""))
+    note = T.collapse(told)
     line = F.when(depth == 0, F.concat(F.lit("# "), F.col("title"), F.lit("\n"))).otherwise(F.concat(bullet, F.when(note != "", F.concat(F.lit("\n"), indent, F.lit("  *"), note, F.lit("*"))).otherwise("")))
     body = nodes.select("map_id", F.struct("path", line.alias("line")).alias("l")).groupBy("map_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     body = body.select("map_id", F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
@@ -96,7 +97,8 @@ def markdown(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     both = links.join(named.select("map_id", F.col("path").alias("a_path"), F.col("title").alias("a")), ["map_id", "a_path"], "left")
     both = both.join(named.select("map_id", F.col("path").alias("b_path"), F.col("title").alias("b")), ["map_id", "b_path"], "left")
     raw = lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), ".")
-    text = F.concat(F.lit("- "), F.coalesce("a", raw("a_path")), F.lit(" → "), F.coalesce("b", raw("b_path")), F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(": "), F.col("label"))).otherwise(""))
+    suffix = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(" ("), F.col("label"), F.lit(")"))).otherwise("")
+    text = F.concat(F.lit("- **"), F.coalesce("a", raw("a_path")), F.lit("** → **"), F.coalesce("b", raw("b_path")), F.lit("**"), suffix)
     more = both.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))).alias("r"))
     joined = body.join(more, "map_id", "left")
     tail = F.concat(F.lit("\n## Relationships\n\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n"), F.lit("\n"))

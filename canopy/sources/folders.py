@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that a listing leaves out, and files that stand out.
-IGNORED = ".git .hg .svn .venv venv env node_modules __pycache__ .pytest_cache .mypy_cache .ruff_cache .idea .vscode dist build .tox .cache .DS_Store".split()
-NOTABLE = "pyproject.toml package.json cargo.toml go.mod makefile dockerfile docker-compose.yml requirements.txt setup.py".split()
+IGNORED = (
+    ".git __pycache__ node_modules .venv venv .tox dist build .pytest_cache .mypy_cache .ruff_cache .idea .vscode target .next .nuxt coverage .cache .DS_Store"
+).split()
+NOTABLE = "package.json pyproject.toml dockerfile makefile cargo.toml go.mod setup.py requirements.txt".split()
 NOTABLE_PREFIXES = ("readme", "license", "changelog", "contributing")
 FILES = "path string, parent string, name string, is_dir boolean, size long, mtime double, depth int"
 

@@ -17,11 +17,12 @@ from ..functions.text import NODE_TYPES
 #: Content of an XMind file may not be larger.
 MOST_BYTES = 50_000_000
 NODES = "map_id string, path array<int>, node_id string, title string, type string, note string"
-# The attribute that keeps a node's type in OPML, and the markers that keep it in XMind.
-TYPE_ATTRIBUTE = "_cerebroType"
+#: The attribute that keeps a node's type in OPML; when reading, any attribute of the form _...Type is one.
+TYPE_ATTRIBUTE = "_nodeType"
+# The markers that keep a node's type in XMind.
 MARKERS = {
-    "concept": "symbol-idea", "definition": "symbol-info", "example": "symbol-pin", "insight": "star-yellow", "action": "task-start",
-    "warning": "symbol-attention", "question": "symbol-question", "detail": "flag-gray",
+    "concept": "star-blue", "definition": "symbol-info", "example": "symbol-plus", "insight": "star-yellow", "action": "symbol-right",
+    "warning": "symbol-exclam", "question": "symbol-question", "detail": "star-orange",
 }
 
 
@@ -34,7 +35,7 @@ def opml_rows(raw: bytes) -> Iterator[tuple]:
     todo = [((), top)]
     while todo:
         path, element = todo.pop()
-        kind = element.get(TYPE_ATTRIBUTE)
+        kind = next((v for k, v in element.attrib.items() if k[0] == "_" and k.endswith("Type")), None)
         yield list(path), None, element.get("text") or "", kind if kind in NODE_TYPES else "topic" if path else "root", element.get("_note") or None
         todo += [((*path, i), child) for i, child in enumerate(element.findall("outline"))]
 

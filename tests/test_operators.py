@@ -82,7 +82,7 @@ def test_tree_operators(spark):
 def test_markdown(spark):
     links = spark.createDataFrame([("m", 0, [0, 0], [1], "causes"), ("m", 1, [1], [9], "")], "map_id string, seq int, a_path array<int>, b_path array<int>, label string")
     text = trees.markdown(nodes(spark, *SMALL), links).first().content
-    assert text == "# R\n\n- [Concept] A\n  *first note*\n  - [Warning] A1\n- B\n- C\n\n## Relationships\n\n- A1 → B: causes\n- B → 9\n"
+    assert text == "# R\n\n- [Concept] A\n  *first note*\n  - [Warning] A1\n- B\n- C\n\n## Relationships\n\n- **A1** → **B** (causes)\n- **B** → **9**\n"
 
 
 def test_links_are_checked(spark):
