@@ -93,12 +93,16 @@ def shingles_column(words, n: int):
     )
 
 
-def per_process(key, make):
-    """make()'s value, kept for later tasks in the same Python worker."""
+def per_process(kind: str, version, make):
+    """make()'s value, kept for later tasks in the same Python worker: one of each kind, made anew for another version.
+
+    Workers live as long as their executor, so what several models leave behind would add up.
+    """
     import sys
     import types
 
     store = sys.modules.setdefault("_canopy_process_store", types.ModuleType("_canopy_process_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if kind not in store or store[kind][0] != version:
+        store.pop(kind, None)
+        store[kind] = version, make()
+    return store[kind][1]

@@ -269,7 +269,7 @@ def _chunks(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Ite
 
 def _model(about: dict) -> Model:
     """The model in this worker; a later one of the same vocabulary takes over the words that are remembered."""
-    held = per_process("ngram", dict)
+    held = per_process("ngram", None, dict)
     if held.get("id") != about["id"]:
         old, model = held.get("model"), Model(about)
         if old is not None and old.about["vocabulary"] == about["vocabulary"]:

@@ -32,7 +32,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
@@ -115,7 +115,7 @@ def tokenize_and_pack(docs: DataFrame, tokenizer: str, capacity: int, slack: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        encode, items, end = per_process(("words", tokenizer), lambda: WordEncoder(tokenizer)), [], b"\0\0\0\0"
+        encode, items, end = per_process("words", tokenizer, lambda: WordEncoder(tokenizer)), [], b"\0\0\0\0"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256].to_pylist()

@@ -45,7 +45,7 @@ def windows(text: str, size: int) -> list[str]:
 class Distance(dict):
     """Bytes saved by the toxic dictionary on a window; remembered, for at most `most` windows."""
 
-    def __init__(self, toxic: str, ordinary: str, most: int = 500_000):
+    def __init__(self, toxic: str, ordinary: str, most: int = 250_000):
         import zstandard as zs
 
         super().__init__()
@@ -205,10 +205,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     worst is the largest distance of a window. Null and empty texts have no window and get the score of that. Repeated
     rows are scored each; other columns aren't read; an empty table gives no rows.
     """
-    key = f"toxicity-{zlib.crc32(repr(model).encode()):08x}"
+    key = zlib.crc32(repr(model).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = per_process(key, lambda: Distance(*model["dictionaries"]))
+        distance = per_process("toxicity", key, lambda: Distance(*model["dictionaries"]))
         weights = np.array(model["weights"])
         for batch in batches:
             scores, counts, worst = [], [], []
@@ -230,10 +230,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic; all columns as they are, scored where they are read."""
-    key, at = f"toxicity-{zlib.crc32(repr(model).encode()):08x}", docs.columns.index(text_col)
+    key, at = zlib.crc32(repr(model).encode()), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = per_process(key, lambda: Distance(*model["dictionaries"]))
+        distance = per_process("toxicity", key, lambda: Distance(*model["dictionaries"]))
         weights = np.array(model["weights"])
         for batch in batches:
             keep = []
