@@ -40,4 +40,5 @@ def test_stream_equals_batch(spark, tmp_path):
     run = stream.writeStream.outputMode("complete").format("memory").queryName("windows").start()
     run.processAllAvailable()
     run.stop()
-    assert rows(spark.table("windows").drop("total").toPandas()) == rows(window_counts(events).drop("total").toPandas())
+    told = lambda df: {(str(r.start), r.event_type): r.n for r in df.collect()}
+    assert told(spark.table("windows")) == told(window_counts(events)) and spark.table("windows").count() > 0
