@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import connected_components
+from .similar import similar_groups
 
 BITS = 31
 #: An anchor with more rows than this is compared in blocks, dealt over many tasks.
@@ -232,34 +233,6 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, id_col: str = "
     return table.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, n: int = 2, parts: int = 6, share: float = 0.104, candidate_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id) of the documents that have a near copy; group_id is the smallest id of the group.
-
-    Three bits of one 64-bit fingerprint tell copies with a word or two changed; texts whose five-word shingles have a
-    Jaccard similarity of 0.8 differ in more. So the fingerprint has `parts` parts over n-word shingles, candidates
-    share an anchor in any half of a part, and they are linked if at most `share` of all bits differ: a changed word
-    changes 2 of the 2-word shingles where it changes 5 of the 5-word ones, and 0.104 is the share of bits that a
-    similarity of 0.8 in five-word shingles comes to. Equal texts are one candidate. Rows with a null id take no
-    part; null texts count as empty, and documents without words are copies of each other.
-    """
-    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    table = fingerprints(named, n, parts, "node", "t")
-    table = materialize(table, "similar-fp")
-    least = materialize(table.groupBy("fps").agg(F.min("node").alias("least")), "similar-distinct")
-    each = least.select(F.col("least").alias("node"), F.posexplode("fps").alias("part", "fp"))
-    pairs = links(each, candidate_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = least.select(F.col("least").alias("a"), F.col("fps").alias("x"))
-    right = least.select(F.col("least").alias("b"), F.col("fps").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near = pairs.join(left, "a").join(right, "b").filter(differ <= int(share * 64 * parts)).select("a", "b")
-    roots = materialize(connected_components(near), "similar-roots")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("group_id"))
-    groups = roots.join(smallest, "root").select(F.col("node").alias("least"), "group_id")
-    every = table.join(least, "fps").select("node", "least").join(groups, "least", "left")
-    every = every.select(F.col("node").alias(id_col), F.coalesce("group_id", "least").alias("group_id"))
-    return every
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest id; all columns as they are.
 

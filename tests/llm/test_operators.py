@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.llm import ann, decontamination, graph, html, langid, linededup, ngram, packing, pii, simhash, toxicity
+from canopy.llm import ann, decontamination, graph, html, langid, linededup, ngram, packing, pii, simhash, similar, toxicity
 
 LONG = "word " * 40_000
 
@@ -314,6 +314,59 @@ def test_near_copies_of_four_fifths_are_found(spark):
     assert kept.filter("doc_id % 2 = 0").count() == 60
 
 
+def test_blocks_put_in_or_taken_out_at_four_fifths(spark):
+    rng = random.Random(12)
+    make = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    texts, want = [], set()
+    for i in range(120):
+        words = make(300)
+        copy, kind, at = list(words), i % 4, rng.randrange(60, 240)
+        if kind == 0:
+            copy[at - 22 : at + 23] = []  # 45 of 300 words out
+        elif kind == 1:
+            copy[at:at] = make(62)
+        elif kind == 2:
+            copy += make(68)
+        else:
+            for k in rng.sample(range(300), 7):  # below 0.8
+                copy[k] = "x"
+        pair = [similar.shingles(" ".join(w), 5) for w in (words, copy)]
+        share = len(pair[0] & pair[1]) / len(pair[0] | pair[1])
+        assert 0.8 <= share < 0.86 if kind < 3 else 0.75 < share < 0.8 or share >= 0.8, share
+        if share >= 0.8:
+            want.add(2 * i + 1)
+        texts += [" ".join(words), " ".join(copy)]
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()}
+    assert len(want) >= 90 and kept == set(range(240)) - want
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(13)
+    texts = [None, "", " ", "a b", "A  b", "b a"]
+    for _ in range(60):
+        words = [f"v{rng.randrange(300)}" for _ in range(rng.choice([3, 5, 9, 40, 120]))]
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(words))
+            at = rng.randrange(len(words))
+            words = words[:at] + words[at + rng.randint(0, len(words) // 9) :] if rng.random() < 0.6 else [*words, "more"]
+    sets = [similar.shingles(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(got)
+    assert similar.similar_groups(docs(spark, []).limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (201, None)]
     roots = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
