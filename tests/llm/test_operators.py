@@ -367,6 +367,26 @@ def test_groups_equal_brute_force(spark):
     assert similar.similar_groups(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_copies_of_one_original_go(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(300)]
+    texts = []
+    for i in range(250):  # 0.85 to the original, below 0.8 to each other
+        copy = list(words)
+        for k in range(5):
+            copy[60 * k + rng.randrange(5, 55)] = f"u{i}x{k}"
+        texts.append(" ".join(copy))
+    far = [" ".join([*words[:200], *(f"w{i}x{k}" for k in range(100))]) for i in range(40)]  # share a passage, no copies
+    original = " ".join(words)
+    for small in (similar.SMALL, 2):
+        monkeypatch.setattr(similar, "SMALL", small)
+        rows = [*texts, original, *far]
+        rng.shuffle(rows)
+        groups = {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, rows)).collect()}
+        assert len({groups[i] for i, t in enumerate(rows) if t not in far}) == 1 and len(set(groups.values())) == 41
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (201, None)]
     roots = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
