@@ -168,12 +168,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     articles = {n for x in content for n in x[3] if n in parser.articles}
     if articles:
         return "\n".join(x[0] for x in lines if not articles.isdisjoint(x[3]))
-    weight: dict[int, int] = {}
-    for text, _, _, path in content:
-        for n in path:
-            weight[n] = weight.get(n, 0) + len(text)
-    most = 0.8 * sum(len(x[0]) for x in content)
-    region = max((n for n, w in weight.items() if w >= most), default=None)
+    shared = set.intersection(*(set(x[3]) for x in content))
+    region = max(shared, default=None)
     return "\n".join(x[0] for x in lines if region is None or region in x[3])
 
 

@@ -39,6 +39,12 @@ def test_html_main_text():
     assert html.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def test_html_region_holds_every_dense_line():
+    paragraph = lambda k: f"<p>{'words of a long paragraph ' * 8}{k}</p>"
+    page = "<body><div>" + "".join(map(paragraph, range(17))) + "</div><div>" + "".join(map(paragraph, range(17, 20))) + "</div></body>"
+    assert len(html.main_text(page).split("\n")) == 20
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     out = html.extract(pages).collect()
