@@ -94,7 +94,10 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         while taken < len(spans) and spans[taken][1] <= m.start():
             taken += 1
         start, end, word = m.start(), m.end(), m[0]
-        inside = [x for x in spans[taken : taken + 4] if x[0] < end and x[1] > start]
+        inside, j = [], taken
+        while j < len(spans) and spans[j][0] < end:
+            inside += [spans[j]] if spans[j][1] > start else []
+            j += 1
         if not inside and not _ANY.search(word):
             continue
         before = tokens[i - 1][0].lower().strip(_EDGE) if i else ""
@@ -105,12 +108,15 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
                     last = next((j for j in range(i, len(tokens)) if tokens[j].end() >= e), i)
                     after = tokens[last + 1][0].lower().strip(_EDGE) if last + 1 < len(tokens) else ""
                     out.append((s, e, text[s:e].lower(), k, [k], before, after))
-            continue
-        left = len(word) - len(word.lstrip(_EDGE))
-        core = word.strip(_EDGE)
-        kinds = looks(core) if 5 <= len(core) <= 64 else []
-        if kinds:
-            out.append((start + left, start + left + len(core), core.lower(), None, kinds, before, after))
+            after = tokens[i + 1][0].lower().strip(_EDGE) if i + 1 < len(tokens) else ""
+        at = start
+        for s, e, _ in [*inside, (end, end, None)]:  # what no base span covers
+            piece = text[at:s] if at < s else ""
+            core, left = piece.strip(_EDGE), at + len(piece) - len(piece.lstrip(_EDGE))
+            kinds = looks(core) if len(core) >= 5 else []
+            if kinds:
+                out.append((left, left + len(core), core.lower(), None, kinds, before, after))
+            at = max(at, e)
     return out
 
 

@@ -89,6 +89,13 @@ def test_base_spans_equal_plain_patterns():
         assert ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in pii.base_spans(text)) == brute_spans(text), text
 
 
+def test_pii_mentions_of_a_whole_token():
+    text = "to " + ",".join(f"user{i}@host.org" for i in range(9)) + ",odd@localhost and " + "x" * 70 + "@localhost"
+    got = pii.mentions(text, pii.base_spans(text))
+    assert [m[3] for m in got] == [0] * 9 + [None] * 2
+    assert [text[m[0] : m[1]] for m in got[9:]] == ["odd@localhost", "x" * 70 + "@localhost"]
+
+
 def test_pii_bootstrap_finds_what_the_patterns_show(spark):
     known = [f"mail address user{i}@host{i}.org please" for i in range(8)]
     texts = [*known, "mail address odd@localhost please", None, "", LONG, known[0], "see room@noon about"]
