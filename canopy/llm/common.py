@@ -60,8 +60,8 @@ def local_path(path: str) -> str | None:
 
 
 def fold(column, by: int):
-    """The remainder that splits documents into folds: crc32 of the id as text."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+    """The remainder that splits documents into folds: crc32 of the id as text; -1, in no fold, for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by, F.lit(-1))
 
 
 def bounded_sample(df: DataFrame, per_class: int, label: str, classes: list, key: str, exact_order: bool = True) -> DataFrame:
@@ -94,15 +94,24 @@ def shingles_column(words, n: int):
 
 
 def per_process(kind: str, version, make):
-    """make()'s value, kept for later tasks in the same Python worker: one of each kind, made anew for another version.
+    """make()'s value, kept for later tasks in the same Python worker; that of another kind or version goes first.
 
     Workers live as long as their executor, so what several models leave behind would add up.
     """
+    import ctypes
+    import gc
     import sys
     import types
 
     store = sys.modules.setdefault("_canopy_process_store", types.ModuleType("_canopy_process_store")).__dict__
-    if kind not in store or store[kind][0] != version:
-        store.pop(kind, None)
-        store[kind] = version, make()
-    return store[kind][1]
+    held = store.get("held")
+    if held is None or held[:2] != (kind, version):
+        if held is not None:
+            store["held"] = held = None
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # else the freed memory stays with the worker
+            except (AttributeError, OSError):
+                pass
+        store["held"] = kind, version, make()
+    return store["held"][2]

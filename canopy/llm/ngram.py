@@ -2,12 +2,17 @@
 
 Level 1 is the vocabulary: sorted 64-bit word hashes with exact counts; a word's number is its rank. Each further level
 holds the n-grams kept, ordered by context and word: Elias-Fano coded monotone pointers give the range of a context's
-successors, and within it the word is found by binary search. A node has a quantised discounted probability; contexts
-have a quantised weight for the shorter context. All levels are flat files, memory-mapped, in shards by key range.
+successors, and within it the word is found by binary search. A node is a word number and a quantised discounted
+probability; beside the pointer of a context stands its quantised weight for the shorter context. All levels are flat
+files, memory-mapped, in shards by key range.
 
-The levels are counted, sorted and written by tasks, in the shared folder; the driver sees one row a shard. Smoothing is
-interpolated absolute discounting down to the add-half unigram: p(w|c) = max(n(cw) - D, 0) / n(c) + g(c) p(w|shorter c), where
-g(c) is what the kept n-grams leave, so that each context's probabilities sum to 1.
+Texts are cut into words once, and written as word numbers; all later passes read those. What a task counts goes on as
+blocks of sorted keys, one for each range of the level, so a shuffle moves few large rows; each range is merged,
+pruned and written by one task. Ranges are cut at quantiles of a sample of keys, and a context may span several, so a
+context that a third of all tokens have does no harm. The driver sees one row a shard.
+
+Smoothing is interpolated absolute discounting down to the add-half unigram: p(w|c) = max(n(cw) - D, 0) / n(c) + g(c) p(w|shorter c),
+where g(c) is what the kept n-grams leave, so that each context's probabilities sum to 1.
 """
 
 from __future__ import annotations
@@ -16,7 +21,6 @@ import json
 import os
 import struct
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,10 @@ from .common import local_path, materialize, new_path, per_process
 
 #: The end of a text; no word can be a line feed.
 END = b"\n"
-#: Tokens numbered at a time, tokens looked up at a time, and words remembered in a worker.
-BLOCK, CHUNK, MEMO = 1 << 17, 1 << 20, 250_000
-#: Keys in a shard of a level.
-SHARD = 1_000_000
+#: Tokens cut out at a time, tokens counted or looked up at a time, keys in a block that is sent.
+BLOCK, CHUNK, SENT = 1 << 17, 1 << 20, 1 << 16
+#: Tokens for each range of a level, and tokens looked at to cut the ranges.
+RANGE, SAMPLE = 4_000_000, 1_000_000
 STEP = 2048.0
 
 
@@ -128,211 +132,227 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Level:
-    """The shards of a level: their first keys, the rank of their first node, and their files, mapped when needed."""
+    """The shards of a level: their first keys, the rank of their first node, and their files, mapped when needed.
 
-    def __init__(self, shards: list[dict], shift: int):
-        self.shards, self.shift, self.open = shards, shift, {}
-        self.first = np.array([s["first"] for s in shards], np.int64)
+    Above level 1 a key is (context, word), and spans has the weights of the contexts that shards begin with.
+    """
 
-    def file(self, k: int) -> dict:
-        if k not in self.open:
-            arrays = load(self.shards[k]["path"])
+    def __init__(self, about: dict):
+        self.shards, self.open = about["shards"], {}
+        first = [s["first"] for s in self.shards]
+        self.context = np.array([f[0] for f in first], np.int64 if about["spans"] is not None else np.uint64)
+        self.word = np.array([f[1] for f in first], np.int64)
+        self.start = np.array([s["start"] for s in self.shards], np.int64)
+        spans = about["spans"] or []
+        self.span, self.span_g = np.array([s[0] for s in spans], np.int64), np.array([s[1] for s in spans], np.uint16)
+
+    def file(self, k: int, more: str = "") -> dict:
+        if (k, more) not in self.open:
+            arrays = load(self.shards[k]["path"] + more)
             if "ptr.bits" in arrays:
                 arrays["ptr"] = EliasFano({n[4:]: a for n, a in arrays.items() if n.startswith("ptr.")})
-            self.open[k] = arrays
-        return self.open[k]
-
-    def slices(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The shard of each stretch of sorted keys."""
-        cuts = [0, *np.searchsorted(keys, self.first[1:]).tolist(), len(keys)] if len(self.shards) else [0, 0]
-        for k in range(len(cuts) - 1):
-            if cuts[k] < cuts[k + 1]:
-                yield k, slice(cuts[k], cuts[k + 1])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The rank of each sorted key, -1 if it isn't there."""
-        out = np.full(len(keys), -1, np.int64)
-        for k, part in self.slices(keys):
-            a, start, q = self.file(k), self.shards[k]["start"], keys[part]
-            if "ptr" not in a:
-                at = np.minimum(np.searchsorted(a["keys"], q), len(a["keys"]) - 1)
-                out[part] = np.where(a["keys"][at] == q, start + at, -1)
-                continue
-            # Context-relative successor search: the context's range by its pointers, then the word within it.
-            context, word, first = q >> self.shift, (q & ((1 << self.shift) - 1)).astype(np.uint32), self.shards[k]["context"]
-            inside = np.flatnonzero((context >= first) & (context - first < self.shards[k]["contexts"]))
-            low, high = a["ptr"].get(context[inside] - first), a["ptr"].get(context[inside] - first + 1)
-            end, word, words = high, word[inside], a["words"]
-            while (low < high).any():
-                mid = (low + high) >> 1
-                less = (low < high) & (words[np.minimum(mid, len(words) - 1)] < word)
-                low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
-            hit = (low < end) & (words[np.minimum(low, len(words) - 1)] == word)
-            out[np.arange(len(keys))[part][inside[hit]]] = start + low[hit]
-        return out
-
-    def values(self, ranks: np.ndarray, name: str) -> np.ndarray:
-        """An array of the level at the given ranks (in any order, none of them -1)."""
-        starts = np.array([s["start"] for s in self.shards], np.int64)
-        shard = np.searchsorted(starts, ranks, side="right") - 1
-        out = np.zeros(len(ranks), self.file(0)[name].dtype if len(self.shards) else np.int64)
-        for k in np.unique(shard).tolist():
-            mine = shard == k
-            out[mine] = self.file(k)[name][ranks[mine] - starts[k]]
-        return out
+            self.open[k, more] = arrays
+        return self.open[k, more]
 
-
-class Model:
-    def __init__(self, about: dict):
-        self.about = about
-        self.levels = [Level(s, about["shift"]) for s in about["levels"]]
-        self.weights = [Level(s, 0) for s in about["weights"]]
-        self.known: dict[bytes, int] = {}
-
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Word numbers of all texts in a row, -1 for unknown words."""
-        from xxhash import xxh64_intdigest
-
-        seen = set().union(*texts)
-        if len(self.known) > MEMO:
-            self.known = {}
-        fresh = list(seen.difference(self.known))
-        hashes = np.fromiter(map(xxh64_intdigest, fresh), np.uint64, len(fresh)).view(np.int64)
-        order = np.argsort(hashes)
-        ranks = np.empty(len(fresh), np.int64)
-        ranks[order] = self.levels[0].find(hashes[order])
-        self.known.update(zip(fresh, ranks.tolist(), strict=True))
-        return np.concatenate([np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts])
-
-    def find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Ranks of (context rank, word number) in a level, -1 if either is unknown or the pair isn't kept."""
-        out = np.full(len(context), -1, np.int64)
-        there = np.flatnonzero((context >= 0) & (word >= 0))
-        keys, back = np.unique(context[there] << self.about["shift"] | word[there], return_inverse=True)
-        out[there] = self.levels[level].find(keys)[back]
-        return out
-
-    def weight(self, level: int, context: np.ndarray) -> np.ndarray:
-        """g of each context: 1 where no n-gram of it was kept."""
-        out = np.ones(len(context))
-        there = np.flatnonzero(context >= 0)
-        keys, back = np.unique(context[there], return_inverse=True)
-        at = self.weights[level].find(keys)
-        got = np.ones(len(keys))
-        got[at >= 0] = restore(self.weights[level].values(at[at >= 0], "g"))
-        out[there] = got[back]
+    @staticmethod
+    def _slices(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The shards of sorted keys, each with its stretch."""
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])).tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield int(shard[i]), slice(i, j)
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each of sorted hashes, -1 if it isn't there; of level 1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for k, part in self._slices(np.searchsorted(self.context, hashes, side="right") - 1):
+            if k >= 0:
+                keys = self.file(k)["keys"]
+                at = np.minimum(np.searchsorted(keys, hashes[part]), len(keys) - 1)
+                out[part] = np.where(keys[at] == hashes[part], self.start[k] + at, -1)
         return out
 
-    def contexts(self, words: np.ndarray, first: np.ndarray, levels: int) -> list[np.ndarray]:
-        """For n = 1..levels the rank of the n-gram that ends at each token; -1 if it would reach before its text."""
-        out = [words]
-        for n in range(1, levels):
-            before = np.concatenate(([-1], out[-1][:-1]))
-            out.append(self.find(n, np.where(first, -1, before), words))
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank (-1 if it isn't there) and probability of each of sorted (context, word), and the weight of its context."""
+        out, p, g = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.full(len(context), 65535, np.uint16)
+        shard = np.searchsorted(self.context, context, side="right") - 1
+        while len(back := np.flatnonzero((shard >= 0) & (self.context[shard] == context) & (self.word[shard] > word))):
+            shard[back] -= 1  # a context may span several shards
+        lone = np.ones(len(context), bool)  # the context has no successor: its weight is 1
+        for k, part in self._slices(shard):
+            if k < 0:
+                continue
+            a, first = self.file(k), int(self.context[k])
+            c, w, words = context[part] - first, word[part], a["words"]
+            new = np.concatenate(([True], c[1:] != c[:-1]))
+            own = c[new]
+            inside = own < self.shards[k]["contexts"]
+            low = np.zeros((2, len(own)), np.int64)
+            ends = np.concatenate((own[inside], own[inside] + 1))
+            low[:, inside] = a["ptr"].get(ends).reshape(2, -1)
+            weight = np.zeros(len(own), np.uint16)
+            weight[inside] = a["g"][own[inside]]
+            each = np.cumsum(new) - 1
+            g[part], lone[part] = weight[each], ~(low[1] > low[0])[each]
+            low, high = low[0][each], low[1][each]
+            # Context-relative successor search; what is settled takes no further part.
+            todo = np.flatnonzero(low < high)
+            at, end, want = low[todo], high[todo], w[todo]
+            stop = end
+            while len(todo):
+                mid = (at + end) >> 1
+                less = words[mid] < want
+                at, end = np.where(less, mid + 1, at), np.where(less, end, mid)
+                done = at >= end
+                if done.any():
+                    hit = done & (at < stop)
+                    hit[hit] = words[at[hit]] == want[hit]
+                    rows = todo[hit] + part.start
+                    out[rows], p[rows] = self.start[k] + at[hit], restore(a["p"][at[hit]])
+                    go = ~done
+                    todo, at, end, want, stop = todo[go], at[go], end[go], want[go], stop[go]
+        if len(self.span):
+            at = np.minimum(np.searchsorted(self.span, context), len(self.span) - 1)
+            met = self.span[at] == context
+            g[met], lone[met] = self.span_g[at[met]], False
+        return out, p, np.where(lone, 1.0, restore(g))
+
+    def counts(self, ranks: np.ndarray, more: str = "") -> np.ndarray:
+        """How often the nodes of sorted ranks (none of them -1) occur."""
+        out = np.zeros(len(ranks), np.int64)
+        for k, part in self._slices(np.searchsorted(self.start, ranks, side="right") - 1):
+            out[part] = self.file(k, more)["n"][ranks[part] - self.start[k]]
         return out
 
 
-def _first(lengths: list[int]) -> np.ndarray:
-    first = np.zeros(sum(lengths), bool)
-    first[np.cumsum([0, *lengths[:-1]])] = True
-    return first
-
+def _pairs(context: np.ndarray, word: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, word), sorted, and where each row's is (if back) or how often each is there."""
+    bits = max(1, int(word.max(initial=0)).bit_length())
+    known = None
+    if int(context.max(initial=0)).bit_length() + bits > 63:  # too long for one number
+        known, context = np.unique(context, return_inverse=True)
+    keys, more = np.unique(context << bits | word, return_inverse=back, return_counts=not back)
+    context, word = keys >> bits, keys & ((1 << bits) - 1)
+    return context if known is None else known[context], word, more
 
-def _chunks(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[int], np.ndarray]]:
-    """Rows, the lengths of their texts and the word numbers of all, about CHUNK tokens at a time.
-
-    Tokens are numbered in blocks, so that few of them are objects at once.
-    """
-    rows, lengths, parts, some, size = [], [], [], [], 0
-
-    def number() -> None:
-        nonlocal some, size
-        if some:
-            parts.append(model.numbers(some))
-        some, size = [], 0
 
+class Model:
+    def __init__(self, about: dict):
+        self.about, self.levels = about, [Level(a) for a in about["levels"]]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers, -1 for unknown words."""
+        keys, back = np.unique(hashes, return_inverse=True)
+        return self.levels[0].words(keys)[back]
+
+    def unigrams(self, words: np.ndarray) -> np.ndarray:
+        """The count of each word, 0 for unknown ones."""
+        keys, back = np.unique(words, return_inverse=True)
+        out = np.zeros(len(keys), np.int64)
+        out[keys >= 0] = self.levels[0].counts(keys[keys >= 0])
+        return out[back]
+
+    def step(self, level: int, context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank and probability of each (context rank, word number), and the weight of the context; either may be -1."""
+        node, p, g = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))
+        there = np.flatnonzero(context >= 0)
+        if len(there):
+            c, w, back = _pairs(context[there], words[there] + 1, True)  # an unknown word is 0 here
+            found = self.levels[level].find(c, w - 1)
+            node[there], p[there], g[there] = (x[back] for x in found)
+        return node, p, g
+
+
+def _before(ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The rank at the token before, -1 at the first token of a text."""
+    out = np.empty_like(ranks)
+    out[:1], out[1:] = -1, ranks[:-1]
+    out[first] = -1
+    return out
+
+
+def _hashed(texts: Iterator) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The lengths of texts and the hashes of all their tokens, about CHUNK tokens at a time; few tokens are objects at once."""
+    from xxhash import xxh64_intdigest
+
+    lengths, parts, some, held = [], [], [], 0
+    for text in texts:
+        words = tokens(text)
+        lengths.append(len(words))
+        some += words
+        if len(some) >= BLOCK:
+            parts.append(np.fromiter(map(xxh64_intdigest, some), np.uint64, len(some)))
+            held, some = held + len(some), []
+            if held >= CHUNK:
+                yield lengths, np.concatenate(parts)
+                lengths, parts, held = [], [], 0
+    if some:
+        parts.append(np.fromiter(map(xxh64_intdigest, some), np.uint64, len(some)))
+    if parts:
+        yield lengths, np.concatenate(parts)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, lengths and word numbers of rows (id, words), about CHUNK tokens at a time."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            some.append(tokens(batch.column(column)[i].as_py()))
-            rows.append(batch.column(0)[i].as_py() if column else None)
-            lengths.append(len(some[-1]))
-            size += lengths[-1]
-            if size >= BLOCK:
-                number()
-                if sum(map(len, parts)) >= CHUNK:
-                    yield rows, lengths, np.concatenate(parts)
-                    rows, lengths, parts = [], [], []
-    number()
-    if rows:
-        yield rows, lengths, np.concatenate(parts)
+        if not batch.num_rows:
+            continue
+        column = batch.column(1)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+        every = np.frombuffer(column.buffers()[2], np.uint32)
+        cuts = (np.flatnonzero(np.diff((ends[1:] - ends[0]) // CHUNK)) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(column)], strict=True):
+            yield batch.column(0)[i:j], np.diff(ends[i : j + 1]), every[ends[i] : ends[j]].astype(np.int64) - 1
 
 
-def _model(about: dict) -> Model:
-    """The model in this worker; a later one of the same vocabulary takes over the words that are remembered."""
-    held = per_process("ngram", None, dict)
-    if held.get("id") != about["id"]:
-        old, model = held.get("model"), Model(about)
-        if old is not None and old.about["vocabulary"] == about["vocabulary"]:
-            model.known = old.known
-        held.update(id=about["id"], model=model)
-    return held["model"]
+def _firsts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate(([0], lengths[:-1])))
 
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
-    """(key: word hash, n) over all texts."""
+def _model(about: dict) -> Model:
+    """The model in this worker."""
+    return per_process("ngram", about["id"], lambda: Model(about))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
-        def out(counts: Counter) -> pa.RecordBatch:
-            hashes = np.fromiter(map(xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+SENT_ROWS = "part int, context binary, word binary, n binary"
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > MEMO:
-                    yield out(counts)
-                    counts = Counter()
-        if counts:
-            yield out(counts)
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _sent(part: int, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(n), SENT):
+        rows = [[x[at : at + SENT].tobytes()] for x in (context, word.astype(np.uint32), n.astype(np.uint32))]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["part", "context", "word", "n"])
 
 
-def _grams(texts: DataFrame, about: dict) -> DataFrame:
-    """(key: context rank and word, n) of the next level over all texts, where the context was kept."""
+def _merged(batches: Iterator[pa.RecordBatch], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of one part as sorted distinct keys and their sums."""
+    columns: list[list] = [[], [], []]
+    for batch in batches:
+        for k, dtype in enumerate((kind, np.uint32, np.uint32)):
+            columns[k] += [np.frombuffer(x.as_buffer(), dtype) for x in batch.column(k + 1)]
+    if not columns[0]:
+        return (np.zeros(0, kind),) * 3
+    context, word, n = (np.concatenate(c) for c in columns)
+    word, n = word.astype(np.int64), n.astype(np.int64)
+    if kind == np.uint64:  # level 1: the hash is all of the key
+        order = np.argsort(context)
+    else:
+        bits = max(1, int(word.max(initial=0)).bit_length())
+        short = int(context.max(initial=0) - context.min(initial=0)).bit_length() + bits <= 63
+        order = np.argsort((context - context.min(initial=0)) << bits | word) if short else np.lexsort((word, context))
+    context, word, n = context[order], word[order], n[order]
+    new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+    return context[new], word[new], np.add.reduceat(n, np.flatnonzero(new))
+
+
+def _shards(sent: DataFrame, parts: int, write) -> list[dict]:
+    """Merge and write each part of the blocks; one small row a shard comes back, in the order of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(about)
-        for _, lengths, words in _chunks(model, batches, 0):
-            first = _first(lengths)
-            context = model.contexts(words, first, len(about["levels"]))[-1]
-            before = np.concatenate(([-1], context[:-1]))
-            there = (before >= 0) & ~first
-            keys, n = np.unique(before[there] << about["shift"] | words[there], return_counts=True)
-            for at in range(0, len(keys), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000]), pa.array(n[at : at + 500_000].astype(np.int64))], ["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        about = write(batches)
+        if about:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(about)])], ["about"])
 
-
-def _write(table: DataFrame, rows: int, folder: str, arrange) -> list[dict]:
-    """Sort a table by key, write a file for each range, and tell about them: one small row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        arrays, about = arrange(*columns)
-        path = f"{folder}/{int(columns[0][0]) & (1 << 64) - 1:016x}"
-        save(path, arrays)
-        about |= {"path": path, "first": int(columns[0][0]), "n": len(columns[0])}
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(about)])], ["about"])
-
-    dealt = table.repartitionByRange(max(1, -(-rows // SHARD)), "key").sortWithinPartitions("key")
+    dealt = sent.repartitionById(parts, F.col("part"))
     shards = sorted((json.loads(r.about) for r in dealt.mapInArrow(run, "about string").collect()), key=lambda s: s["first"])
     start = 0
     for s in shards:
@@ -341,73 +361,168 @@ def _write(table: DataFrame, rows: int, folder: str, arrange) -> list[dict]:
     return shards
 
 
-def train(texts: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75, text_col: str = "text") -> dict:
-    """Count, prune, smooth and write a model; what it returns says where its files are.
-
-    All rows count, null texts as empty. N-grams of two words and more are kept if they occur `least` times or more; the
-    probability of the others goes to the shorter context.
-    """
-    texts = texts.select(text_col)
+def vocabulary(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> dict:
+    """A model of level 1 alone: all words of all texts, which it counts; null texts count as empty."""
     folder = new_path(texts.sparkSession, "ngram")
     if local_path(folder) is None:
         raise ValueError("the shared folder must be a mounted path, for the levels are memory-mapped")
-    unigrams = materialize(_vocabulary(texts), "ngram-1")
-    total = unigrams.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    shift = max(1, int(total.v).bit_length())
-    about = {"id": uuid.uuid4().hex, "vocabulary": uuid.uuid4().hex, "order": order, "shift": shift, "types": int(total.v), "tokens": int(total.n), "levels": [], "weights": []}
-    about["levels"].append(_write(unigrams, total.v, f"{folder}/1", lambda keys, n: ({"keys": keys, "n": n}, {})))
-    for level in range(2, order + 1):
-        counted = materialize(_grams(texts, about).filter(F.col("n") >= least), f"ngram-{level}")
-        rows = counted.count()
-        if about["levels"][-1] and (about["levels"][-1][-1]["start"] + about["levels"][-1][-1]["n"]).bit_length() + shift > 63:
-            raise ValueError("too many contexts and words for 63-bit keys")
-
-        def nodes(keys: np.ndarray, n: np.ndarray, about=about) -> tuple[dict, dict]:
-            context, inside = keys >> shift, Model(about).levels[-1].values
-            known, back = np.unique(context, return_inverse=True)
-            share = (n - discount) / inside(known, "n")[back]
-            first, last = int(context[0]), int(context[-1])
-            pointers = np.searchsorted(context, np.arange(first, last + 2))
-            arrays = {f"ptr.{k}": a for k, a in EliasFano.encode(pointers).items()}
-            arrays |= {"words": (keys & ((1 << shift) - 1)).astype(np.uint32), "n": n, "p": quantise(share)}
-            return arrays, {"context": first, "contexts": last - first + 1}
-
-        def rest(keys: np.ndarray, mass: np.ndarray, about=about) -> tuple[dict, dict]:
-            left = 1 - mass / Model(about).levels[-1].values(keys, "n")
-            return {"keys": keys, "g": quantise(np.maximum(left, 0))}, {}
-
-        shards = _write(counted, rows, f"{folder}/{level}", nodes)
-        mass = counted.groupBy(F.shiftright("key", shift).alias("key")).agg(F.sum(F.col("n") - discount).alias("mass"))
-        weights = _write(mass, rows, f"{folder}/{level}-rest", rest)
-        about["levels"].append(shards)
-        about["weights"].append(weights)
-        about["id"] = uuid.uuid4().hex
+    texts = texts.select(text_col)
+    parts = parts or max(1, texts.rdd.getNumPartitions() // 2)
+    cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes in _hashed(t.as_py() for b in batches for t in b.column(0)):
+            keys, n = np.unique(hashes, return_counts=True)
+            ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            for k in range(parts):
+                i, j = ends[k], ends[k + 1]
+                yield from _sent(k, keys[i:j], np.zeros(j - i), n[i:j])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> dict | None:
+        keys, _, n = _merged(batches, np.uint64)
+        if not len(keys):
+            return None
+        save(path := f"{folder}/1/{int(keys[0]):016x}", {"keys": keys, "n": n})
+        return {"path": path, "first": [int(keys[0]), 0], "n": len(keys), "tokens": int(n.sum())}
+
+    shards = _shards(texts.mapInArrow(count, SENT_ROWS), parts, write)
+    types = sum(s["n"] for s in shards)
+    if types >= (1 << 32) - 1:
+        raise ValueError("word numbers have 32 bits")
+    return {"id": uuid.uuid4().hex, "folder": folder, "order": 1, "types": types, "tokens": sum(s["tokens"] for s in shards), "levels": [{"shards": shards, "spans": None}]}
+
+
+def number(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, words) of each row: the word numbers of its whole text and its end, from 1, as 32-bit numbers; 0 is an unknown word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, ids = _model(about), []
+
+        def texts() -> Iterator:
+            for batch in batches:
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids.append(i)
+                    yield t.as_py()
+
+        for lengths, hashes in _hashed(texts()):
+            ends = pa.array(4 * np.cumsum([0, *lengths]), pa.int32())
+            words = (model.numbers(hashes) + 1).astype(np.uint32)
+            column = pa.Array.from_buffers(pa.binary(), len(lengths), [None, ends.buffers()[1], pa.py_buffer(words.tobytes())])
+            rows, ids[: len(lengths)] = ids[: len(lengths)], []
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 1000], pa.int64()), column[at : at + 1000]], [id_col, "words"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, words binary")
+
+
+def _level_keys(model: Model, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context rank, word) of the next level at each token that has a context."""
+    first, rank = _firsts(lengths), words
+    for level in range(1, len(model.levels)):
+        rank = model.step(level, _before(rank, first), words)[0]
+    before = _before(rank, first)
+    there = np.flatnonzero((before >= 0) & (words >= 0))
+    return before[there], words[there]
+
+
+def _grow(numbered: DataFrame, about: dict, least: int, discount: float) -> dict:
+    """The next level of a model, from all rows (id, words) of its texts."""
+    level, folder = len(about["levels"]) + 1, about["folder"]
+    parts = max(1, -(-about["tokens"] // RANGE))
+    share = min(1.0, SAMPLE / max(1, about["tokens"]))
+    cut_context = cut_word = np.zeros(0, np.int64)
+    if parts > 1:  # quantiles of some keys; they deal out the work and change no result
+        sample = numbered.sample(share, 5).limit(SAMPLE).toArrow().combine_chunks().to_batches()
+        keys = [_level_keys(Model(about), *x[1:]) for x in _numbered(iter(sample))]
+        c, w, n = _pairs(*(np.concatenate([k[i] for k in keys] or [np.zeros(0, np.int64)]) for i in range(2)), False)
+        if len(c):
+            at = np.unique(np.searchsorted(np.cumsum(np.sqrt(n)), np.sqrt(n).sum() * np.arange(1, parts) / parts))
+            cut_context, cut_word = c[np.minimum(at, len(c) - 1)], w[np.minimum(at, len(c) - 1)]
+    parts = len(cut_context) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(about)
+        for _, lengths, words in _numbered(batches):
+            c, w, n = _pairs(*_level_keys(model, lengths, words), False)
+            low, high = np.searchsorted(c, cut_context), np.searchsorted(c, cut_context, side="right")
+            ends = [0, *(int(i + np.searchsorted(w[i:j], x)) if i < j else int(i) for i, j, x in zip(low, high, cut_word, strict=True)), len(c)]
+            for k in range(parts):
+                i, j = ends[k], ends[k + 1]
+                yield from _sent(k, c[i:j], w[i:j], n[i:j])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> dict | None:
+        context, word, n = _merged(batches, np.int64)
+        keep = n >= least
+        context, word, n = context[keep], word[keep], n[keep]
+        if not len(context):
+            return None
+        new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        own, first = context[new], int(context[0])
+        times = Model(about).levels[-1].counts(own, "" if level == 2 else ".n")
+        mass, sizes = np.add.reduceat(n - discount, new), np.diff(np.append(new, len(context)))
+        pointers = np.zeros(int(own[-1]) - first + 2, np.int64)
+        pointers[own - first + 1] = sizes
+        g = np.full(len(pointers) - 1, 65535, np.uint16)
+        g[own - first] = quantise(np.maximum(1 - mass / times, 0))
+        arrays = {f"ptr.{k}": a for k, a in EliasFano.encode(np.cumsum(pointers)).items()}
+        arrays |= {"words": word.astype(np.uint32), "p": quantise((n - discount) / np.repeat(times, sizes)), "g": g}
+        save(path := f"{folder}/{level}/{first:016x}-{int(word[0]):08x}", arrays)
+        save(f"{path}.n", {"n": n})  # for the next level; the finished model doesn't read it
+        ends = [[int(own[k]), float(mass[k]), int(times[k])] for k in (0, -1)]
+        return {"path": path, "first": [first, int(word[0])], "n": len(context), "contexts": len(g), "ends": ends}
+
+    shards = _shards(numbered.mapInArrow(count, SENT_ROWS), parts, write)
+    masses: dict[int, list] = {}
+    for s in shards:
+        (c, mass, times), (d, other, more) = s.pop("ends")
+        masses.setdefault(c, [0.0, times])[0] += mass
+        if d != c:
+            masses.setdefault(d, [0.0, more])[0] += other
+    spans = [[c, int(quantise(np.array([max(0.0, 1 - mass / times)]))[0])] for c, (mass, times) in sorted(masses.items())]
+    return about | {"id": uuid.uuid4().hex, "order": level, "levels": [*about["levels"], {"shards": shards, "spans": spans}]}
+
+
+def grow(numbered: DataFrame, about: dict, order: int = 3, least: int = 2, discount: float = 0.75) -> dict:
+    """Count, prune, smooth and write the levels above the vocabulary, from all rows of number(); every row counts."""
+    while about["order"] < order:
+        about = _grow(numbered, about, least, discount)
     return about
 
 
-def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of each row: log10 probabilities of its whole text and its end.
+def train(texts: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75, text_col: str = "text") -> dict:
+    """Count, prune, smooth and write a model; what it returns says where its files are.
 
-    base_score is the sum of the add-half unigrams; a null or empty text is its end alone; a model of no text gives
-    every token the same probability. Repeated rows are scored each; other columns aren't read.
+    All rows count, null texts as empty; an empty table gives a model of no text. N-grams of two words and more are
+    kept if they occur `least` times or more; the probability of the others goes to the shorter context.
     """
+    about = vocabulary(texts, text_col)
+    numbered = materialize(number(texts.select(F.lit(None).cast("long").alias("id"), text_col), about, "id", text_col), "ngram-numbers")
+    return grow(numbered, about, order, least, discount)
+
+
+def score_numbers(numbered: DataFrame, about: dict, id_col: str = "doc_id") -> DataFrame:
+    """score() of rows that number() has numbered by this model's vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(about)
-        for rows, lengths, words in _chunks(model, batches, 1):
-            first, starts = _first(lengths), np.cumsum([0, *lengths[:-1]])
-            counts = np.zeros(len(words))
-            counts[words >= 0] = model.levels[0].values(words[words >= 0], "n")
-            p = base = (counts + 0.5) / (about["tokens"] + 0.5 * (about["types"] + 1))
-            context = words
+        for ids, lengths, words in _numbered(batches):
+            first = _firsts(lengths)
+            p = base = (model.unigrams(words) + 0.5) / (about["tokens"] + 0.5 * (about["types"] + 1))
+            rank = words
             for level in range(1, about["order"]):
-                before = np.where(first, -1, np.concatenate(([-1], context[:-1])))
-                node = model.find(level, before, words)
-                seen = np.zeros(len(words))
-                seen[node >= 0] = restore(model.levels[level].values(node[node >= 0], "p"))
-                p = seen + model.weight(level - 1, before) * p
-                context = node
-            sums = [np.add.reduceat(x, starts) for x in ((words >= 0).astype(np.int64), np.log10(base), np.log10(p))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lengths, pa.int64()), *map(pa.array, sums)], [id_col, "n_tokens", "n_known", "base_score", "score"])
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, n_known long, base_score double, score double")
+                rank, seen, weight = model.step(level, _before(rank, first), words)
+                p = seen + weight * p
+            sums = [np.add.reduceat(x, first) for x in ((words >= 0).astype(np.int64), np.log10(base), np.log10(p))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64()), *map(pa.array, sums)], [id_col, "n_tokens", "n_known", "base_score", "score"])
+
+    return numbered.select(id_col, "words").mapInArrow(run, f"`{id_col}` long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of each row: log10 probabilities of its whole text and its end.
+
+    base_score is the sum of the add-half unigrams; a null or empty text is its end alone; a model of no text gives
+    every token the same probability. Repeated rows are scored each; null ids stay; an empty table gives no rows; other
+    columns aren't read.
+    """
+    return score_numbers(number(docs, about, id_col, text_col), about, id_col)

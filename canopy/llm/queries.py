@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontamination, html, langid, linededup, ngram, packing, pii, simhash, toxicity
-from .common import fold, read
+from .common import fold, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram.train(docs.filter(fold("doc_id", 5) != 1), order=3)
-    out = ngram.score(docs, model)
+    words = ngram.vocabulary(docs.filter(fold("doc_id", 5) != 1))
+    numbered = materialize(ngram.number(docs, words), "lm-numbers")
+    model = ngram.grow(numbered.filter(fold("doc_id", 5) != 1), words, order=3, least=1)
+    out = ngram.score_numbers(numbered, model)
     return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
