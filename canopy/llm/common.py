@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/canopy/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """What is run within gives up its shuffle files when it ends; else they stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

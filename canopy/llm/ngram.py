@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, materialize, new_path, per_process
+from .common import local_path, materialize, new_path, per_process, tidy_shuffles
 
 #: The end of a text; no word can be a line feed.
 END = b"\n"
@@ -127,6 +127,39 @@ def load(path: str) -> dict[str, np.ndarray]:
     return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}
 
 
+class Numbers:
+    """Whole numbers below 2^32 as low 16 bits and as few high bits as they need."""
+
+    def __init__(self, arrays: dict, name: str):
+        self.low, self.high = arrays[f"{name}.low"], arrays[f"{name}.high"]
+
+    @staticmethod
+    def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+        high = values >> 16
+        return {f"{name}.low": values.astype(np.uint16), f"{name}.high": high.astype(np.uint8 if high.max(initial=0) < 256 else np.uint16)}
+
+    def __getitem__(self, i) -> np.ndarray:
+        return self.high[i].astype(np.int64) << 16 | self.low[i]
+
+
+class Counts:
+    """Counts as bytes; those over 254 apart."""
+
+    def __init__(self, arrays: dict):
+        self.n, self.at, self.more = arrays["n"], arrays["n.at"], arrays["n.more"]
+
+    @staticmethod
+    def encode(n: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(n > 254)
+        return {"n": np.minimum(n, 255).astype(np.uint8), "n.at": at, "n.more": n[at]}
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        out = self.n[i].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        out[large] = self.more[np.searchsorted(self.at, i[large])]
+        return out
+
+
 def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
@@ -151,6 +184,9 @@ class Level:
             arrays = load(self.shards[k]["path"] + more)
             if "ptr.bits" in arrays:
                 arrays["ptr"] = EliasFano({n[4:]: a for n, a in arrays.items() if n.startswith("ptr.")})
+                arrays["words"] = Numbers(arrays, "words")
+            if "n.at" in arrays:
+                arrays["n"] = Counts(arrays)
             self.open[k, more] = arrays
         return self.open[k, more]
 
@@ -292,17 +328,23 @@ def _hashed(texts: Iterator) -> Iterator[tuple[list[int], np.ndarray]]:
         yield lengths, np.concatenate(parts)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _width(about: dict) -> int:
+    """Bytes of a word number."""
+    return -(-int(about["types"]).bit_length() // 8) or 1
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Ids, lengths and word numbers of rows (id, words), about CHUNK tokens at a time."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(1)
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
-        every = np.frombuffer(column.buffers()[2], np.uint32)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // width
+        every = np.frombuffer(column.buffers()[2], np.uint8)
         cuts = (np.flatnonzero(np.diff((ends[1:] - ends[0]) // CHUNK)) + 1).tolist()
         for i, j in zip([0, *cuts], [*cuts, len(column)], strict=True):
-            yield batch.column(0)[i:j], np.diff(ends[i : j + 1]), every[ends[i] : ends[j]].astype(np.int64) - 1
+            octets = every[width * ends[i] : width * ends[j]].reshape(-1, width).astype(np.int64)
+            yield batch.column(0)[i:j], np.diff(ends[i : j + 1]), sum(octets[:, k] << 8 * k for k in range(width)) - 1
 
 
 def _firsts(lengths: np.ndarray) -> np.ndarray:
@@ -317,9 +359,19 @@ def _model(about: dict) -> Model:
 SENT_ROWS = "part int, context binary, word binary, n binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: those that are zero throughout cost nothing once they are compressed."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _plain(raw, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def _sent(part: int, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(n), SENT):
-        rows = [[x[at : at + SENT].tobytes()] for x in (context, word.astype(np.uint32), n.astype(np.uint32))]
+        c = context[at : at + SENT].astype(np.uint64)
+        rows = [[_planes(x)] for x in (np.diff(c, prepend=np.uint64(0)), word[at : at + SENT].astype(np.uint32), n[at : at + SENT].astype(np.uint32))]
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["part", "context", "word", "n"])
 
 
@@ -327,8 +379,9 @@ def _merged(batches: Iterator[pa.RecordBatch], kind) -> tuple[np.ndarray, np.nda
     """The blocks of one part as sorted distinct keys and their sums."""
     columns: list[list] = [[], [], []]
     for batch in batches:
-        for k, dtype in enumerate((kind, np.uint32, np.uint32)):
-            columns[k] += [np.frombuffer(x.as_buffer(), dtype) for x in batch.column(k + 1)]
+        columns[0] += [np.cumsum(_plain(x.as_buffer(), np.uint64), dtype=np.uint64).astype(kind) for x in batch.column(1)]
+        for k in (1, 2):
+            columns[k] += [_plain(x.as_buffer(), np.uint32) for x in batch.column(k + 1)]
     if not columns[0]:
         return (np.zeros(0, kind),) * 3
     context, word, n = (np.concatenate(c) for c in columns)
@@ -353,7 +406,8 @@ def _shards(sent: DataFrame, parts: int, write) -> list[dict]:
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(about)])], ["about"])
 
     dealt = sent.repartitionById(parts, F.col("part"))
-    shards = sorted((json.loads(r.about) for r in dealt.mapInArrow(run, "about string").collect()), key=lambda s: s["first"])
+    with tidy_shuffles(sent.sparkSession):
+        shards = sorted((json.loads(r.about) for r in dealt.mapInArrow(run, "about string").collect()), key=lambda s: s["first"])
     start = 0
     for s in shards:
         s["start"] = start
@@ -393,7 +447,8 @@ def vocabulary(texts: DataFrame, text_col: str = "text", parts: int | None = Non
 
 
 def number(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words) of each row: the word numbers of its whole text and its end, from 1, as 32-bit numbers; 0 is an unknown word."""
+    """(id, words) of each row: the word numbers of its whole text and its end, from 1, each as few bytes; 0 is an unknown word."""
+    width = _width(about)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = _model(about), []
@@ -405,8 +460,8 @@ def number(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str =
                     yield t.as_py()
 
         for lengths, hashes in _hashed(texts()):
-            ends = pa.array(4 * np.cumsum([0, *lengths]), pa.int32())
-            words = (model.numbers(hashes) + 1).astype(np.uint32)
+            ends = pa.array(width * np.cumsum([0, *lengths]), pa.int32())
+            words = (model.numbers(hashes) + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
             column = pa.Array.from_buffers(pa.binary(), len(lengths), [None, ends.buffers()[1], pa.py_buffer(words.tobytes())])
             rows, ids[: len(lengths)] = ids[: len(lengths)], []
             for at in range(0, len(rows), 1000):
@@ -425,15 +480,15 @@ def _level_keys(model: Model, lengths: np.ndarray, words: np.ndarray) -> tuple[n
     return before[there], words[there]
 
 
-def _grow(numbered: DataFrame, about: dict, least: int, discount: float) -> dict:
+def _grow(numbered: DataFrame, about: dict, order: int, least: int, discount: float) -> dict:
     """The next level of a model, from all rows (id, words) of its texts."""
-    level, folder = len(about["levels"]) + 1, about["folder"]
+    level, folder, width = len(about["levels"]) + 1, about["folder"], _width(about)
     parts = max(1, -(-about["tokens"] // RANGE))
     share = min(1.0, SAMPLE / max(1, about["tokens"]))
     cut_context = cut_word = np.zeros(0, np.int64)
     if parts > 1:  # quantiles of some keys; they deal out the work and change no result
         sample = numbered.sample(share, 5).limit(SAMPLE).toArrow().combine_chunks().to_batches()
-        keys = [_level_keys(Model(about), *x[1:]) for x in _numbered(iter(sample))]
+        keys = [_level_keys(Model(about), *x[1:]) for x in _numbered(iter(sample), width)]
         c, w, n = _pairs(*(np.concatenate([k[i] for k in keys] or [np.zeros(0, np.int64)]) for i in range(2)), False)
         if len(c):
             at = np.unique(np.searchsorted(np.cumsum(np.sqrt(n)), np.sqrt(n).sum() * np.arange(1, parts) / parts))
@@ -442,7 +497,7 @@ def _grow(numbered: DataFrame, about: dict, least: int, discount: float) -> dict
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(about)
-        for _, lengths, words in _numbered(batches):
+        for _, lengths, words in _numbered(batches, width):
             c, w, n = _pairs(*_level_keys(model, lengths, words), False)
             low, high = np.searchsorted(c, cut_context), np.searchsorted(c, cut_context, side="right")
             ends = [0, *(int(i + np.searchsorted(w[i:j], x)) if i < j else int(i) for i, j, x in zip(low, high, cut_word, strict=True)), len(c)]
@@ -465,9 +520,10 @@ def _grow(numbered: DataFrame, about: dict, least: int, discount: float) -> dict
         g = np.full(len(pointers) - 1, 65535, np.uint16)
         g[own - first] = quantise(np.maximum(1 - mass / times, 0))
         arrays = {f"ptr.{k}": a for k, a in EliasFano.encode(np.cumsum(pointers)).items()}
-        arrays |= {"words": word.astype(np.uint32), "p": quantise((n - discount) / np.repeat(times, sizes)), "g": g}
+        arrays |= Numbers.encode(word, "words") | {"p": quantise((n - discount) / np.repeat(times, sizes)), "g": g}
         save(path := f"{folder}/{level}/{first:016x}-{int(word[0]):08x}", arrays)
-        save(f"{path}.n", {"n": n})  # for the next level; the finished model doesn't read it
+        if level < order:
+            save(f"{path}.n", Counts.encode(n))  # for the next level; the finished model doesn't read it
         ends = [[int(own[k]), float(mass[k]), int(times[k])] for k in (0, -1)]
         return {"path": path, "first": [first, int(word[0])], "n": len(context), "contexts": len(g), "ends": ends}
 
@@ -485,7 +541,7 @@ def _grow(numbered: DataFrame, about: dict, least: int, discount: float) -> dict
 def grow(numbered: DataFrame, about: dict, order: int = 3, least: int = 2, discount: float = 0.75) -> dict:
     """Count, prune, smooth and write the levels above the vocabulary, from all rows of number(); every row counts."""
     while about["order"] < order:
-        about = _grow(numbered, about, least, discount)
+        about = _grow(numbered, about, order, least, discount)
     return about
 
 
@@ -503,9 +559,11 @@ def train(texts: DataFrame, order: int = 3, least: int = 2, discount: float = 0.
 def score_numbers(numbered: DataFrame, about: dict, id_col: str = "doc_id") -> DataFrame:
     """score() of rows that number() has numbered by this model's vocabulary."""
 
+    width = _width(about)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(about)
-        for ids, lengths, words in _numbered(batches):
+        for ids, lengths, words in _numbered(batches, width):
             first = _firsts(lengths)
             p = base = (model.unigrams(words) + 0.5) / (about["tokens"] + 0.5 * (about["types"] + 1))
             rank = words
