@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample; every vector is then put into a leaf. A search walks the tree by a priority
-queue, best centroid first, and reads leaves in that order; how many is calibrated: a bounded set of queries is
-compared with all vectors in blocks, and visits widen until their recall reaches the target.
+The tree is fitted on a sample; every vector is then put into a leaf. A search walks the tree by a priority queue, best
+centroid first, and reads leaves in that order; how many is calibrated: a bounded set of queries is compared with all
+vectors in blocks, and visits widen until their recall reaches the target. A query whose leaves hold too few vectors
+for a whole result reads on.
 
+The leaves are half the square root of the distinct vectors, so neither the tree nor a leaf grows with all of the data.
 Equal vectors are one entry with their smallest ids (no more than a result can show), so a vector that a third of the
-rows share costs one comparison. Large leaves are dealt over several tasks.
+rows share costs one comparison. The members and the queries of a large leaf are dealt in blocks over several tasks.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bounds: vectors the tree is fitted on, queries it is calibrated on, leaves.
-SAMPLE, CALIBRATION, MOST_LEAVES = 20_000, 200, 4096
-#: Members that each query is compared with first, for a bound on its result.
-FLOOR = 4096
-#: Members of a leaf that one task compares.
+#: Vectors the tree is fitted on, at least, and those for each leaf beyond; queries it is calibrated on.
+SAMPLE, A_LEAF, CALIBRATION = 20_000, 8, 200
+#: Bytes of the centroids, which every worker holds. Beyond, leaves grow: that costs time and changes no comparison.
+TREE_BYTES = 128 << 20
+#: Members and queries of a leaf that one task compares.
 BLOCK = 4096
 
 
@@ -89,19 +91,18 @@ def assign(tree: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(tree: dict, q: np.ndarray, most: int) -> list[int]:
-    """The first leaves that a best-bin-first walk for an augmented query reaches."""
-    out, queue = [], [(0.0, 0)]
+def visits(tree: dict, q: np.ndarray) -> Iterator[int]:
+    """The leaves in the order in which a best-bin-first walk for an augmented query reaches them."""
+    queue = [(0.0, 0)]
     halves = tree.setdefault("halves", (tree["centroids"] ** 2).sum(1) / 2)
     near = halves - tree["centroids"] @ q
-    while queue and len(out) < most:
+    while queue:
         _, node = heapq.heappop(queue)
         kids = tree["children"][node]
         if not kids:
-            out.append(tree["leaf"][node])
+            yield tree["leaf"][node]
         for kid in kids:
             heapq.heappush(queue, (float(near[kid]), kid))
-    return out
 
 
 def _matrix(column) -> np.ndarray:
@@ -128,12 +129,11 @@ def _compare(k: int):
         ids, queries = left.column("gid").to_numpy(), right.column("qid").to_numpy()
         out_q, out_g, out_s = [], [], []
         if len(ids) and len(queries):
-            members, wanted, least = _matrix(left.column("v")), _matrix(right.column("v")), right.column("least").to_numpy()
+            members, wanted = _matrix(left.column("v")), _matrix(right.column("v"))
             for at in range(0, len(queries), 512):
                 scores = wanted[at : at + 512] @ members.T
-                for q, row, floor in zip(queries[at : at + 512], scores, least[at : at + 512], strict=True):
-                    enough = np.flatnonzero(row >= floor)
-                    best = enough[_top(row[enough], ids[enough], k)]
+                for q, row in zip(queries[at : at + 512], scores, strict=True):
+                    best = _top(row, ids, k)
                     out_q.append(np.full(len(best), q))
                     out_g.append(ids[best])
                     out_s.append(row[best])
@@ -148,10 +148,10 @@ def _best(found: DataFrame, k: int, *order: str) -> DataFrame:
     return found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, target: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:
-    """(query_id, rank, id, score) of the k nearest found for each row of vectors where is_query holds.
+def search(vectors: DataFrame, is_query, k: int = 20, target: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None) -> DataFrame:
+    """(query_id, rank, id, score, recall) of the k nearest found for each row of vectors where is_query holds.
 
-    Nearness is the inner product in double precision; a query's own id is no candidate; ties go to the smaller id.
+    Each query gets k rows, or all candidates if there are fewer; recall is what calibration measured, for all queries. Nearness is the inner product in double precision; a query's own id is no candidate; ties go to the smaller id.
     Rows whose vector is null, zero, of another length than most, or holds a null or non-finite component, and rows with
     a null id, take no part. Repeated ids count once if the vectors are equal. report, if given, gets the number of
     leaves, the calibrated visits and the measured recall. Other columns aren't read; an empty table gives no rows.
@@ -167,21 +167,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, target: float = 0.96, id_c
     groups = materialize(keep.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("gid"), "v", "ids"), "ann-groups")
     asked = rows.filter("asks").select(F.col("id").alias("query_id"), "v").distinct()
     asked = materialize(asked.join(groups.select("gid", "v"), "v").select("query_id", F.col("gid").alias("qid"), "v"), "ann-queries")
-    empty = spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
+    empty = spark.createDataFrame([], "query_id long, rank int, id long, score double, recall double").withColumnRenamed("id", id_col)
     total = groups.count()
     if not total or asked.isEmpty():
         return empty
     sums = groups.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")).first()
     largest = float(np.sqrt(sums.m))
-    share = min(1.0, SAMPLE / total)
-    picked = groups.filter(F.pmod(F.xxhash64("gid", F.lit("tree")), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(int(1.2 * SAMPLE))
+    leaves = int(max(1, min(np.ceil(np.sqrt(total) / 2), TREE_BYTES // (8 * (dims.d + 1)))))
+    most = max(SAMPLE, A_LEAF * leaves)
+    share = min(1.0, most / total)
+    picked = groups.filter(F.pmod(F.xxhash64("gid", F.lit("tree")), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select("v").limit(int(1.2 * most))
     sample = _matrix(picked.toArrow().column("v"))
     if not len(sample):
         sample = _matrix(groups.select("v").limit(1000).toArrow().column("v"))
-    tree = build_tree(augmented(sample, largest), int(min(MOST_LEAVES, max(1, np.ceil(np.sqrt(total) / 2)))))
-    # The (k + 1)th best of some members is a bound below the (k + 1)th best of all: what lies under it is never sent on.
-    floor = spark.sparkContext.broadcast(sample[:FLOOR])
-    shared = spark.sparkContext.broadcast(tree)  # at most MOST_LEAVES centroids and their parents
+    tree = build_tree(augmented(sample, largest), leaves)
+    shared = spark.sparkContext.broadcast(tree)  # centroids of TREE_BYTES at most, and their parents
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,40 +209,48 @@ def search(vectors: DataFrame, is_query, k: int = 20, target: float = 0.96, id_c
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(gids[at]), pa.array(row[at]), pa.array(leaves[at])], ["qid", "gid", "score", "leaf"])
 
     truth = _best(members.select("gid", "v", "leaf").mapInArrow(exact, "qid long, gid long, score double, leaf int"), k + 1, "gid").toPandas()
-    order = {int(q): {leaf: i for i, leaf in enumerate(visits(tree, np.append(v, 0.0), tree["leaves"]))} for q, v in zip(probe_ids, probe_vecs, strict=True)}
+    order = {int(q): {leaf: i for i, leaf in enumerate(visits(tree, np.append(v, 0.0)))} for q, v in zip(probe_ids, probe_vecs, strict=True)}
     needed = np.sort(np.array([order[q][leaf] + 1 for q, leaf in zip(truth.qid, truth.leaf, strict=True)]))
     widen = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
+    recall = float((needed <= widen).mean())
     if report is not None:
-        report |= {"leaves": tree["leaves"], "visits": widen, "recall": float((needed <= widen).mean()), "vectors": total}
+        report |= {"leaves": tree["leaves"], "visits": widen, "recall": recall, "vectors": total}
 
-    # Search: each query goes to its leaves; a large leaf is several blocks, each compared by itself.
-    sizes = {r.leaf: r.n for r in members.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most MOST_LEAVES rows
-    blocks = spark.sparkContext.broadcast({leaf: -(-n // BLOCK) for leaf, n in sizes.items()})
+    # Search: each query goes to its leaves, as many as are calibrated and on until they hold a whole result.
+    sizes = {r.leaf: r.n for r in members.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    held = spark.sparkContext.broadcast(sizes)
+    ids_in = {r.leaf: r.n for r in members.join(groups.select("gid", F.size("ids").alias("n")), "gid").groupBy("leaf").agg(F.sum("n").alias("n")).collect()} if any(n <= k for n in sizes.values()) else sizes
+    enough = spark.sparkContext.broadcast(ids_in)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, column = np.asarray(batch.column(0))[at : at + 256], batch.column(1)[at : at + 256]
-                rows, leaves, parts, asks = [], [], [], _matrix(column)
-                scores = asks @ floor.value.T
-                least = np.partition(scores, -k - 1, axis=1)[:, -k - 1] if scores.shape[1] > k else np.full(len(asks), -np.inf)
-                least = least - 1e-9 * np.abs(least)
-                for i, q in enumerate(asks):
-                    for leaf in visits(shared.value, np.append(q, 0.0), widen):
-                        for b in range(blocks.value.get(leaf, 0)):
+                rows, chosen = [], []
+                for i, q in enumerate(_matrix(column)):
+                    candidates = 0
+                    for n, leaf in enumerate(visits(shared.value, np.append(q, 0.0))):
+                        if n >= widen and candidates > k:
+                            break
+                        candidates += enough.value.get(leaf, 0)
+                        if held.value.get(leaf):
                             rows.append(i)
-                            leaves.append(leaf)
-                            parts.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), column.take(pa.array(rows, pa.int32())), pa.array(leaves, pa.int32()), pa.array(parts, pa.int32()), pa.array(least[rows], pa.float64())], ["qid", "v", "leaf", "block", "least"])
-
-    cuts = F.create_map(*[F.lit(x) for leaf, n in sizes.items() for x in (leaf, -(-n // BLOCK))]) if any(n > BLOCK for n in sizes.values()) else None
-    block = F.pmod(F.xxhash64("gid"), cuts[F.col("leaf")]).cast("int") if cuts is not None else F.lit(0)
-    routed = wanted.mapInArrow(route, f"qid long, v {kind}, leaf int, block int, least double")
-    pairs = members.withColumn("block", block).groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block"))
+                            chosen.append(leaf)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), column.take(pa.array(rows, pa.int32())), pa.array(chosen, pa.int32())], ["qid", "v", "leaf"])
+
+    routed = materialize(wanted.mapInArrow(route, f"qid long, v {kind}, leaf int"), "ann-routed")
+    asks = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    # A leaf of many members or queries is a grid of blocks; each cell is compared by itself.
+    large = [(leaf, -(-n // BLOCK), -(-asks.get(leaf, 1) // BLOCK)) for leaf, n in sizes.items() if n > BLOCK or asks.get(leaf, 1) > BLOCK]
+    grid = spark.createDataFrame(large, "leaf int, m int, q int")
+    blocks = lambda df, own, other, name, id_: df.join(F.broadcast(grid), "leaf", "left").withColumn(name[0], F.coalesce(F.pmod(F.xxhash64(id_), F.col(own)).cast("int"), F.lit(0))).withColumn(name[1], F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other) - 1, F.lit(0))))).drop("m", "q")
+    left = blocks(members, "m", "q", ("i", "j"), "gid") if large else members.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    right = blocks(routed, "q", "m", ("j", "i"), "qid") if large else routed.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    pairs = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j"))
     found = pairs.applyInArrow(_compare(k + 1), "qid long, gid long, score double")
     best = materialize(_best(found, k + 1, "gid").select("qid", "gid", "score"), "ann-found")
     # Groups to ids, k + 1 for each distinct query vector; then the queries, without themselves.
     ids = _best(best.join(groups.select("gid", "ids"), "gid").select("qid", "score", F.explode("ids").alias("id")), k + 1, "id").select("qid", "id", "score")
     told = asked.select("query_id", "qid").join(ids, "qid").filter("query_id <> id")
     ranked = told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score", F.lit(recall).alias("recall"))
