@@ -1,15 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Each window of a document is compressed
-with both; how many bytes the toxic dictionary saves over the ordinary one is the window's distance, and a calibrated
-logistic curve over a document's distances is its score.
-
-The ordinary dictionary holds the words most common in ordinary documents. The toxic one holds the same words and the
-fragments that tell toxic documents from ordinary ones, so that the two differ in nothing else. Only labels of whole
-documents are known; so fragments are weighed by how many different contexts they have in documents of either kind
-(near copies of one document are one context). Windows are short, so each character is written as four bytes before
-it is compressed: a match then saves in proportion to its characters, where a single byte a character would drown in
-the cost of a match.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. Each window of a document's words is
+compressed with the ordinary one, and with the toxic one before it; how many bytes the toxic one saves is the window's
+distance, and a calibrated logistic curve over a document's distances is its score.
+
+Only labels of whole documents are known, and most of a toxic document's words are as common elsewhere. So the toxic
+dictionary is trained on what recurs in toxic documents and hardly stands in ordinary ones: of each, its words that few
+ordinary documents have and several toxic ones, in several contexts (copies of one document are one context). A
+dictionary trained on the whole toxic text would hold mostly ordinary words: what it and the ordinary one happen to
+hold of those drowns the difference. Which pieces of words go into a dictionary, and where, is the trainer's choice.
 """
 
 from __future__ import annotations
@@ -27,115 +26,80 @@ from .common import per_process
 
 #: Bounds of the sample that the dictionaries and the curve are fitted on: rows a class, and characters a class.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8_000_000
+#: Words of a window, bytes of the toxic and of the ordinary dictionary.
+WINDOW, TOXIC, ORDINARY = 16, 4096, 16_384
+#: Windows of ordinary text that its dictionary is trained on.
+ORDINARY_WINDOWS = 50_000
+#: Distances of which the curve counts the windows that reach them.
+STEPS = (2, 3, 4, 6, 9)
 
 
-class _Codes(dict):
-    """Four bytes for each character: its checksum."""
+def windows(text: str, size: int = WINDOW) -> list[bytes]:
+    """The words of a text, lower-cased, size at a time."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    return [b" %b " % b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
-    def __missing__(self, char: str) -> bytes:
-        code = self[char] = zlib.crc32(char.encode("utf-32-le", "surrogatepass")).to_bytes(4, "little")
-        return code
 
+class Distance:
+    """Bytes that the toxic dictionary saves on a window."""
 
-def windows(text: str, size: int) -> list[str]:
-    words = text.lower().split()
-    return words if size == 1 else [" ".join(words[i : i + size]) for i in range(max(0, len(words) - size) + 1)] if words else []
-
-
-class Distance(dict):
-    """Bytes saved by the toxic dictionary on a window; remembered, for at most `most` windows."""
-
-    def __init__(self, toxic: str, ordinary: str, most: int = 250_000):
+    def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as zs
 
-        super().__init__()
-        self.codes, self.most = _Codes(), most
-        # A search that misses no match: with a faster strategy, what it happens to skip would drown the difference.
         rules = zs.ZstdCompressionParameters(
-            compression_level=19, strategy=zs.STRATEGY_BTOPT, window_log=17, hash_log=16, chain_log=17, search_log=7, min_match=4, target_length=64,
+            compression_level=9, strategy=zs.STRATEGY_LAZY2, window_log=16, hash_log=16, chain_log=16, search_log=6, min_match=5, target_length=32,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
 
-        def compressor(text: str):
-            dictionary = zs.ZstdCompressionDict(self.coded(text), dict_type=zs.DICT_TYPE_RAWCONTENT)
+        def compressor(content: bytes):
+            dictionary = zs.ZstdCompressionDict(content or b" ", dict_type=zs.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=rules)
             return zs.ZstdCompressor(dict_data=dictionary, compression_params=rules).compress
 
         self.ordinary, self.toxic = compressor(ordinary), compressor(toxic + ordinary)
 
-    def coded(self, text: str) -> bytes:
-        return b"".join(map(self.codes.__getitem__, text))
-
-    def __missing__(self, window: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        raw = self.coded(f" {window} ")
-        saved = self[window] = len(self.ordinary(raw)) - len(self.toxic(raw))
-        return saved
-
-
-def _fragments(word: str) -> Iterator[str]:
-    """A word between blanks, and its beginnings of 4 to 12 characters."""
-    word = f" {word} "
-    for k in {*range(4, min(len(word), 13)), len(word)}:
-        yield word[:k]
-
-
-def _frequent(docs: list[set[str]], floor: float) -> dict[str, int]:
-    """In how many documents each fragment is, for those that are in floor or more: shorter ones first, as a fragment is no more frequent than its beginning."""
-    found: dict[str, int] = {}
-    for k in range(4, 14):
-        counts: Counter = Counter()
-        for doc in docs:
-            seen = set()
-            for word in doc:
-                word = f" {word} "
-                if len(word) >= k and (k == 4 or word[: k - 1] in found):
-                    seen.add(word[:k] if k < 13 else word)
-            counts.update(seen)
-        found |= {f: n for f, n in counts.items() if n >= floor}
-    return found
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str], common_words: int = 1500, least: int = 3) -> tuple[str, str]:
-    """The toxic fragments and the ordinary words, each as the text of a dictionary."""
-    floor = max(least, 0.015 * len(toxic))
-    tox_docs = _frequent([set(t.lower().split()) for t in toxic], floor)
-    ord_docs, contexts, plain = Counter(), defaultdict(set), Counter()
+    def __call__(self, parts: list[bytes]) -> list[int]:
+        ordinary, toxic = self.ordinary, self.toxic
+        return [len(ordinary(x)) - len(toxic(x)) for x in parts]
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on samples; of too few to train on, the samples themselves."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(size, samples, d=6, k=16, level=19).as_bytes()
+    except (zs.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], rare: float = 0.002, least: int = 3) -> tuple[bytes, bytes]:
+    """The dictionaries of distinct toxic and distinct ordinary texts, which come in a fixed order.
+
+    rare: the share of ordinary documents that may hold a word of the toxic samples. least: how many toxic documents,
+    and how many words before it, such a word needs; one in fifty documents, if that is more.
+    """
+    plain = Counter(w for t in ordinary for w in set(windows(t, 1)))
+    floor, least = rare * len(ordinary), max(least, len(toxic) // 50)
+    held, seen, before = [], Counter(), defaultdict(set)
     for text in toxic:
-        words = text.lower().split()
-        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            for f in _fragments(word):
-                if f in tox_docs and len(contexts[f]) < 64:  # enough to tell copies from contexts
-                    contexts[f].add((before, after))
-    keep = {f for f in tox_docs if len(contexts[f]) >= least}
-    for text in ordinary:
-        words = text.lower().split()
-        plain.update(words)
-        ord_docs.update({f for w in set(words) for f in _fragments(w) if f in keep})
-    n_t, n_o = len(toxic) + 1, len(ordinary) + 1
-
-    def support(f: str) -> float:
-        left = {a for a, _ in contexts[f]}
-        right = {b for _, b in contexts[f]}
-        return min(tox_docs[f], len(contexts[f]) if len(contexts[f]) < 64 else tox_docs[f], 4 * len(left), 4 * len(right))
-
-    def weight(f: str) -> tuple[float, float]:
-        a, b = support(f) + 0.5, ord_docs[f] + 0.5
-        odds = np.log(a / n_t) - np.log(b / n_o)
-        return odds, odds - 1.64 * np.sqrt(1 / a + 1 / b)
-
-    found = [f for f in keep if support(f) >= floor and weight(f)[0] > 2 and weight(f)[1] > 0.5]
-    chosen: list[str] = []
-    for f in sorted(found, key=lambda f: (-round(weight(f)[1], 1), -len(f), f)):
-        if not any(f.startswith(k) or k.startswith(f) for k in chosen):
-            chosen.append(f)
-    return "".join(chosen), " ".join(w for w, _ in sorted(plain.items(), key=lambda x: (x[1], x[0]))[-common_words:])
-
-
-def features(saved: list[int], words: int) -> list[float]:
+        words = windows(text, 1)
+        mine = {w: None for w in words if plain[w] <= floor}
+        seen.update(list(mine))
+        for last, word in zip([b"", *words], words, strict=False):
+            if word in mine and len(before[word]) < least:
+                before[word].add(last)
+        held.append(mine)
+    samples = [b" ".join(w.strip() for w in mine if seen[w] >= least and len(before[w]) >= least) for mine in held]
+    every = [x for t in ordinary for x in windows(t)]
+    some = sorted(every, key=zlib.crc32)[:ORDINARY_WINDOWS]
+    return _trained([b" %b " % x for x in samples if x], TOXIC), _trained(some, ORDINARY)
+
+
+def features(saved: list[int]) -> list[float]:
     """What the curve sees of a document's distances."""
-    return [1.0, *(np.log1p(sum(s >= k for s in saved)) for k in (3, 6, 10, 16)), max(saved, default=0) / 16, np.log1p(sum(saved)) / 4, np.log1p(words) / 4]
+    above = sum(s for s in saved if s > 1)
+    return [1.0, *(np.log1p(sum(s >= k for s in saved)) for k in STEPS), max(saved, default=0) / 8, np.log1p(above) / 2, above / (1 + len(saved)), np.log1p(len(saved)) / 4]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -149,23 +113,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int], window: int = 1) -> dict:
-    """A model from labelled texts. The curve is calibrated on texts that its dictionaries haven't seen."""
+def fit(texts: list[str], labels: list[int], folds: int = 4) -> dict:
+    """A model from labelled texts. The curve and its threshold are calibrated on texts that their dictionaries haven't seen."""
     texts, labels = [t or "" for t in texts], np.array(labels, float)
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}  # copies count once and stay on one side
-    side = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t in texts], int)
-    rows, target = [], []
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}  # copies count once and stay in one fold
+    fold = {t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % folds for t in first}
+
+    def split(out: int | None) -> tuple[list[str], list[str]]:
+        return tuple(sorted({t for t, v in zip(texts, labels, strict=True) if v == y and fold[t] != out}) for y in (1, 0))
+
     if len(set(labels)) == 2:
-        for part in (0, 1):
-            seen = [i for i in range(len(texts)) if side[i] != part]
-            toxic, ordinary = ({texts[i] for i in seen if labels[i] == v} for v in (1, 0))
-            distance = Distance(*train_dictionaries(sorted(toxic), sorted(ordinary)), most=200_000)
+        rows, target = [], []
+        for part in range(folds):
+            distance = Distance(*train_dictionaries(*split(part)))
             for t, i in first.items():
-                if side[i] != part:
-                    continue
-                parts = windows(t, window)
-                rows.append(features([s for s in map(distance.__getitem__, parts) if s > 0], len(parts)))
-                target.append(labels[i])
+                if fold[t] == part:
+                    rows.append(features(distance(windows(t))))
+                    target.append(labels[i])
         x, y = np.array(rows), np.array(target)
         w = _logistic(x, y)
         logits = x @ w
@@ -175,10 +139,9 @@ def fit(texts: list[str], labels: list[int], window: int = 1) -> dict:
         lower = logits[logits < cuts[best]].max(initial=cuts[best] - 1)
         w[0] -= (cuts[best] + lower) / 2
     else:  # nothing to tell apart
-        w = np.zeros(len(features([], 0)))
+        w = np.zeros(len(features([])))
         w[0] = 3.0 if len(labels) and labels.mean() == 1 else -3.0
-    toxic, ordinary = ({t for t, v in zip(texts, labels, strict=True) if v == k} for k in (1, 0))
-    return {"dictionaries": train_dictionaries(sorted(toxic), sorted(ordinary)), "weights": w.tolist(), "window": window}
+    return {"dictionaries": train_dictionaries(*split(None)), "weights": w.tolist()}
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -213,10 +176,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores, counts, worst = [], [], []
             for text in batch.column(1):
-                parts = windows(text.as_py() or "", model["window"])
-                saved = [s for s in map(distance.__getitem__, parts) if s > 0]
-                scores.append(1 / (1 + np.exp(-np.clip(np.dot(features(saved, len(parts)), weights), -30, 30))))
-                counts.append(len(parts))
+                saved = distance(windows(text.as_py() or ""))
+                scores.append(1 / (1 + np.exp(-np.clip(np.dot(features(saved), weights), -30, 30))))
+                counts.append(len(saved))
                 worst.append(max(saved, default=0))
             scores = np.array(scores, float)
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +191,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs without the rows that are predicted toxic; all columns as they are, scored where they are read."""
+    """docs without the rows that are predicted toxic; all columns as they are, scored where they are read.
+
+    Null and empty texts have no window and are judged by that, like all texts of no distance: they stay, unless the
+    model saw toxic labels only. Repeated rows are judged each; long texts wholly; an empty table gives no rows.
+    """
     key, at = zlib.crc32(repr(model).encode()), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +204,7 @@ def keep_ordinary(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
         for batch in batches:
             keep = []
             for text in batch.column(at):
-                parts = windows(text.as_py() or "", model["window"])
-                keep.append(float(np.dot(features([s for s in map(distance.__getitem__, parts) if s > 0], len(parts)), weights)) < 0)
+                keep.append(float(np.dot(features(distance(windows(text.as_py() or ""))), weights)) < 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -196,7 +196,7 @@ def test_toxicity(spark):
     labels = [i % 4 == 0 for i in range(600)]
     texts = [make(t) for t in labels]
     model = toxicity.fit(texts[:400], [int(t) for t in labels[:400]])
-    assert all(w in model["dictionaries"][0] for w in ("grubble", "snarkfoo", "vexxa"))
+    assert all(w in model["dictionaries"][0] for w in (b"grubble", b"snarkfoo", b"vexxa"))
     odd = [None, "", LONG]
     out = {r.doc_id: r for r in toxicity.score(docs(spark, texts[400:] + odd), model).collect()}
     assert sum(out[i].predicted == int(t) for i, t in enumerate(labels[400:])) >= 195
