@@ -27,7 +27,7 @@ from .common import per_process
 #: Bounds of the sample that the dictionaries and the curve are fitted on: rows a class, and characters a class.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8_000_000
 #: Words of a window, bytes of the toxic and of the ordinary dictionary.
-WINDOW, TOXIC, ORDINARY = 16, 4096, 16_384
+WINDOW, TOXIC, ORDINARY = 14, 4096, 16_384
 #: Windows of ordinary text that its dictionary is trained on.
 ORDINARY_WINDOWS = 50_000
 #: Distances of which the curve counts the windows that reach them.
@@ -35,9 +35,9 @@ STEPS = (2, 3, 4, 6, 9)
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
-    """The words of a text, lower-cased, size at a time."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return [b" %b " % b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    """The words of a text, lower-cased, size at a time; each window begins half a window after the one before."""
+    words, step = text.lower().encode("utf-8", "surrogatepass").split(), (size + 1) // 2
+    return [b" %b " % b" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
 class Distance:
@@ -93,13 +93,14 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], rare: float = 0.00
     samples = [b" ".join(w.strip() for w in mine if seen[w] >= least and len(before[w]) >= least) for mine in held]
     every = [x for t in ordinary for x in windows(t)]
     some = sorted(every, key=zlib.crc32)[:ORDINARY_WINDOWS]
-    return _trained([b" %b " % x for x in samples if x], TOXIC), _trained(some, ORDINARY)
+    # With blanks, for the trainer leaves out samples of under 8 bytes and the last ones of each.
+    return _trained([b" %b         " % x for x in samples if x], TOXIC), _trained(some, ORDINARY)
 
 
 def features(saved: list[int]) -> list[float]:
     """What the curve sees of a document's distances."""
     above = sum(s for s in saved if s > 1)
-    return [1.0, *(np.log1p(sum(s >= k for s in saved)) for k in STEPS), max(saved, default=0) / 8, np.log1p(above) / 2, above / (1 + len(saved)), np.log1p(len(saved)) / 4]
+    return [1.0, *(np.log1p(sum(s >= k for s in saved)) for k in STEPS), max(saved, default=0) / 8, np.log1p(above) / 2, above / (1 + len(saved))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
