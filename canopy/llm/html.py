@@ -4,11 +4,19 @@ The standard library's parser streams events; each block of text is a line with
 line before. The text-to-tag ratios, smoothed by a Gaussian, fall into two clusters, and the dense one points at
 the content region: the articles (or, failing those, the smallest element) that hold it. Everything of the region is
 kept but navigation, headers, footers, asides, forms, adverts, notices and comments.
+
+Names are only hints: an element that its tag, role, class or id marks as one of those is left out, unless too little
+dense text would remain without it. Then the marked element with most dense text counts as unmarked, and so on; so an
+article of class "tag-ad", a wrapper of class "no-sidebar" or a form around a whole page keep their text.
+
+Elements are numbered as they open and know their parent, so time and memory grow with the page, however deep it nests.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,9 +32,11 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 SKIP = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form frameset head iframe input label legend map menu nav noscript object optgroup option "
-    "script select style svg template textarea title video".split()
+    "audio button canvas datalist head iframe input label legend map noscript object optgroup option script select style svg template textarea title "
+    "video".split()
 )
+#: Elements that hold it only if nothing else does, and elements that are merely marked.
+APART, MARKED = frozenset("aside dialog footer menu nav".split()), frozenset({"form", "fieldset"})
 #: Elements that can be a content region.
 REGIONS = frozenset("article body center div fieldset html main section table tbody td".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -39,75 +49,93 @@ MARKS = frozenset(
 #: A start tag of these ends an open paragraph.
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Marks of what may be longer than the article: it is kept only if nothing else is dense.
+READERS = frozenset("comment comments commentlist disqus footer masthead menu nav navbar navigation reply replies respond sidebar sidebars".split())
+#: Marked elements are left out if this share of the dense text remains; those of READERS if this share of all text does.
+ENOUGH, FEW = 0.2, 0.02
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags before it, whether it is skipped, the elements around it."""
+    """Lines of a page: text, tags before it, whether it is skipped, its element. Element 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, skipped, number, article
-        self.number = self.tags = 0
+        self.stack: list[int] = []
+        self.open: Counter = Counter()  # of each tag
+        self.tag, self.parent = ["html"], [0]
+        #: For each element: 1 if it is skipped, 1 to 3 if it is marked (2 by READERS, 3 by APART), the outermost article around it.
+        self.skip, self.mark, self.article = [0], [0], [0]
+        self.tags = 0
         self.text: list[str] = []
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.articles: set[int] = set()
+        self.lines: list[tuple[str, int, int, int]] = []
 
-    def _skipped(self, tag: str, attrs: list) -> bool:
+    def _kind(self, tag: str, attrs: list, inside: bool) -> tuple[int, int]:
+        """Whether an element is skipped, and how it is marked."""
         if tag in SKIP:
-            return True
-        if tag == "header":
-            return not any(x[3] for x in self.stack)
-        if tag in ("html", "body", "main"):
-            return False
-        for name, value in attrs:
+            return 1, 0
+        if tag in APART or tag == "header" and not inside:
+            return 0, 3
+        mark = int(tag in MARKED)
+        for name, value in attrs if tag not in ("html", "body", "main") else ():
             if name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true":
-                return True
+                return 1, 0
             if name == "role" and (value or "").lower() in ROLES:
-                return True
-            if name in ("class", "id") and value and not MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
-                return True
-        return False
+                mark = max(mark, 1 + ((value or "").lower() not in ("form", "alert", "search")))
+            if name in ("class", "id") and value:
+                words = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+                mark = max(mark, 2 * (not READERS.isdisjoint(words)), int(not MARKS.isdisjoint(words)), int("header" in words and not inside))
+        return 0, mark
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, bool(self.stack) and self.stack[-1][1], tuple(x[2] for x in self.stack if x[3] or x[0] in REGIONS)))
+                at = self.stack[-1] if self.stack else 0
+                self.lines.append((text, self.tags, self.skip[at], at))
                 self.tags = 0
             self.text = []
 
+    def _pop(self, k: int) -> None:
+        self.open.subtract(self.tag[n] for n in self.stack[k:])
+        del self.stack[k:]
+
     def _close(self, tags: set[str], within: frozenset = frozenset({"table", "ul", "ol", "dl"})) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
+            tag = self.tag[self.stack[k]]
+            if tag in tags:
+                self._pop(k)
                 return
-            if self.stack[k][0] in within or self.stack[k][0] in BLOCKS and "p" in tags:
+            if tag in within or tag in BLOCKS and "p" in tags:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        inherited = bool(self.stack) and self.stack[-1][1]
-        skipped = inherited or self._skipped(tag, attrs)
-        if tag in BLOCKS or skipped and not inherited:
+        inside = bool(self.stack) and self.article[self.stack[-1]] > 0
+        skip, mark = self._kind(tag, attrs, inside)
+        if tag in BLOCKS or skip or mark:
             self.end_line()
             if tag in CLOSES_P:
                 self._close({"p"})
             if tag in SAME:
                 self._close(SAME[tag])
-            inherited = bool(self.stack) and self.stack[-1][1]
-            skipped = inherited or self._skipped(tag, attrs)
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        self.number += 1
+        up, number = self.stack[-1] if self.stack else 0, len(self.tag)
         role = next((v for k, v in attrs if k == "role"), None)
         article = tag in ("article", "main") or role in ("article", "main") or any(k == "itemprop" and v == "articleBody" for k, v in attrs)
-        if article and not skipped:
-            self.articles.add(self.number)
-        self.stack.append((tag, skipped, self.number, article))
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.skip.append(self.skip[up] or skip)
+        self.mark.append(mark)
+        self.article.append(self.article[up] or number * article)
+        self.stack.append(number)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -116,19 +144,55 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag in BLOCKS or any(x[0] in BLOCKS or x[1] for x in self.stack[k:]):
+            here = self.tag[self.stack[k]]
+            if here == tag:
+                if tag in BLOCKS or any(self.tag[n] in BLOCKS or self.skip[n] or self.mark[n] for n in self.stack[k:]):
                     self.end_line()
-                del self.stack[k:]
+                self._pop(k)
                 return
-            if tag not in BLOCKS and self.stack[k][0] in BLOCKS:
+            if tag not in BLOCKS and here in BLOCKS:
                 return  # an inline end tag doesn't reach beyond its block
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
 
+def _left_out(page: _Lines, weight: list[int], text: list[int]) -> list[bool]:
+    """For each element whether a marked element around it is left out; weight: the dense text directly in each, text: all."""
+    n = len(page.tag)
+    around = [0] * n  # the nearest marked element, itself included
+    for i in range(1, n):
+        around[i] = i if page.mark[i] else around[page.parent[i]]
+    own = [0] * n  # dense text whose nearest marked element it is; 0: of none
+    for i in range(n):
+        own[around[i]] += weight[i]
+    total, sums, below = sum(weight), own[:], [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        if page.mark[i]:
+            up = around[page.parent[i]]
+            sums[up] += sums[i] if up else 0
+            below[up].append(i)
+    free, void = own[0], set()
+    loose, every = sum(t for t, a in zip(text, around, strict=True) if not a), sum(text)
+    queue = [(-sums[i], i) for i in below[0]]
+    heapq.heapify(queue)
+    while queue and free < ENOUGH * total:
+        heaviest, i = heapq.heappop(queue)
+        if not heaviest or page.mark[i] == 3 and loose or page.mark[i] == 2 and loose >= FEW * every:
+            continue
+        void.add(i)
+        free, loose = free + own[i], loose + own[i]
+        for j in below[i]:
+            heapq.heappush(queue, (-sums[j], j))
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[page.parent[i]] or page.mark[i] > 0 and i not in void
+    return out
+
+
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     radius = max(1, round(3 * sigma))
     x = np.arange(-radius, radius + 1)
@@ -155,22 +219,36 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, a block a line; empty for a null or empty page and for one without text."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = [x for x in parser.lines if not x[2]]
-    if not lines:
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    page.end_line()
+    if all(x[2] for x in page.lines):
         return ""
-    ratios = np.array([len(text) / (1 + tags) for text, tags, skipped, _ in parser.lines]) * [not x[2] for x in parser.lines]
-    marked = dense(smooth(ratios, sigma))
-    content = [x for x, m in zip(parser.lines, marked, strict=True) if m and not x[2]] or lines
-    articles = {n for x in content for n in x[3] if n in parser.articles}
+    ratios = np.array([0.0 if skip else len(text) / (1 + tags) for text, tags, skip, _ in page.lines])
+    marked = dense(smooth(ratios, sigma)).tolist()
+    weight, sizes = [0] * len(page.tag), [0] * len(page.tag)
+    for (text, _, skip, at), m in zip(page.lines, marked, strict=True):
+        sizes[at] += 0 if skip else len(text)
+        weight[at] += len(text) if m and not skip else 0
+    out = _left_out(page, weight, sizes)
+    lines = [(x, m) for x, m in zip(page.lines, marked, strict=True) if not x[2] and not out[x[3]]]
+    content = [x for x, m in lines if m] or [x for x, _ in lines]
+    articles = {page.article[x[3]] for x in content} - {0}
     if articles:
-        return "\n".join(x[0] for x in lines if not articles.isdisjoint(x[3]))
-    shared = set.intersection(*(set(x[3]) for x in content))
-    region = max(shared, default=None)
-    return "\n".join(x[0] for x in lines if region is None or region in x[3])
+        return "\n".join(x[0] for x, _ in lines if page.article[x[3]] in articles)
+    held = [0] * len(page.tag)
+    for x in content:
+        held[x[3]] += 1
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    region = max((i for i, n in enumerate(held) if n == len(content)), default=0)
+    while region and page.tag[region] not in REGIONS:
+        region = page.parent[region]
+    within = [i == region for i in range(len(held))]
+    for i in range(1, len(within)):
+        within[i] = within[i] or within[page.parent[i]]
+    return "\n".join(x[0] for x, _ in lines if within[x[3]])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
