@@ -23,11 +23,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     global _own_folder
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="canopy-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -78,35 +80,11 @@ def fold(column, by: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by, F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, per_class: int, label: str, classes: list, key: str, exact_order: bool = True) -> DataFrame:
-    """At most per_class rows of each class, those of the smallest hash of key, so that a rerun takes the same rows.
-
-    Each class takes one top-k (a limit in each task, then one of the survivors), so no task gets a whole class.
-    """
-    out = None
-    for value in classes:
-        rows = df.filter(F.col(label) == F.lit(value)).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(per_class)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def words_column(text):
     """Lower-cased words of a text column as an array; null and blank texts give an empty array."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ASCII_SPACE), lambda w: w != "")
 
 
-def shingles_column(words, n: int):
-    """Distinct n-word shingles of an array of words, joined by a space; a shorter text is one shingle, an empty one none."""
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-                lambda i: F.concat_ws(" ", F.slice(words, i, n)),
-            )
-        )
-    )
-
-
 def per_process(kind: str, version, make):
     """make()'s value, kept for later tasks in the same Python worker; that of another kind or version goes first.
 

@@ -56,8 +56,9 @@ def remove(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_co
     """docs with boilerplate lines taken out of text, and n_lines, n_removed (long) added.
 
     Every row stays, in its columns; a document of nothing but boilerplate keeps an empty text; a null text stays null
-    with 0 lines. The other lines keep their order and their blanks. Columns n_lines and n_removed that docs has already
-    are replaced.
+    with 0 lines. The other lines keep their order and their blanks. Lines of equally many sites are treated alike;
+    repeated rows are cleaned each, and count once a site. An empty table gives no rows. Columns n_lines and n_removed
+    that docs has already are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     spread = materialize(spread_lines(docs, min_sites, text_col, site_col, **options), "lines-boilerplate")
@@ -95,17 +96,14 @@ def remove(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_co
 def _remove_by_join(docs: DataFrame, spread: DataFrame, text_col: str) -> DataFrame:
     """The same for any number of boilerplate lines: only places and hashes are shuffled, then put back by text."""
     texts = docs.select(F.col(text_col).alias("t")).filter("t is not null").distinct()
-    keyed = texts.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", "t").alias("k2"), F.posexplode(F.split("t", "\n")).alias("at", "line"))
-    keyed = keyed.withColumn("line", F.trim("line", F.lit(BLANKS))).filter("line <> ''").select("k1", "k2", "at", *_key(F.col("line")))
-    out = keyed.join(spread.select("h1", "h2"), ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("out"))
-    named = docs.withColumns({"k1": F.xxhash64(text_col), "k2": F.xxhash64(text_col, text_col)}).join(out, ["k1", "k2"], "left")
-    lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("out"), i))
-    named = named.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    named = named.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    named = named.withColumn("n_removed", F.coalesce(F.size("out"), F.lit(0)).cast("long"))
-    named = named.withColumn("n_removed", F.when(F.col("out").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    named = named.withColumn(text_col, F.when(F.col("out").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    keyed = texts.select(F.xxhash64("t").alias("_lines_k1"), F.xxhash64("t", "t").alias("_lines_k2"), F.posexplode(F.split("t", "\n")).alias("at", "line"))
+    keyed = keyed.withColumn("line", F.trim("line", F.lit(BLANKS))).filter("line <> ''").select("_lines_k1", "_lines_k2", "at", *_key(F.col("line")))
+    out = keyed.join(spread.select("h1", "h2"), ["h1", "h2"]).groupBy("_lines_k1", "_lines_k2").agg(F.collect_set("at").alias("_lines_out"))
+    named = docs.withColumns({"_lines_k1": F.xxhash64(text_col), "_lines_k2": F.xxhash64(text_col, text_col)}).join(out, ["_lines_k1", "_lines_k2"], "left")
+    lines, gone = F.split(text_col, "\n"), F.coalesce("_lines_out", F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
+    named = named.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    named = named.withColumn("n_removed", F.size(gone).cast("long")).withColumn(text_col, F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     return named.select(*docs.columns, "n_lines", "n_removed")
 
 

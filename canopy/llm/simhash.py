@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import connected_components
-from .similar import similar_groups
+from .similar import grouped
 
 BITS = 31
 #: An anchor with more rows than this is compared in blocks, dealt over many tasks.
@@ -233,18 +233,23 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, id_col: str = "
     return table.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest id; all columns as they are.
 
-    A repeated id stays once. Rows with a null id stay.
+    Null and empty texts are copies of each other; rows with a null id stay. Rows of one id are documents of their own:
+    each belongs to the group of its text. Where several of a group have its smallest id, the one of the smallest hash of
+    its text stays, and of rows equal in id and text any one. An empty table gives no rows.
     """
-    groups = materialize(similar_groups(docs, id_col=id_col, text_col=text_col, **options), "similar-groups")
-    out = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("out")).distinct()
-    out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
-    kept = docs.join(out, docs[id_col] == F.col("out"), "left_anti")
-    repeated = groups.groupBy(id_col).count().filter("count > 1")
+    groups = materialize(grouped(docs, n, num, den, id_col, text_col), "similar-groups")
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    repeated = materialize(groups.groupBy("id", "raw").agg(F.count("*").alias("rows")).groupBy("id").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("id"), "similar-repeated")
     if repeated.isEmpty():
-        return kept
-    again = materialize(repeated.select(F.col(id_col).alias("again")), "similar-again")
-    once = kept.join(again, kept[id_col] == F.col("again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == F.col("again"), "left_anti").unionByName(once)
+        out = groups.filter("id <> group_id").select(F.col("id").alias(id_col))
+        return docs.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, id_col, "left_anti").select(*docs.columns)
+    first = groups.filter("id = group_id").groupBy("root").agg(F.min("raw").alias("first"))
+    out = groups.join(first, "root").filter("id <> group_id or raw <> first").select(F.col("id").alias(id_col), F.col("raw").alias("_similar_raw")).distinct()
+    out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    kept = docs.withColumn("_similar_raw", raw).join(out, [id_col, "_similar_raw"], "left_anti")
+    again = repeated.select(F.col("id").alias(id_col))
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col, "_similar_raw"])
+    return kept.join(again, id_col, "left_anti").unionByName(once).select(*docs.columns)

@@ -175,8 +175,13 @@ def test_containment_equals_brute_force(spark):
             w[10:10] = part[: len(part) - cut]
         texts.append("\n".join([" ".join(w[:15]), " ".join(w[15:])]))
     texts += [None, "", LONG, items[0], items[0]]
-    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
-    want = {(d, i) for i, t in enumerate(items) for d, x in enumerate(texts) if shingles(t) and len(shingles(t) & shingles(x)) / len(shingles(t)) >= 0.8}
+    split = lambda t: (t or "").lower().split()
+    size = lambda t: min(5, len(split(t)))
+    shingles = lambda w, k: set(zip(*(w[i:] for i in range(k)), strict=False))
+    held = {(d, k): shingles(split(x), k) for d, x in enumerate(texts) for k in range(1, 6)}
+    sought = {i: shingles(split(t), size(t)) for i, t in enumerate(items) if size(t)}
+    want = {(d, i) for i, s in sought.items() for d in range(len(texts)) if len(s & held[d, size(items[i])]) / len(s) >= 0.8}
+    assert any(0 < size(items[i]) < 5 and len(split(texts[d])) > 5 for d, i in want)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("item", F.lit(1))
     got = decontamination.contained(docs(spark, texts, item=3, gram="x"), bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
