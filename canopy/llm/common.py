@@ -17,8 +17,21 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 _own_folder: str | None = None
 
 
+#: Rows and bytes of an Arrow batch, in place of Spark's 10,000 and 64 MB: texts are long, and a worker holds a batch
+#: several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, where it has Spark's own sizes."""
+    for key, (usual, ours) in BATCHES.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, through Spark's reader only."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +69,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    bounded_batches(spark)
     with tidy_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
