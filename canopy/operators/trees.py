@@ -77,7 +77,8 @@ def union_maps(nodes: DataFrame, items: DataFrame, title: str) -> DataFrame:
 
 
 # The types that a Markdown bullet names.
-TAGS = {"definition": "Definition", "example": "Example", "insight": "Insight", "action": "Action", "warning": "Warning", "question": "Question", "concept": "Concept"}
+# The tags of node types in Markdown.
+TAGS = {"concept": "Concept", "definition": "Definition", "example": "Example", "insight": "Insight", "action": "Action", "warning": "Warning", "question": "Question"}
 
 
 def markdown(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:

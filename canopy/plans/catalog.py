@@ -70,10 +70,10 @@ def timestamp_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.timestamp_seconds(F.date_format("ts", "HH:mm:ss,SSS")).alias("seconds"))
 
 
-@query(r"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text,
-  CAST(turn * 5 AS DOUBLE) AS start, CAST(4 AS DOUBLE) AS duration FROM conversations WHERE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> '' AND NOT contains(text, '<')""")
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace('<c>' || trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) || '</c>', '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, text, CAST(turn * 5 AS DOUBLE) AS start, CAST(4 AS DOUBLE) AS duration FROM t WHERE text <> ''""")
 def cue_blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(T.collapse(F.coalesce("text", F.lit(""))) != "").filter(~F.col("text").contains("<"))
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     clock = lambda s: F.format_string("%02d:%02d:%02d.000", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
     start = F.col("turn").cast("long") * 5
     cue = F.concat(clock(start), F.lit(" --> "), clock(start + 4), F.lit("\n<c>"), T.collapse(F.col("text")), F.lit("</c>"))

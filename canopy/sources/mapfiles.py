@@ -17,7 +17,7 @@ from ..functions.text import NODE_TYPES
 #: Content of an XMind file may not be larger.
 MOST_BYTES = 50_000_000
 NODES = "map_id string, path array<int>, node_id string, title string, type string, note string"
-#: The attribute that keeps a node's type in OPML; when reading, any attribute of the form _...Type is one.
+#: The attribute that keeps a node's type in OPML.
 TYPE_ATTRIBUTE = "_nodeType"
 # The markers that keep a node's type in XMind.
 MARKERS = {
@@ -26,8 +26,8 @@ MARKERS = {
 }
 
 
-def opml_rows(raw: bytes) -> Iterator[tuple]:
-    """(path, id, title, type, note) of the first outline of an OPML body."""
+def opml_rows(raw: bytes, type_attribute: str = TYPE_ATTRIBUTE) -> Iterator[tuple]:
+    """(path, id, title, type, note) of the first outline of an OPML body; files from elsewhere may name another attribute."""
     body = ElementTree.fromstring(raw).find("body")
     top = None if body is None else body.find("outline")
     if top is None:
@@ -35,7 +35,7 @@ def opml_rows(raw: bytes) -> Iterator[tuple]:
     todo = [((), top)]
     while todo:
         path, element = todo.pop()
-        kind = next((v for k, v in element.attrib.items() if k[0] == "_" and k.endswith("Type")), None)
+        kind = element.get(type_attribute)
         yield list(path), None, element.get("text") or "", kind if kind in NODE_TYPES else "topic" if path else "root", element.get("_note") or None
         todo += [((*path, i), child) for i, child in enumerate(element.findall("outline"))]
 
@@ -96,39 +96,64 @@ def to_opml(rows: list[dict]) -> bytes:
     doc = ElementTree.Element("opml", version="2.0")
     ElementTree.SubElement(ElementTree.SubElement(doc, "head"), "title").text = root["title"]
     todo = [(ElementTree.SubElement(doc, "body"), root)]
-    while todo:
-        parent, node = todo.pop(0)
+    for parent, node in todo:  # grows as it is walked
         element = ElementTree.SubElement(parent, "outline", text=node["title"])
         if node["note"]:
             element.set("_note", node["note"])
         if node["type"] not in ("topic", "root"):
             element.set(TYPE_ATTRIBUTE, node["type"])
-        todo += [(element, child) for child in node["children"]]
+        todo.extend((element, child) for child in node["children"])
     ElementTree.indent(doc)
     return ElementTree.tostring(doc, "utf-8", xml_declaration=True)
 
 
-def to_xmind(rows: list[dict]) -> bytes:
+def to_xmind(rows: list[dict], links: list[dict] = (), source: str | None = None) -> bytes:
+    """links: (from_path, to_path, label); the root topic points at source."""
     name = lambda path: "n" + "-".join(map(str, path))
-
-    def topic(node: dict) -> dict:
-        out = {"id": node.get("node_id") or name(node["path"]), "title": node["title"]}
-        if node["note"]:
-            out["notes"] = {"plain": {"content": node["note"]}}
-        if node["type"] in MARKERS:
-            out["markers"] = [{"markerId": MARKERS[node["type"]]}]
-        if node["children"]:
-            out["children"] = {"attached": [topic(c) for c in node["children"]]}
-        return out
-
-    root, out = _tree(rows), io.BytesIO()
+    ids = {tuple(r["path"]): r.get("node_id") or name(r["path"]) for r in rows}
+    # From the deepest nodes up, so that each finds its children's topics made.
+    made: dict[tuple, dict] = {}
+    for r in sorted(rows, key=lambda r: (-len(r["path"]), r["path"])):
+        path = tuple(r["path"])
+        children = made.pop(("children", path), None)
+        made[path] = {"id": ids[path], "title": r["title"]} | ({"notes": {"plain": {"content": r["note"]}}} if r["note"] else {})
+        made[path] |= ({"markers": [{"markerId": MARKERS[r["type"]]}]} if r["type"] in MARKERS else {}) | ({"children": {"attached": children}} if children else {})
+        if path:
+            made.setdefault(("children", path[:-1]), []).append(made.pop(path))
+    root = made[()] | ({"href": source} if source else {})
+    sheet = {"id": "sheet", "title": root["title"], "rootTopic": root}
+    drawn = [{"id": f"r{i}", "end1Id": ids[tuple(x["from_path"])], "end2Id": ids[tuple(x["to_path"])], "title": x["label"] or ""} for i, x in enumerate(links) if tuple(x["from_path"]) in ids and tuple(x["to_path"]) in ids]
+    out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("content.json", json.dumps([{"id": "sheet", "title": root["title"], "rootTopic": topic(root)}], ensure_ascii=False))
+        z.writestr("content.json", json.dumps([sheet | ({"relationships": drawn} if drawn else {})], ensure_ascii=False))
         z.writestr("metadata.json", "{}")
         z.writestr("manifest.json", json.dumps({"file-entries": {"content.json": {}, "metadata.json": {}}}))
     return out.getvalue()
 
 
+def xmind_links(raw: bytes) -> list[tuple]:
+    """(from_id, to_id, label) of the relationships of the first sheet that have both ends."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if z.getinfo("content.json").file_size > MOST_BYTES:
+            raise ValueError("the content is too large")
+        sheet = json.loads(z.read("content.json"))[0]
+    return [(r["end1Id"], r["end2Id"], r.get("title") or "") for r in sheet.get("relationships", []) if r.get("end1Id") and r.get("end2Id")]
+
+
+def parse_links(files: DataFrame) -> DataFrame:
+    """(map_id, seq, from_id, to_id, label) of XMind files (path, content); OPML has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, i, *x) for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, x in enumerate(xmind_links(raw))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["map_id", "seq", "from_id", "to_id", "label"])
+
+    some = files.filter(F.lower("path").endswith(".xmind")).select("path", "content")
+    return some.mapInArrow(run, "map_id string, seq int, from_id string, to_id string, label string")
+
+
 def render(nodes: DataFrame, form: str = "opml") -> DataFrame:
     """(map_id, content: bytes) of each map."""
     make = {"opml": to_opml, "xmind": to_xmind}[form]
