@@ -113,17 +113,17 @@ class _Lines(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
         inside = bool(self.stack) and self.article[self.stack[-1]] > 0
         skip, mark = self._kind(tag, attrs, inside)
         if tag in BLOCKS or skip or mark:
-            self.end_line()
+            self.end_line()  # a tag that ends a line counts for the next one
             if tag in CLOSES_P:
                 self._close({"p"})
             if tag in SAME:
                 self._close(SAME[tag])
         elif tag == "br":
             self.text.append(" ")
+        self.tags += 1
         if tag in VOID:
             return
         up, number = self.stack[-1] if self.stack else 0, len(self.tag)
@@ -143,8 +143,8 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
         if not self.open[tag]:
+            self.tags += 1
             return
         for k in range(len(self.stack) - 1, -1, -1):
             here = self.tag[self.stack[k]]
@@ -152,9 +152,10 @@ class _Lines(HTMLParser):
                 if tag in BLOCKS or any(self.tag[n] in BLOCKS or self.skip[n] or self.mark[n] for n in self.stack[k:]):
                     self.end_line()
                 self._pop(k)
-                return
+                break
             if tag not in BLOCKS and here in BLOCKS:
-                return  # an inline end tag doesn't reach beyond its block
+                break  # an inline end tag doesn't reach beyond its block
+        self.tags += 1
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -177,16 +178,16 @@ def _left_out(page: _Lines, weight: list[int], text: list[int]) -> list[bool]:
             below[up].append(i)
     free, void = own[0], set()
     loose, every = sum(t for t, a in zip(text, around, strict=True) if not a), sum(text)
-    queue = [(-sums[i], i) for i in below[0]]
+    queue = [(page.mark[i], -sums[i], i) for i in below[0]]  # what is least surely apart comes first
     heapq.heapify(queue)
     while queue and free < ENOUGH * total:
-        heaviest, i = heapq.heappop(queue)
+        _, heaviest, i = heapq.heappop(queue)
         if not heaviest or page.mark[i] == 3 and loose or page.mark[i] == 2 and loose >= FEW * every:
             continue
         void.add(i)
         free, loose = free + own[i], loose + own[i]
         for j in below[i]:
-            heapq.heappush(queue, (-sums[j], j))
+            heapq.heappush(queue, (page.mark[j], -sums[j], j))
     out = [False] * n
     for i in range(1, n):
         out[i] = out[page.parent[i]] or page.mark[i] > 0 and i not in void
