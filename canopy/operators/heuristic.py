@@ -18,7 +18,7 @@ def leaves(every: Column, n: int) -> Column:
     body = F.slice(every, 2, F.greatest(F.size(every), F.lit(1)))
     step = F.greatest(F.lit(1), F.floor(F.size(body) / n).cast("int")) if n else F.lit(1)
     picked = F.slice(F.filter(body, lambda s, i: i % step == 0), 1, n) if n else F.array().cast("array<string>")
-    return F.transform(picked, lambda s: T.truncate(s, 90))
+    return F.transform(picked, lambda s: T.truncate(s, 90, stripped=True))
 
 
 def flat_map(docs: DataFrame, level: str = "full", key: str = "doc_id", title: Column | None = None, text_col: str = "text") -> DataFrame:
@@ -44,7 +44,7 @@ def flat_map(docs: DataFrame, level: str = "full", key: str = "doc_id", title: C
         text = part["text"]
         head = F.coalesce(F.get(part["sents"], F.lit(0)), text)
         points = F.transform(leaves(part["sents"], LEAVES[level]), lambda s, j: node(F.array(i, j), s, "detail", none))
-        return F.concat(F.array(node(F.array(i), T.snippet_title(head), "topic", T.truncate(text, 500))), points)
+        return F.concat(F.array(node(F.array(i), T.snippet_title(head, stripped=True), "topic", T.truncate(text, 500, stripped=True))), points)
 
     empty = F.array(node(F.array(F.lit(0)), F.lit("(no content extracted)"), "detail", none))
     body = F.when(F.size("texts") == 0, empty).otherwise(F.flatten(F.transform("parts", topic)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, enumeration, heuristic, outlines, provider, segments, snapshots, trees
+from ..operators import anchors, enumeration, heuristic, outlines, provider, segments, snapshots, structuring, trees
 from ..sources import article, markdown, subtitles
 from ..streaming import events as streams
 from . import maps
@@ -392,7 +392,8 @@ def llm_cache_misses(spark, sf_dir):
     return snapshots.cache_misses(asked, asked.filter("doc_id % 2 = 0").select("key").distinct()).select("doc_id", "chunk", "key")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS} SELECT doc_id AS map_id, CAST(chunk AS VARCHAR) AS path, substring(text, 1, 40) AS title, 'concept' AS type, substring(text, 1, 120) AS note FROM chunk
+  UNION ALL SELECT doc_id, chunk || '.0', substring(text, 1, 60), 'detail', NULL FROM chunk""")
 def mock_map(spark, sf_dir):
     model, chunks = provider.MockProvider(), topic_chunks(spark, sf_dir)
     asked = provider.requests(chunks, model, "map", "full")
@@ -420,7 +421,8 @@ def source_kinds(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.source_kind(F.col("url")).alias("kind"))
 
 
-@query()
+@query(r"""SELECT page_id, CASE WHEN name = '' THEN url ELSE array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') END AS title
+  FROM (SELECT page_id, url, trim(translate(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1), '\.(html?|php|aspx?)$', '', 'i'), '-_', '  ')) AS name FROM pages)""")
 def article_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_title(F.col("url")).alias("title"))
 
@@ -473,3 +475,70 @@ def enumerated_map(spark, sf_dir):
     told, intro = enumeration.spans(spoken, enumeration.detect(spoken))
     nodes = heuristic.enumerated_map(told.withColumnRenamed("source", "map_id"), intro.withColumnRenamed("source", "map_id"))
     return nodes.filter(F.size("path") == 1).select("map_id", F.get("path", F.lit(0)).alias("i"), "title", "timestamp")
+
+
+# One map a region: its nations, and their customers below, each by key.
+REGIONS = """n AS (SELECT n_regionkey AS r, n_nationkey AS nk, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+c AS (SELECT r, i, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j, c_name FROM customer JOIN n ON c_nationkey = nk),
+node AS (SELECT r AS map_id, [CAST(i AS INTEGER)] AS path, n_name AS title FROM n UNION ALL SELECT r, [CAST(i AS INTEGER), CAST(j AS INTEGER)], c_name FROM c),
+walk AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY path) - 1 AS pos FROM node)"""
+LINKS = f"""{REGIONS}, l AS (SELECT s_suppkey % 5 AS map_id, s_suppkey AS seq, s_suppkey * 11 % 150 AS a, s_suppkey * 37 % 400 AS b FROM supplier),
+pair AS (SELECT l.map_id, seq, x.path AS p, y.path AS q, row_number() OVER (PARTITION BY l.map_id, least(x.path, y.path), greatest(x.path, y.path) ORDER BY seq) AS k
+  FROM l JOIN walk x ON x.map_id = l.map_id AND x.pos = a JOIN walk y ON y.map_id = l.map_id AND y.pos = b WHERE x.path[1] <> y.path[1])"""
+
+
+def _regions(spark, sf_dir):
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    n = nation.withColumn("i", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    c = customer.withColumn("j", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    row = lambda df, path, title, kind: df.select(F.col("n_regionkey").alias("map_id"), path.cast("array<int>").alias("path"), title.alias("title"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("note"))
+    root = row(nation.select("n_regionkey").distinct(), F.array(), F.lit("Region"), "root")
+    return root.unionByName(row(n, F.array("i"), F.col("n_name"), "topic")).unionByName(row(c, F.array("i", "j"), F.col("c_name"), "detail"))
+
+
+def _numbered_links(spark, sf_dir):
+    key = F.col("s_suppkey")
+    links = table(spark, sf_dir, "supplier").select((key % 5).alias("map_id"), key.alias("seq"), (key * 11 % 150).alias("a"), (key * 37 % 400).alias("b"))
+    return structuring.links_by_number(_regions(spark, sf_dir), links, cross=True)
+
+
+@query(f"WITH {LINKS} SELECT map_id, seq, array_to_string(p, '.') AS a, array_to_string(q, '.') AS b FROM pair WHERE k = 1")
+def cross_links(spark, sf_dir):
+    return _numbered_links(spark, sf_dir).select("map_id", "seq", dotted("a_path").alias("a"), dotted("b_path").alias("b"))
+
+
+@query(f"WITH {LINKS} SELECT map_id + 10 AS ordinal, seq, (map_id + 10) || '.' || array_to_string(p, '.') AS a, (map_id + 10) || '.' || array_to_string(q, '.') AS b FROM pair WHERE k = 1")
+def merge_maps(spark, sf_dir):
+    items = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("map_id"), (F.col("r_regionkey") + 10).alias("ordinal"), F.col("r_name").alias("label"))
+    links = _numbered_links(spark, sf_dir).withColumn("label", F.lit("see"))
+    _, moved = structuring.merge_maps(_regions(spark, sf_dir), links, items, "Merged")
+    return moved.select("ordinal", "seq", dotted("a_path").alias("a"), dotted("b_path").alias("b"))
+
+
+@query(f"WITH {REGIONS} SELECT map_id, array_to_string(path, '.') AS path, array_to_string(path[1:len(path) - 1], '.') AS parent, path[len(path)] AS index FROM node")
+def node_parents(spark, sf_dir):
+    return structuring.parent_and_index(_regions(spark, sf_dir)).select("map_id", dotted().alias("path"), dotted("parent").alias("parent"), "index")
+
+
+@query(f"""WITH {REGIONS} SELECT map_id, array_to_string(path, '.') AS path, '  # ' || title || (SELECT CASE WHEN count(*) > 0 THEN '  (+' || count(*) || ' more)' ELSE '' END FROM c WHERE c.r = map_id AND c.i = path[1]) AS line
+  FROM node WHERE len(path) = 1 UNION ALL SELECT r_regionkey, '', '* Region' FROM region""")
+def map_preview(spark, sf_dir):
+    return structuring.preview(_regions(spark, sf_dir), max_depth=1).select("map_id", dotted().alias("path"), "line")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS} SELECT DISTINCT doc_id AS map_id, '' AS path, 'Map' AS title, 'root' AS type FROM chunk
+  UNION ALL SELECT doc_id, CAST(chunk AS VARCHAR), substring(text, 1, 40), 'topic' FROM chunk""")
+def mock_map_reduce(spark, sf_dir):
+    model, chunks = provider.MockProvider(), topic_chunks(spark, sf_dir)
+    asked = provider.requests(chunks, model, "map", "full")
+    replies = provider.complete(asked, model, "map")
+    nodes = structuring.reduce_maps(asked.select("doc_id", "chunk", "key").join(replies, "key"), model)
+    return nodes.select("map_id", dotted().alias("path"), "title", "type")
+
+
+@query(r"""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> ''),
+  p AS (SELECT *, greatest(1, n // least(9, n)) AS per FROM s), q AS (SELECT *, CASE WHEN (n + per - 1) // per > 1 AND n % per > 0 AND n % per < greatest(1, per // 2) THEN (n + per - 1) // per - 1 ELSE (n + per - 1) // per END AS k FROM p)
+  SELECT conv_id AS map_id, CAST(i // per AS VARCHAR) AS path, CAST(turn * 5 AS DOUBLE) AS timestamp FROM q WHERE i % per = 0 AND i // per < k""")
+def timed_topics(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("seq"), T.collapse(F.coalesce("text", F.lit(""))).alias("text"), (F.col("turn") * 5).cast("double").alias("start"), F.lit(4.0).alias("duration"))
+    return structuring.timed_topics(rows).select("map_id", dotted().alias("path"), "timestamp")

@@ -167,3 +167,27 @@ def test_replies_are_parsed(spark):
     df = spark.createDataFrame([('{"a":1}',), ('x ```json\n{"a":1}\n``` y',), ('so {"a":1} there',), ("none",)], "t string")
     out = df.select(F.to_json(provider.parse_json(F.col("t"))).alias("j")).collect()
     assert [r.j for r in out] == ['{"a":1}'] * 3 + [None]
+
+
+def test_links_merge_polish_and_failover(spark):
+    from canopy.operators import structuring
+    from canopy.sources import mapfiles
+
+    paths = [[], [0], [0, 0], [1], [1, 0]]
+    nodes = spark.createDataFrame([("m", p, f"n{p}", "root" if not p else "topic", None) for p in paths], "map_id string, path array<int>, title string, type string, note string")
+    links = spark.createDataFrame([("m", 0, 0, 2), ("m", 1, 2, 0), ("m", 2, 0, 1), ("m", 3, 1, 9), ("m", 4, 1, 1), ("m", 5, 1, 3)], "map_id string, seq int, a int, b int")
+    told = lambda df: sorted((r.seq, r.a_path, r.b_path) for r in df.collect())
+    assert told(structuring.links_by_number(nodes, links, cross=True)) == [(0, [0], [1]), (5, [0, 0], [1, 0])]
+    assert told(structuring.links_by_number(nodes, links)) == [(0, [0], [1]), (5, [0, 0], [1, 0])]
+    lines = {tuple(r.path): r.line for r in structuring.preview(nodes, max_depth=1).collect()}
+    assert lines[(0,)] == "  # n[0]  (+1 more)" and (0, 0) not in lines
+    sections = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "map_id string, number int, heading string")
+    given = spark.createDataFrame([("a", ["X", " "]), ("b", ["Z", "too many"])], "map_id string, headings array<string>")
+    assert sorted((r.map_id, r.number, r.heading) for r in structuring.polished(sections, given).collect()) == [("a", 1, "X"), ("a", 2, "y"), ("b", 1, "z")]
+    done = [spark.createDataFrame([("a", "one")], "map_id string, engine string"), spark.createDataFrame([("a", "two"), ("b", "two")], "map_id string, engine string")]
+    some = spark.createDataFrame([("a",), ("b",), ("c",)], "map_id string")
+    assert sorted(tuple(r) for r in structuring.failover(some, done).collect()) == [("a", "one", False), ("b", "two", True), ("c", "heuristic", True)]
+    rows = [{"path": p, "title": f"n{p}", "type": "root" if not p else "action", "note": None} for p in paths]
+    raw = mapfiles.to_xmind(rows, [{"from_path": [0], "to_path": [1, 0], "label": "see"}, {"from_path": [0], "to_path": [7], "label": "lost"}], "https://example.org")
+    assert mapfiles.xmind_links(raw) == [("n0", "n1-0", "see")]
+    assert sorted((x[0], x[2], x[3]) for x in mapfiles.xmind_rows(raw)) == sorted((r["path"], r["title"], r["type"]) for r in rows)
