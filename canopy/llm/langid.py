@@ -99,7 +99,8 @@ def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_000, int(1_100_000 * rows / n) + 1))])
     picked = named.filter(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) < share[F.col(lang_col)])
     texts, langs, took = [], [], {}
-    for row in picked.select(F.col(text_col).alias("t"), F.col(lang_col).alias("g")).toLocalIterator():
+    order = F.xxhash64(id_col, F.lit("sample"))
+    for row in picked.orderBy(order, id_col, F.xxhash64(text_col)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g")).toLocalIterator():
         n, c = took.get(row.g, (0, 0))
         if n < rows and c + len(row.t) <= chars:
             took[row.g] = n + 1, c + len(row.t)
@@ -113,7 +114,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     A null text or one without a letter is `und` with score 0, as is every text if nothing was learned. score is the
     cosine with the nearest centroid. rejected marks texts beyond every centroid's bound; lang_pred still names the
-    nearest. Ties go to the first language by name. Repeated rows are predicted each; other columns aren't read.
+    nearest. Ties go to the first language by name. Repeated rows are predicted each, long texts wholly; an empty table
+    gives no rows; other columns aren't read.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on DIM, clusters and LANGUAGES only
 
