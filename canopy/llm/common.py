@@ -99,6 +99,23 @@ def words_column(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ASCII_SPACE), lambda w: w != "")
 
 
+def byte_classes(kept: str) -> bytes:
+    """A table for byte_words: A-Z become a-z, the kept ASCII characters and all bytes beyond ASCII stay, others part words."""
+    stay = {ord(c) for c in kept}
+    return bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or b in stay else 32 for b in range(256))
+
+
+def byte_words(raw: bytes, classes: bytes, piece: int = 1 << 20):
+    """Lists of the words of a UTF-8 text, in order; a long text comes in pieces, so memory doesn't grow with its words."""
+    clean = raw.translate(classes)
+    at = 0
+    while at < len(clean):
+        end = clean.find(b" ", at + piece)
+        end = len(clean) if end < 0 else end
+        yield clean[at:end].split()
+        at = end
+
+
 def per_process(kind: str, version, make):
     """make()'s value, kept for later tasks in the same Python worker; that of another kind or version goes first.
 

@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to its whole table and shapes the result."""
+"""The queries op1 to op13: each applies its operator to its whole table and shapes the result."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html, langid, linededup, ngram, packing, pii, simhash, toxicity
+from . import ann, decontamination, divergence, html, langid, lexical, linededup, ngram, packing, pii, sharding, simhash, toxicity
 from .common import fold, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least_docs=30, smooth=5, most=50)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.place(read(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE, "op6_benchmark_decontamination": decontamination.ORACLE}
+    return {
+        "op4_line_dedup": linededup.ORACLE, "op6_benchmark_decontamination": decontamination.ORACLE, "op11_lexical_search": lexical.ORACLE,
+        "op12_source_divergence": divergence.ORACLE, "op13_sharding": sharding.ORACLE,
+    }
