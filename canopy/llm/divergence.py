@@ -21,7 +21,7 @@ LETTERS = byte_classes("abcdefghijklmnopqrstuvwxyz")
 #: Distinct terms that a task holds before it gives its counts out.
 HELD = 200_000
 #: Entries of vectors that one task compares at a time, cells of a dense block, sources on a side of a block of pairs.
-ENTRIES, CELLS, SIDE = 500_000, 1_000_000, 1024
+ENTRIES, CELLS, SIDE = 20_000, 1_000_000, 1024
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:

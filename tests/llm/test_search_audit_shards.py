@@ -121,7 +121,7 @@ def audited(rows, least, most):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(200_000, 500_000, 1_000_000, 1024), (20, 10, 30, 2)])
+@pytest.mark.parametrize("sizes", [(200_000, 20_000, 1_000_000, 1024), (20, 10, 30, 2)])
 def test_audit_is_brute_force(spark, monkeypatch, sizes):
     for name, size in zip(("HELD", "ENTRIES", "CELLS", "SIDE"), sizes, strict=True):
         monkeypatch.setattr(divergence, name, size)
