@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import NODE_TYPES
@@ -26,59 +26,110 @@ MARKERS = {
 }
 
 
-def opml_rows(raw: bytes, type_attribute: str = TYPE_ATTRIBUTE) -> Iterator[tuple]:
-    """(path, id, title, type, note) of the first outline of an OPML body; files from elsewhere may name another attribute."""
+def _outlines(raw: bytes) -> list:
     body = ElementTree.fromstring(raw).find("body")
-    top = None if body is None else body.find("outline")
-    if top is None:
+    found = [] if body is None else body.findall("outline")
+    if not found:
         raise ValueError("no outline in the body")
-    todo = [((), top)]
-    while todo:
-        path, element = todo.pop()
-        kind = element.get(type_attribute)
-        yield list(path), None, element.get("text") or "", kind if kind in NODE_TYPES else "topic" if path else "root", element.get("_note") or None
-        todo += [((*path, i), child) for i, child in enumerate(element.findall("outline"))]
+    return found
 
 
-def xmind_rows(raw: bytes) -> Iterator[tuple]:
-    """The same of the first sheet of an XMind file."""
+def _sheets(raw: bytes) -> list[dict]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         if z.getinfo("content.json").file_size > MOST_BYTES:
             raise ValueError("the content is too large")
-        sheet = json.loads(z.read("content.json"))[0]
+        found = json.loads(z.read("content.json"))
+    if not isinstance(found, list) or not found:
+        raise ValueError("no sheets")
+    return found
+
+
+def opml_rows(raw: bytes, type_attribute: str = TYPE_ATTRIBUTE, every: bool = False) -> Iterator[tuple]:
+    """(path, id, title, type, note) of the first outline of an OPML body; files from elsewhere may name another attribute.
+
+    every: of all outlines, whose paths then begin with the outline's number.
+    """
+    tops = _outlines(raw)
+    todo = [((i,) if every else (), 0, top) for i, top in enumerate(tops if every else tops[:1])]
+    while todo:
+        path, depth, element = todo.pop()
+        kind = element.get(type_attribute)
+        yield list(path), None, element.get("text") or "", kind if kind in NODE_TYPES else "topic" if depth else "root", element.get("_note") or None
+        todo += [((*path, i), depth + 1, child) for i, child in enumerate(element.findall("outline"))]
+
+
+def xmind_rows(raw: bytes, every: bool = False) -> Iterator[tuple]:
+    """The same of the first sheet of an XMind file, or of every sheet."""
     kinds = {m: k for k, m in MARKERS.items()}
-    todo = [((), sheet["rootTopic"])]
+    sheets = _sheets(raw)
+    todo = [((i,) if every else (), 0, sheet["rootTopic"]) for i, sheet in enumerate(sheets if every else sheets[:1])]
     while todo:
-        path, topic = todo.pop()
-        kind = next((kinds[m["markerId"]] for m in topic.get("markers", []) if m.get("markerId") in kinds), "topic" if path else "root")
+        path, depth, topic = todo.pop()
+        kind = next((kinds[m["markerId"]] for m in topic.get("markers") or [] if m.get("markerId") in kinds), "topic" if depth else "root")
         note = topic.get("notes", {}).get("plain", {}).get("content")
         yield list(path), topic.get("id"), topic.get("title") or "", kind, note or None
-        todo += [((*path, i), child) for i, child in enumerate(topic.get("children", {}).get("attached", []))]
+        todo += [((*path, i), depth + 1, child) for i, child in enumerate(topic.get("children", {}).get("attached", []))]
+
+
+def map_head(name: str, raw: bytes) -> tuple[str, str]:
+    """(title, source) of a map file: its head's or sheet's title, else its root's; the root topic's href, else the file itself."""
+    if _form(name) == "opml":
+        return ElementTree.fromstring(raw).findtext("head/title") or _outlines(raw)[0].get("text") or "", name
+    sheet = _sheets(raw)[0]
+    return sheet.get("title") or sheet["rootTopic"].get("title") or "", sheet["rootTopic"].get("href") or name
+
 
+def _form(name: str) -> str:
+    form = name.lower().rpartition(".")[2]
+    if form not in ("opml", "xmind"):
+        raise ValueError("a map file ends in .opml or .xmind")
+    return form
 
-def parse(files: DataFrame, lenient: bool = False) -> DataFrame:
-    """Nodes of files (path, content); a file that can't be read is an error, or no rows if lenient."""
+
+def _each(files: DataFrame, rows_of, kinds: list[pa.DataType], schema: str, lenient: bool) -> DataFrame:
+    """rows_of(name, raw) of files (path, content), each row after its file's name; what can't be read is an error, or no rows if lenient."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = list((opml_rows if name.lower().endswith(".opml") else xmind_rows)(raw))
+                    rows = list(rows_of(name, raw))
                 except Exception as e:
                     if lenient:
                         continue
                     raise ValueError(f"{name}: {e}") from e
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.list_(pa.int32()), *[pa.string()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["map_id", "path", "node_id", "title", "type", "note"])
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def parse(files: DataFrame, lenient: bool = False, type_attribute: str = TYPE_ATTRIBUTE) -> DataFrame:
+    """Nodes of files (path, content); a file that can't be read is an error, or no rows if lenient.
 
-    return files.select("path", "content").mapInArrow(run, NODES)
+    A lenient scan reads all outlines and all sheets of a file, their paths beginning with their number.
+    """
 
+    def rows(name: str, raw: bytes) -> Iterator[tuple]:
+        return opml_rows(raw, type_attribute, lenient) if _form(name) == "opml" else xmind_rows(raw, lenient)
 
-def read(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    return _each(files, rows, [pa.list_(pa.int32()), *[pa.string()] * 4], NODES, lenient)
+
+
+def heads(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """(map_id, title, source) of each of files (path, content)."""
+    return _each(files, lambda name, raw: [map_head(name, raw)], [pa.string()] * 2, "map_id string, title string, source string", lenient)
+
+
+def map_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all map files below a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{opml,xmind}").load(path).select("path", "content")
+
+
+def read(spark: SparkSession, path: str, lenient: bool = False, type_attribute: str = TYPE_ATTRIBUTE) -> DataFrame:
     """Nodes of all map files below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{opml,xmind}").load(path)
-    return parse(files, lenient)
+    return parse(map_files(spark, path), lenient, type_attribute)
 
 
 def _tree(rows: list[dict]) -> dict:
@@ -91,10 +142,13 @@ def _tree(rows: list[dict]) -> dict:
     return made[()]
 
 
-def to_opml(rows: list[dict]) -> bytes:
+def to_opml(rows: list[dict], source: str | None = None) -> bytes:
     root = _tree(rows)
     doc = ElementTree.Element("opml", version="2.0")
-    ElementTree.SubElement(ElementTree.SubElement(doc, "head"), "title").text = root["title"]
+    head = ElementTree.SubElement(doc, "head")
+    ElementTree.SubElement(head, "title").text = root["title"]
+    if source:
+        ElementTree.SubElement(head, "ownerName").text = source
     todo = [(ElementTree.SubElement(doc, "body"), root)]
     for parent, node in todo:  # grows as it is walked
         element = ElementTree.SubElement(parent, "outline", text=node["title"])
@@ -133,35 +187,43 @@ def to_xmind(rows: list[dict], links: list[dict] = (), source: str | None = None
 
 def xmind_links(raw: bytes) -> list[tuple]:
     """(from_id, to_id, label) of the relationships of the first sheet that have both ends."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        if z.getinfo("content.json").file_size > MOST_BYTES:
-            raise ValueError("the content is too large")
-        sheet = json.loads(z.read("content.json"))[0]
-    return [(r["end1Id"], r["end2Id"], r.get("title") or "") for r in sheet.get("relationships", []) if r.get("end1Id") and r.get("end2Id")]
+    return [(r["end1Id"], r["end2Id"], r.get("title") or "") for r in _sheets(raw)[0].get("relationships") or [] if r.get("end1Id") and r.get("end2Id")]
 
 
-def parse_links(files: DataFrame) -> DataFrame:
+def parse_links(files: DataFrame, lenient: bool = False) -> DataFrame:
     """(map_id, seq, from_id, to_id, label) of XMind files (path, content); OPML has none."""
+    some = files.filter(F.lower("path").endswith(".xmind"))
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string()]
+    return _each(some, lambda _, raw: ((i, *x) for i, x in enumerate(xmind_links(raw))), kinds, "map_id string, seq int, from_id string, to_id string, label string", lenient)
+
+
+def source_href(source: Column, is_file: Column) -> Column:
+    """What a root topic points at: a URL as it is, a file (is_file says which) as a file: address, else nothing."""
+    absolute = F.concat(F.when(source.startswith("/"), F.lit("file://")).otherwise("file:///"), F.regexp_replace(source, " ", "%20"))
+    return F.when(source.rlike("^(?i)(https?|file)://"), source).when(is_file, absolute)
+
+
+def render(nodes: DataFrame, form: str = "opml", links: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(map_id, content: bytes) of each map; XMind also has links (map_id, seq, a_path, b_path, label) and sources (map_id, source)."""
+    of = nodes.schema["map_id"].dataType.simpleString()
+    ids = F.col("node_id") if "node_id" in nodes.columns else F.lit(None).cast("string")
+    rows = nodes.groupBy("map_id").agg(F.collect_list(F.struct("path", ids.alias("node_id"), "title", "type", "note")).alias("ns"))
+    drawn = F.array().cast("array<struct<seq:bigint,from_path:array<int>,to_path:array<int>,label:string>>")
+    if links is not None:
+        link = F.struct(F.col("seq").cast("long").alias("seq"), F.col("a_path").alias("from_path"), F.col("b_path").alias("to_path"), "label")
+        rows = rows.join(links.groupBy("map_id").agg(F.array_sort(F.collect_list(link)).alias("found")), "map_id", "left")
+        drawn = F.coalesce("found", drawn)
+    source = F.lit(None).cast("string")
+    if sources is not None:
+        rows, source = rows.join(sources.select("map_id", F.col("source").alias("href")), "map_id", "left"), F.col("href")
+    rows = rows.select("map_id", "ns", drawn.alias("ls"), source.alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, i, *x) for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, x in enumerate(xmind_links(raw))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["map_id", "seq", "from_id", "to_id", "label"])
-
-    some = files.filter(F.lower("path").endswith(".xmind")).select("path", "content")
-    return some.mapInArrow(run, "map_id string, seq int, from_id string, to_id string, label string")
-
-
-def render(nodes: DataFrame, form: str = "opml") -> DataFrame:
-    """(map_id, content: bytes) of each map."""
-    make = {"opml": to_opml, "xmind": to_xmind}[form]
-    rows = nodes.groupBy("map_id").agg(F.collect_list(F.struct("path", "title", "type", "note")).alias("ns"))
-    kind = nodes.schema["map_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(ns) for ns in batch.column(1).to_pylist()], pa.binary())], ["map_id", "content"])
+            told = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+            made = [to_opml(ns, href) if form == "opml" else to_xmind(ns, ls, href) for ns, ls, href in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["map_id", "content"])
 
-    return rows.mapInArrow(run, f"map_id {kind}, content binary")
+    if form not in ("opml", "xmind"):
+        raise ValueError("maps are written as opml or xmind")
+    return rows.mapInArrow(run, f"map_id {of}, content binary")

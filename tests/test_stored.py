@@ -115,3 +115,51 @@ def test_nothing_built_says_so(spark):
     items = spark.createDataFrame([("x", "X", 0, "1")], ITEMS)
     out = batches.run(store.Store(spark), "list", items, builder(spark, {}, []), "All")
     assert told(out) == {(): ("All", "root"), (0,): ("(no items processed successfully)", "detail")} and out.links.count() == 0
+
+
+def test_files_are_merged_with_their_links(spark):
+    import io
+    import json
+    import zipfile
+
+    from canopy.operators import merging
+    from canopy.sources import mapfiles
+
+    node = lambda m, path, title, kind, i=None: (m, path, title, kind, None, i)
+    nodes = spark.createDataFrame([node("a", [], "Map A", "root"), node("a", [0], "x", "concept", "same"), node("a", [1], "y", "warning", "same"), node("a", [1, 0], "z", "detail")], "map_id string, path array<int>, title string, type string, note string, node_id string")
+    links = spark.createDataFrame([("a", 1, [0], [1, 0], "second"), ("a", 0, [1], [0], "first"), ("a", 2, [0], [9], "nowhere")], "map_id string, seq int, a_path array<int>, b_path array<int>, label string")
+    made = mapfiles.render(nodes.withColumn("node_id", F.lit(None).cast("string")), "xmind", links, spark.createDataFrame([("a", "https://a.org")], "map_id string, source string")).first().content
+    other = json.dumps([{"title": "", "rootTopic": {"id": "r", "title": "", "children": {"attached": [{"id": "q", "title": "k"}, {"id": "q", "title": "l"}]}},
+                         "relationships": [{"end1Id": "q", "end2Id": "r"}, {"end1Id": "q", "end2Id": "gone"}, {"end1Id": "q"}]}, {"title": "2", "rootTopic": {"title": "second sheet"}}])
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("content.json", other)
+    opml = b'<opml><head><title>Head</title></head><body><outline text="one" kind="warning"/><outline text="two"/></body></opml>'
+    files = spark.createDataFrame([("d/a.xmind", made, 0), ("d/stem.b.xmind", raw.getvalue(), 1), ("c.opml", opml, 2)], "path string, content binary, ordinal int")
+    tree, drawn, lost = merging.merge_files(files)
+    assert {tuple(r.path): (r.title, r.type) for r in tree.collect()} == {
+        (): ("Merged Map", "root"), (0,): ("Map A", "topic"), (0, 0): ("x", "concept"), (0, 1): ("y", "warning"), (0, 1, 0): ("z", "detail"),
+        (1,): ("stem.b", "topic"), (1, 0): ("k", "topic"), (1, 1): ("l", "topic"), (2,): ("Head", "topic"),
+    }
+    assert [(r.a_path, r.b_path, r.label) for r in drawn.orderBy("seq").collect()] == [([0, 1], [0, 0], "first"), ([0, 0], [0, 1, 0], "second"), ([1, 0], [1], "")]
+    assert [tuple(r) for r in lost.collect()] == [("d/stem.b.xmind", 1)]
+    assert {r.map_id: r.source for r in mapfiles.heads(files).collect()} == {"d/a.xmind": "https://a.org", "d/stem.b.xmind": "d/stem.b.xmind", "c.opml": "c.opml"}
+    with pytest.raises(ValueError):
+        merging.merge_files(files.limit(1))
+    # A lenient scan sees every sheet and outline, and passes over what is broken; another attribute may name the types.
+    some = files.drop("ordinal").unionByName(spark.createDataFrame([("bad.xmind", b"x"), ("e.txt", b"")], "path string, content binary"))
+    assert {(r.map_id, tuple(r.path), r.title) for r in mapfiles.parse(some, lenient=True).filter("map_id <> 'd/a.xmind'").collect()} == {
+        ("d/stem.b.xmind", (0,), ""), ("d/stem.b.xmind", (0, 0), "k"), ("d/stem.b.xmind", (0, 1), "l"), ("d/stem.b.xmind", (1,), "second sheet"), ("c.opml", (0,), "one"), ("c.opml", (1,), "two"),
+    }
+    assert [r.type for r in mapfiles.parse(files.filter("path = 'c.opml'"), type_attribute="kind").collect()] == ["warning"]
+    assert [(r.map_id, r.title) for r in merging.lenient_search(some, "SECOND").collect()] == [("d/stem.b.xmind", "second sheet")]
+    with pytest.raises(Exception, match="ends in"):
+        mapfiles.parse(some.filter("path = 'e.txt'")).count()
+    assert merging.counts(nodes, links).first() == ("a", 4, 3, 3)
+
+
+def test_what_a_root_points_at(spark):
+    from canopy.sources import mapfiles
+
+    rows = spark.createDataFrame([("https://a.org/x", False), ("file:///a", False), ("/d/my file.pdf", True), ("gone.pdf", False)], "source string, is_file boolean")
+    assert [r[0] for r in rows.select(mapfiles.source_href(F.col("source"), F.col("is_file"))).collect()] == ["https://a.org/x", "file:///a", "file:///d/my%20file.pdf", None]
