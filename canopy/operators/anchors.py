@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import trees
 
 
 def anchors(sources: DataFrame, key: str = "map_id", text_col: str = "text") -> DataFrame:
@@ -31,3 +32,15 @@ def missing(sources: DataFrame, nodes: DataFrame, most: int = 8, text_col: str =
     order = Window.partitionBy("map_id").orderBy("kind", "at")
     every = lost.unionByName(terms.select(*lost.columns)).withColumn("rank", F.row_number().over(order))
     return every.filter(F.col("rank") <= most).select("map_id", "rank", "anchor")
+
+
+def repair(nodes: DataFrame, repairs: DataFrame) -> DataFrame:
+    """nodes with new leaves from repairs (map_id, seq, to, title, type), to being a node's number in the walk, the root left out.
+
+    Repairs of one node come after its children, in the order of seq; a number that no node has and an empty title are
+    passed over, an unknown type is topic. Other columns of nodes are null in the new ones.
+    """
+    placed = trees.walk(nodes).filter("position > 0").select("map_id", (F.col("position") - 1).alias("to"), F.col("path").alias("parent"))
+    told = T.strip(F.coalesce("title", F.lit("")))
+    good = repairs.select("map_id", "seq", "to", told.alias("title"), T.node_type(F.col("type")).alias("type")).filter("title <> ''")
+    return trees.insert(nodes, good.join(placed, ["map_id", "to"]).select("map_id", "parent", "seq", "title", "type"))

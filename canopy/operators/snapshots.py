@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def reuse(current: DataFrame, old: DataFrame, key: str = "source", mark: str = "fingerprint") -> DataFrame:
     """(key, status) of each item: reused (known, and its old mark null or the same), new, or removed."""
@@ -33,7 +35,8 @@ def signature(rows: Column) -> Column:
 def merkle(files: DataFrame) -> DataFrame:
     """(path, signature) of each folder of files (path, parent, name, is_dir, size, mtime, depth), from the leaves up.
 
-    A round for each depth, deepest first; depth is bounded by the folder cap, and a round's rows are folders only.
+    A round for each depth, deepest first; depth is bounded by the folder cap, and a round's rows are folders only. Each
+    round is written, so that none is made again for what is above it.
     """
     name = lambda *parts: F.concat_ws(":", *parts)
     leaves = files.filter(~F.col("is_dir")).select("parent", name(F.lit("f"), "name", F.col("size").cast("string"), F.col("mtime").cast("string")).alias("line"))
@@ -46,9 +49,11 @@ def merkle(files: DataFrame) -> DataFrame:
         own = F.coalesce("own", F.array().cast("array<string>"))
         if below is not None:
             level, own = level.join(below, level["path"] == F.col("up"), "left"), F.concat(own, F.coalesce("subs", F.array().cast("array<string>")))
-        level = level.select("path", "parent", "name", signature(own).alias("signature"))
+        level = written(level.select("path", "parent", "name", signature(own).alias("signature")), "merkle")
         done = level if done is None else done.unionByName(level)
         below = level.groupBy(F.col("parent").alias("up")).agg(F.collect_list(name(F.lit("d"), "name", "signature")).alias("subs"))
+    if done is None:
+        return folders.select("path", F.lit("").alias("signature"))
     return done.select("path", "signature")
 
 

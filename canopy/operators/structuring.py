@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import trees
-from .heuristic import TOPICS
+from .heuristic import LEAVES, TOPICS, leaves
 from .provider import Provider
 from .segments import even_chunks
 
@@ -87,7 +87,7 @@ def preview(nodes: DataFrame, max_depth: int | None = None, note_length: int = 5
     depth = F.size("path")
     shown = nodes if max_depth is None else nodes.filter(depth <= max_depth)
     icons = F.create_map(*[F.lit(x) for kv in ICONS.items() for x in kv])
-    more = F.when((depth == (max_depth or -1)) & (F.col("n_nodes") > 1), F.format_string("  (+%d more)", F.col("n_nodes") - 1)).otherwise("")
+    more = F.when((depth == (-1 if max_depth is None else max_depth)) & (F.col("n_nodes") > 1), F.format_string("  (+%d more)", F.col("n_nodes") - 1)).otherwise("")
     told = F.when((note != "") & (depth > 0), F.concat(F.lit("  — "), short)).otherwise("")
     line = F.concat(F.repeat(F.lit("  "), depth), icons[F.col("type")], F.lit(" "), F.col("title"), told, more)
     return shown.join(below, ["map_id", "path"]).select("map_id", "path", line.alias("line"))
@@ -115,6 +115,28 @@ def timed_topics(segments: DataFrame, level: str = "full", key: str = "source")
     return each.select("map_id", F.array("i").alias("path"), F.when(F.col("timed"), F.get("s", first)["start"]).alias("timestamp"), F.array_join(words, " ").alias("text"))
 
 
+def timed_map(segments: DataFrame, sources: DataFrame, level: str = "full", key: str = "source") -> DataFrame:
+    """Nodes (map_id, path, title, type, note, timestamp) of segmented sources (key, seq, text, start, duration) without a model.
+
+    As heuristic.flat_map makes them, with the time at which each topic starts. sources (key, title) has every source:
+    one without text gets a node that says so.
+    """
+    level = level if level in TOPICS else "full"
+    rows = timed_topics(segments, level, key).withColumn("sents", T.sentences(F.col("text")))
+    null = F.lit(None)
+    row = lambda df, path, title, kind, note, at: df.select("map_id", path.cast("array<int>").alias("path"), title.alias("title"), F.lit(kind).alias("type"), note.cast("string").alias("note"), at.cast("double").alias("timestamp"))
+    roots = sources.select(F.col(key).alias("map_id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Mind Map")).alias("title"))
+    silent = roots.join(rows.select("map_id").distinct(), "map_id", "left_anti")
+    head = F.coalesce(F.get("sents", F.lit(0)), "text")
+    topics = row(rows, F.col("path"), T.snippet_title(head), "topic", T.truncate(F.col("text"), 500), F.col("timestamp"))
+    points = rows.select("map_id", "path", F.posexplode(leaves(F.col("sents"), LEAVES[level])).alias("j", "point"))
+    points = row(points, F.concat("path", F.array("j")), F.col("point"), "detail", null, null)
+    return (
+        row(roots, F.array(), F.col("title"), "root", null, null).unionByName(topics).unionByName(points)
+        .unionByName(row(silent, F.array(F.lit(0)), F.lit("(no content extracted)"), "detail", null, null))
+    )
+
+
 def polished(sections: DataFrame, headings: DataFrame, key: str = "map_id") -> DataFrame:
     """sections (key, number, heading) with the headings (key, headings: array) a provider gave, by position; all or none of a source."""
     sizes = sections.groupBy(key).agg(F.count("*").alias("n"))
@@ -134,6 +156,8 @@ def failover(sources: DataFrame, attempts: list[DataFrame], key: str = "map_id")
     for i, done in enumerate(attempts):
         rows = done.select(key, "engine", F.lit(i).alias("turn"))
         tried = rows if tried is None else tried.unionByName(rows)
+    if tried is None:
+        return sources.select(key, F.lit("heuristic").alias("engine"), F.lit(False).alias("used_fallback"))
     best = tried.groupBy(key).agg(F.min_by("engine", "turn").alias("engine"), F.min("turn").alias("turn"))
     told = sources.select(key).join(best, key, "left")
     return told.select(key, F.coalesce("engine", F.lit("heuristic")).alias("engine"), (F.coalesce("turn", F.lit(len(attempts))) > 0).alias("used_fallback"))

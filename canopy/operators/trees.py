@@ -43,6 +43,21 @@ def delete(nodes: DataFrame, map_id, path: list[int]) -> DataFrame:
     return kept.withColumn("path", F.when(mine & parent & (level > path[-1]), moved).otherwise(F.col("path")))
 
 
+def insert(nodes: DataFrame, additions: DataFrame) -> DataFrame:
+    """nodes with additions (map_id, parent, seq, title, type, note if there) as the last children of their parents, in the order of seq.
+
+    Several of one parent take the next places one after another; those whose parent isn't there are left out; other
+    columns of nodes are null in them.
+    """
+    k = F.size("path")
+    taken = nodes.filter(k > 0).groupBy("map_id", F.slice("path", 1, F.greatest(k - 1, F.lit(0))).alias("parent")).agg((F.max(F.try_element_at("path", F.lit(-1))) + 1).alias("taken"))
+    here = additions.join(nodes.select("map_id", F.col("path").alias("parent")), ["map_id", "parent"], "left_semi").join(taken, ["map_id", "parent"], "left")
+    turn = F.row_number().over(Window.partitionBy("map_id", "parent").orderBy("seq")) - 1
+    new = here.withColumn("path", F.concat("parent", F.array((F.coalesce("taken", F.lit(0)) + turn).cast("int"))))
+    given = {"map_id", "path", "title", "type"} | ({"note"} & set(additions.columns))
+    return nodes.unionByName(new.select(*[F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema]))
+
+
 def valid_links(links: DataFrame, hierarchical: bool = False) -> DataFrame:
     """Links (map_id, seq, a_path, b_path) without self-links, ancestors of each other, and pairs seen before either way."""
     a, b = F.col("a_path"), F.col("b_path")
@@ -76,7 +91,6 @@ def union_maps(nodes: DataFrame, items: DataFrame, title: str) -> DataFrame:
     return root.unionByName(rows)
 
 
-# The types that a Markdown bullet names.
 # The tags of node types in Markdown.
 TAGS = {"concept": "Concept", "definition": "Definition", "example": "Example", "insight": "Insight", "action": "Action", "warning": "Warning", "question": "Question"}
 

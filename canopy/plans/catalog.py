@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import anchors, enumeration, heuristic, outlines, provider, segments, snapshots, structuring, trees
-from ..sources import article, markdown, subtitles
+from ..sources import article, markdown, spans, subtitles
 from ..streaming import events as streams
 from . import maps
 
@@ -258,8 +258,10 @@ def edit_rename(spark, sf_dir):
 
 
 @query(f"""WITH {TREE}, k AS (SELECT n.*, (n_nationkey * 7) % 25 AS other FROM nation n), p AS (SELECT array_to_string(path, '.') AS p, title, path FROM tree WHERE type = 'concept'),
-  l AS (SELECT k.n_nationkey AS seq, a.path AS a, b.path AS b FROM k JOIN nation m ON m.n_nationkey = k.other JOIN p a ON a.title = k.n_name JOIN p b ON b.title = m.n_name WHERE a.path <> b.path)
-  SELECT CAST(min(seq) AS BIGINT) AS seq FROM l GROUP BY least(a, b), greatest(a, b)""")
+  l AS (SELECT k.n_nationkey AS seq, a.path AS a, b.path AS b FROM k JOIN nation m ON m.n_nationkey = k.other JOIN p a ON a.title = k.n_name JOIN p b ON b.title = m.n_name
+    UNION ALL SELECT 1000 + n_nationkey, a.path, [CAST(n_regionkey * 2 % 5 AS INTEGER)] FROM nation JOIN p a ON a.title = n_name),
+  m AS (SELECT * FROM l WHERE a <> b AND b[1:len(a)] <> a AND a[1:len(b)] <> b)
+  SELECT CAST(min(seq) AS BIGINT) AS seq FROM m GROUP BY least(a, b), greatest(a, b)""")
 def valid_links(spark, sf_dir):
     nation, nodes = table(spark, sf_dir, "nation"), _tree(spark, sf_dir).filter("type = 'concept'")
     other = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("other"))
@@ -267,7 +269,9 @@ def valid_links(spark, sf_dir):
     a = nodes.select("map_id", F.col("title").alias("n_name"), F.col("path").alias("a_path"))
     b = nodes.select(F.col("title").alias("other"), F.col("path").alias("b_path"))
     links = pairs.join(a, "n_name").join(b, "other").select("map_id", F.col("n_nationkey").cast("long").alias("seq"), "a_path", "b_path")
-    return trees.valid_links(links).select("seq")
+    # To regions too, of which region 0 is above its nations.
+    up = nation.join(a, "n_name").select("map_id", (F.col("n_nationkey") + 1000).cast("long").alias("seq"), "a_path", F.array((F.col("n_regionkey") * 2 % 5).cast("int")).alias("b_path"))
+    return trees.valid_links(links.unionByName(up)).select("seq")
 
 
 @query(f"""WITH {TREE}, o AS (SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS seq, len(path) AS level, title, path FROM tree WHERE len(path) > 0)
@@ -321,23 +325,27 @@ def batch_union(spark, sf_dir):
     return maps.batch_map(table(spark, sf_dir, "documents"), "All", level="full").select(dotted().alias("path"), "title", "type")
 
 
-@query("""WITH o AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS f FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, n_chars AS f FROM documents WHERE doc_id % 4 <> 0)
-  SELECT doc_id, CASE WHEN n.f IS NULL THEN 'removed' WHEN o.doc_id IS NOT NULL AND (o.f IS NULL OR o.f = n.f) THEN 'reused' ELSE 'new' END AS status FROM n FULL JOIN o USING (doc_id)""")
+# The last time, every third document had another id, every fifth no mark, every seventh another mark.
+@query("""WITH o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 10000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS f FROM documents)
+  SELECT doc_id, CASE WHEN n.n_chars IS NULL THEN 'removed' WHEN o.doc_id IS NOT NULL AND (o.f IS NULL OR o.f = n.n_chars) THEN 'reused' ELSE 'new' END AS status FROM documents n FULL JOIN o USING (doc_id)""")
 def batch_reuse_diff(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mark = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    old = docs.filter("doc_id % 3 <> 0").select("doc_id", mark.alias("fingerprint"))
-    return snapshots.reuse(docs.filter("doc_id % 4 <> 0").select("doc_id", F.col("n_chars").alias("fingerprint")), old, "doc_id")
+    was = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id"))
+    return snapshots.reuse(docs.select("doc_id", F.col("n_chars").alias("fingerprint")), docs.select(was.alias("doc_id"), mark.alias("fingerprint")), "doc_id")
 
 
-@query("""WITH o AS (SELECT c_custkey AS k, sum(o_orderkey) AS s FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0 AND c_custkey % 5 <> 0 GROUP BY 1), n AS (SELECT c_custkey AS k, sum(o_orderkey) AS s FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 6 <> 0 GROUP BY 1)
+# The last time, every fifth folder had another name, and every eleventh file another size.
+@query("""WITH o AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS k, sum(o_orderkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS s FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+  n AS (SELECT c_custkey AS k, sum(o_orderkey) AS s FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
   SELECT k AS relpath, CASE WHEN n.s IS NULL THEN 'deleted' WHEN o.s IS NULL THEN 'added' WHEN o.s = n.s THEN 'reused' ELSE 'changed' END AS status FROM n FULL JOIN o USING (k)""")
 def folder_diff(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("relpath"), "o_orderkey")
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("relpath")).join(orders, "relpath")
-    marks = lambda df: df.groupBy("relpath").agg(F.sum("o_orderkey").alias("signature"))
-    old, new = files.filter("o_orderkey % 11 <> 0 and relpath % 5 <> 0"), files.filter("relpath % 6 <> 0")
-    return snapshots.tree_diff(marks(new), marks(old)).select("relpath", "status")
+    sizes = files.groupBy("relpath").agg(F.sum("o_orderkey").alias("new"), F.sum(F.col("o_orderkey") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0)).alias("old"))
+    was = F.when(F.col("relpath") % 5 == 0, F.col("relpath") + 10_000_000).otherwise(F.col("relpath"))
+    old = sizes.select(was.alias("relpath"), F.col("old").alias("signature"))
+    return snapshots.tree_diff(sizes.select("relpath", F.col("new").alias("signature")), old).select("relpath", "status")
 
 
 @query("""WITH f AS (SELECT c_nationkey AS k, c_custkey, 'f:' || c_name || ':' || c_custkey || ':0' AS line FROM customer),
@@ -370,12 +378,14 @@ def folder_counts(spark, sf_dir):
     return snapshots.folder_counts(table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("parent"), F.lit(True).alias("is_dir")))
 
 
-@query("""SELECT d.doc_id AS stem, CASE WHEN l.doc_id IS NULL THEN d.doc_id || '.mp4' ELSE d.doc_id || '.srt' END AS path, l.doc_id IS NULL AS needs_transcription FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
-  UNION ALL SELECT DISTINCT l.doc_id, l.doc_id || '.srt', FALSE FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)""")
+@query("""WITH l AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN doc_id + 10000000 ELSE doc_id END AS doc_id FROM labels)
+  SELECT d.doc_id AS stem, CASE WHEN l.doc_id IS NULL THEN d.doc_id || '.mp4' ELSE d.doc_id || '.srt' END AS path, l.doc_id IS NULL AS needs_transcription FROM documents d LEFT JOIN l USING (doc_id)
+  UNION ALL SELECT doc_id, doc_id || '.srt', FALSE FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def course_sidecar(spark, sf_dir):
-    name = lambda suffix: F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("path")
-    media = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("stem"), name(".mp4"))
-    subs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem"), name(".srt")).distinct()
+    name = lambda suffix: F.concat(F.col("stem").cast("string"), F.lit(suffix)).alias("path")
+    media = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stem")).select("stem", name(".mp4"))
+    stem = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id"))
+    subs = table(spark, sf_dir, "labels").select(stem.alias("stem")).distinct().select("stem", name(".srt"))
     return snapshots.sidecars(media, subs)
 
 
@@ -389,7 +399,10 @@ def natural_sort(spark, sf_dir):
 @query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, sha256('1' || chr(0) || 'mock' || chr(0) || 'mock-1' || chr(0) || 'map' || chr(0) || 'full' || chr(0) || text) AS key FROM chunk WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM chunk WHERE doc_id % 2 = 0)")
 def llm_cache_misses(spark, sf_dir):
     asked = provider.requests(topic_chunks(spark, sf_dir), provider.MockProvider(), "map", "full")
-    return snapshots.cache_misses(asked, asked.filter("doc_id % 2 = 0").select("key").distinct()).select("doc_id", "chunk", "key")
+    # The cache has the odd documents' chunks at another level.
+    brief = provider.requests(asked.withColumnRenamed("key", "full"), provider.MockProvider(), "map", "brief")
+    cache = brief.select(F.when(F.col("doc_id") % 2 == 0, F.col("full")).otherwise(F.col("key")).alias("key")).distinct()
+    return snapshots.cache_misses(asked, cache).select("doc_id", "chunk", "key")
 
 
 @query(f"""WITH RECURSIVE {CHUNKS} SELECT doc_id AS map_id, CAST(chunk AS VARCHAR) AS path, substring(text, 1, 40) AS title, 'concept' AS type, substring(text, 1, 120) AS note FROM chunk
@@ -416,9 +429,12 @@ def stream_windows(spark, sf_dir):
 SQL["stream_windows"] = SQL["stream_windows"].replace("sum(value) AS total", "round(sum(value), 4) AS total")
 
 
-@query("SELECT page_id, 'article' AS kind FROM pages")
+@query("""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'article' WHEN 1 THEN 'captions' WHEN 2 THEN 'playlist' WHEN 3 THEN 'subtitle' WHEN 4 THEN 'video' WHEN 5 THEN 'pdf' WHEN 6 THEN 'audio' WHEN 7 THEN 'map' ELSE 'unknown' END AS kind FROM pages""")
 def source_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.source_kind(F.col("url")).alias("kind"))
+    """The pages' addresses, and what they would be as videos, lists and files."""
+    url, name = F.col("url"), F.concat(F.lit("/data/"), F.col("page_id").cast("string"))
+    made = [url, F.concat(F.lit("https://youtu.be/"), name), F.concat(F.lit("https://www.YouTube.com/playlist?list="), name), *(F.concat(name, F.lit(x)) for x in (".SRT", ".mkv", ".pdf", ".ogg", ".opml", ".xyz"))]
+    return table(spark, sf_dir, "pages").select("page_id", T.source_kind(F.element_at(F.array(*made), (F.col("page_id") % 9 + 1).cast("int"))).alias("kind"))
 
 
 @query(r"""SELECT page_id, CASE WHEN name = '' THEN url ELSE array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') END AS title
@@ -542,3 +558,28 @@ def mock_map_reduce(spark, sf_dir):
 def timed_topics(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("seq"), T.collapse(F.coalesce("text", F.lit(""))).alias("text"), (F.col("turn") * 5).cast("double").alias("start"), F.lit(4.0).alias("duration"))
     return structuring.timed_topics(rows).select("map_id", dotted().alias("path"), "timestamp")
+
+
+TIMED = HEURISTIC.replace(SEGS, r"""
+heard AS (SELECT conv_id AS doc_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM conversations),
+raw AS (SELECT doc_id, coalesce(list(text ORDER BY turn) FILTER (WHERE text <> ''), []) AS segs, coalesce(list(turn ORDER BY turn) FILTER (WHERE text <> ''), []) AS turns FROM heard GROUP BY doc_id)
+""").replace("NULL AS note FROM documents", "NULL AS note FROM raw")
+
+
+@query(f"""WITH {TIMED} SELECT map_id, path, title, type, note, CASE WHEN type = 'topic' THEN CAST(turns[CAST(path AS INTEGER) * greatest(1, len(segs) // greatest(1, least(9, len(segs)))) + 1] * 5 AS DOUBLE) END AS timestamp
+  FROM nodes JOIN raw ON doc_id = map_id""")
+def timed_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("seq"), T.collapse(F.coalesce("text", F.lit(""))).alias("text"), (F.col("turn") * 5).cast("double").alias("start"), F.lit(4.0).alias("duration"))
+    nodes = structuring.timed_map(rows, rows.select("source", F.lit("").alias("title")).distinct())
+    return nodes.select("map_id", dotted().alias("path"), "title", "type", "note", "timestamp")
+
+
+# Parts as the spans of lines: a page a size, a line two prices.
+@query("""WITH s AS (SELECT p_brand AS source, p_size AS page, p_partkey // 2 AS block, p_partkey % 2 AS line, part.* FROM part),
+  l AS (SELECT source, page, block % 3 AS block, line, max(p_retailprice * 7 % 1000 / 80) AS size, trim(string_agg(CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE ' ' || p_name END, '' ORDER BY p_partkey)) AS text FROM s GROUP BY ALL)
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY page, block, line) - 1 AS seq, page, round_even(size * 2, 0) / 2 AS size, text FROM l WHERE text <> ''""")
+def span_lines(spark, sf_dir):
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = F.when(key % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "p_name"))
+    made = part.select(F.col("p_brand").alias("source"), F.col("p_size").alias("page"), (F.floor(key / 2) % 3).alias("block"), (key % 2).alias("line"), key.alias("span"), (F.col("p_retailprice") * 7 % 1000 / 80).alias("size"), text.alias("text"))
+    return spans.lines(made)

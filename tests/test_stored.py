@@ -163,3 +163,98 @@ def test_what_a_root_points_at(spark):
 
     rows = spark.createDataFrame([("https://a.org/x", False), ("file:///a", False), ("/d/my file.pdf", True), ("gone.pdf", False)], "source string, is_file boolean")
     assert [r[0] for r in rows.select(mapfiles.source_href(F.col("source"), F.col("is_file"))).collect()] == ["https://a.org/x", "file:///a", "file:///d/my%20file.pdf", None]
+
+
+LISTED = "path string, parent string, name string, is_dir boolean, size long, mtime double, depth int"
+
+
+def listing(spark, files, root="Root"):
+    """Rows of a folder listing from {path: size}, with all folders above them."""
+    rows = {"/": ("/", None, root, True, 0, 0.0, 0)}
+    for path, size in files.items():
+        parts = path.strip("/").split("/")
+        for k in range(1, len(parts) + 1):
+            at, is_dir = "/" + "/".join(parts[:k]), k < len(parts) or size is None
+            rows.setdefault(at, (at, "/" + "/".join(parts[: k - 1]), parts[k - 1], is_dir, 0 if is_dir else size, 0.0, k))
+    return spark.createDataFrame(list(rows.values()), LISTED)
+
+
+def test_folder_maps_show_folders_first_and_cap(spark):
+    from canopy.operators import foldertrees
+
+    files = listing(spark, {"/b.txt": 1, "/A.txt": 1, "/README.md": 1, "/z/deep/er/x": 1, "/z/deep/y": 1, "/z/f1": 1, "/empty": None, **{f"/many/{i}.t": 1 for i in range(6)}})
+    nodes = foldertrees.build(files, max_depth=2, max_files=3)
+    assert {tuple(r.path): (r.title, r.type, r.note) for r in nodes.collect()} == {
+        (): ("Root", "root", "3 folder(s), 3 file(s)"), (0,): ("empty", "topic", None), (1,): ("many", "topic", "0 folder(s), 6 file(s)"), (1, 0): ("0.t", "detail", None), (1, 1): ("1.t", "detail", None),
+        (1, 2): ("2.t", "detail", None), (1, 3): ("+3 more file(s)", "detail", None), (2,): ("z", "topic", "1 folder(s), 1 file(s)"), (2, 0): ("deep", "topic", None), (2, 0, 0): ("+3 more item(s)", "detail", None),
+        (2, 1): ("f1", "detail", None), (3,): ("A.txt", "detail", None), (4,): ("b.txt", "detail", None), (5,): ("README.md", "definition", None),
+    }
+    every = listing(spark, {"/z/deep/er/x": 1, "/z/deep/y": 1, "/z/deep/.git/config": 1}).select("path")
+    assert [r.title for r in foldertrees.build(files, 2, 3, every).filter("title like '%item%'").collect()] == ["+5 more item(s)"]
+    bare = listing(spark, {})
+    assert [(r.path, r.title, r.note) for r in foldertrees.build(bare).collect()] == [([], "Root", None)] and foldertrees.signatures(bare).count() == 1
+
+
+def test_folder_labels_stay_where_nothing_changed(spark):
+    from canopy.operators import foldertrees, modelled, requests
+    from canopy.operators.echo import EchoProvider
+
+    kept, log = store.Store(spark), store.Log(spark)
+    answers = requests.Answers(EchoProvider(), log)
+
+    def label(nodes, wanted):
+        under = lambda df: df.withColumn("map_id", F.lit("r"))
+        out, failures = modelled.label_folders(under(nodes), under(wanted), answers)
+        assert failures.count() == 0
+        return out.drop("map_id")
+
+    notes = lambda tree: {r.title: r.note for r in tree.nodes.filter("folder is not null").collect()}
+    was = {"/a/x": 1, "/a/in/y": 1, "/b/z": 1}
+    first = foldertrees.run(kept, "r", listing(spark, was), label=label)
+    assert first.diff is None and notes(first) == {"Root": "2 folder(s), 0 file(s)", "a": "a with 2", "in": "in with 1", "b": "b with 1"} and answers.asked() == 3
+    second = foldertrees.run(kept, "r", listing(spark, {**was, "/a/x": 2, "/c/w": 1}), label=label)
+    assert {(r.folder, r.status) for r in second.diff.collect()} == {("/", "changed"), ("/a", "changed"), ("/a/in", "reused"), ("/b", "reused"), ("/c", "added")}
+    assert sorted(tuple(r.path) for r in second.wanted.collect()) == [(0,), (2,)] and answers.asked() == 4  # a's listing is as it was, so its label is known
+    assert notes(second)["in"] == "in with 1" and notes(second)["c"] == "c with 1"
+
+    def broken(nodes, wanted):
+        raise RuntimeError("provider down")
+
+    with pytest.raises(RuntimeError):
+        foldertrees.run(kept, "r", listing(spark, {"/a/x": 9}), label=broken)
+    third = foldertrees.run(kept, "r", listing(spark, {"/b/z": 1}))
+    assert {(r.folder, r.status) for r in third.diff.collect()} == {("/", "changed"), ("/b", "reused"), ("/a", "deleted"), ("/a/in", "deleted"), ("/c", "deleted")}
+    assert notes(third)["b"] == "b with 1" and third.wanted.count() == 0
+    assert foldertrees.run(kept, "r", listing(spark, {"/b/z": 1}), max_files=5).diff is None  # other caps
+    assert foldertrees.run(kept, "r", listing(spark, {"/b/z": 1}), max_files=5, incremental=False).diff is None
+
+
+def test_spans_become_lines(spark):
+    from canopy.operators import trees
+    from canopy.sources import spans
+
+    rows = [("s", 0, 0, 0, 1, 9.0, "lo "), ("s", 0, 0, 0, 0, 10.26, " Hel"), ("s", 0, 0, 1, 0, 10.25, " "), ("s", 0, 1, 0, 0, 10.25, "half"), ("s", 1, 0, 0, 0, None, "none"), ("s", 1, 0, 1, 0, 10.75, None)]
+    table = spark.createDataFrame(rows, "source string, page int, block int, line int, span int, size double, text string")
+    assert [(r.seq, r.page, r.size, r.text) for r in spans.lines(table).orderBy("seq").collect()] == [(0, 0, 10.5, "Hello"), (1, 0, 10.0, "half"), (2, 1, 0.0, "none")]
+    big = [("d", p, b, 0, 0, 18.0 if b == 0 else 10.0, f"{'Head' if b == 0 else 'body'} {p} {b}") for p in range(3) for b in range(4)]
+    headings = trees.heading_levels(spans.lines(spark.createDataFrame(big, table.schema)))
+    assert sorted((r.title, r.level, r.page) for r in headings.collect()) == [("Head 0 0", 1, 0), ("Head 1 0", 1, 1), ("Head 2 0", 1, 2)]
+
+
+def test_timed_maps_tell_what_is_silent(spark):
+    from canopy.operators import structuring
+
+    rows = spark.createDataFrame([("a", i, f"Sentence {i}. More of it {i}.", float(i * 10), 4.0) for i in range(20)] + [("b", 0, " ", 0.0, 0.0), ("c", 0, "plain", 0.0, 0.0)], "source string, seq int, text string, start double, duration double")
+    sources = spark.createDataFrame([("a", "Talk"), ("b", ""), ("c", None)], "source string, title string")
+    got = {(r.map_id, tuple(r.path)): (r.title, r.type, r.timestamp) for r in structuring.timed_map(rows, sources).collect()}
+    assert got[("a", ())] == ("Talk", "root", None) and got[("a", (1,))] == ("Sentence 2.", "topic", 20.0) and got[("a", (1, 0))] == ("More of it 2.", "detail", None)
+    assert got[("b", (0,))] == ("(no content extracted)", "detail", None) and got[("c", (0,))] == ("Plain", "topic", None) and got[("c", ())][0] == "Mind Map"
+    assert not any(len(p) > 1 for _, p in {(r.map_id, tuple(r.path)) for r in structuring.timed_map(rows, sources, "brief").collect()})
+
+
+def test_previews_cut_at_the_root(spark):
+    from canopy.operators import structuring
+
+    nodes = spark.createDataFrame([("m", [], "R", "root", None), ("m", [0], "x", "topic", None)], "map_id string, path array<int>, title string, type string, note string")
+    assert [r.line for r in structuring.preview(nodes, max_depth=0).collect()] == ["* R  (+1 more)"]
+    assert [tuple(r) for r in structuring.failover(nodes.select("map_id").distinct(), []).collect()] == [("m", "heuristic", False)]
