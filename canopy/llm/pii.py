@@ -5,11 +5,16 @@ patterns; the same words stand around other tokens. Spark scores the graph of pa
 pattern is as good as the share of its distinct instances that are known to be of the kind, an instance as good as its
 best pattern on the left and its best on the right together. Instances of high score are added to the seeds' spans.
 
-A fifth kind, secret, has no base rule: long runs of hexadecimal digits are its seeds, but they, too, are added only
-where the words around them prove a pattern. So keys and tokens are found where texts name them, and a checksum
-without such words is left alone. What an instance may look like follows from its pattern: by a strong one, any token
-with a digit or an @ is taken; by weaker ones, only tokens with the looks of the kind. An instance is one token: what
-is written with blanks in it is found by base rules only.
+A fifth kind, secret, has no base rule. Its seeds are a share of the long runs of hexadecimal digits, told by their
+hashes; all the others are unknown tokens like any, and have to be found by the words around them, as keys of other
+shapes have to be. Seeds, too, are added only where those words prove a pattern. So keys and tokens are found where
+texts name them, and a checksum without such words is left alone. n_unseen counts additions that were no seeds.
+
+What speaks against a pattern follows from the kind. A base kind's rule is complete on its own form, so any instance it
+rejected counts against it; of secrets only some are known, so only what can't be one counts: a seed of another kind,
+or a token without the looks of a key. What an instance may look like follows from its pattern: by a strong one, any
+token with a digit or an @ is taken; by weaker ones, only tokens with the looks of the kind. A pattern grows strong by
+what it finds, round by round. An instance is one token: what is written with blanks in it is found by base rules only.
 """
 
 from __future__ import annotations
@@ -159,15 +164,18 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.mapInArrow(run, f"`{id_col}` {kind}, key struct<a:bigint,b:bigint>, base {SPANS}, mentions {around}")
 
 
-def bootstrap(seen: DataFrame, rounds: int = 3, confident: float = 0.8, strong: float = 0.95, least_seeds: int = 3) -> DataFrame:
-    """(surface, kind, score) of the instances that high-confidence patterns find: unseen ones, and seeds of secrets.
+def bootstrap(seen: DataFrame, rounds: int = 3, confident: float = 0.8, strong: float = 0.95, least_seeds: int = 3, one_seed_in: int = 2) -> DataFrame:
+    """(surface, kind, score, unseen) of the instances that high-confidence patterns find; unseen says that it was no seed.
 
     seen: (surface, seed, kinds, two, before, after). A pattern is the word before, the two words before, the word after,
     or the words before and after; it needs least_seeds distinct seeds of the kind. An instance's score is that of its
     best pattern on the left and its best with the word after alone, taken as independent; it has to
-    reach confident. By a pattern of strong confidence an instance of any looks is found.
+    reach confident. By a pattern of strong confidence an instance of any looks is found. Of the long hexadecimal runs
+    one in one_seed_in is a seed of a secret, by the hash of its text, so the same ones whatever the table's order.
     """
     texts = [F.concat(F.lit(k), *c) for k, c in (("L ", ["before"]), ("T ", ["two"]), ("R ", ["after"]), ("B ", ["before", F.lit(" "), "after"]))]
+    kept_back = (F.col("seed") == SECRET) & (F.pmod(F.xxhash64("surface"), F.lit(one_seed_in)) != 0)
+    seen = seen.withColumn("seed", F.when(kept_back, F.lit(None)).otherwise(F.col("seed")))
     each = seen.select("surface", "seed", "kinds", F.explode(F.array(*texts)).alias("pattern")).filter("pattern not in ('L ', 'T ', 'R ', 'B  ')")
     edges = each.groupBy("pattern", "surface").agg(F.max("seed").alias("seed"), F.first("kinds").alias("kinds"))
     open_ = F.col("seed").isNull() | (F.col("seed") == SECRET)
@@ -175,16 +183,18 @@ def bootstrap(seen: DataFrame, rounds: int = 3, confident: float = 0.8, strong:
     useful = useful.filter((F.col("seeds") >= least_seeds) & (F.col("open") > 0)).select("pattern")
     edges = materialize(edges.join(useful, "pattern", "left_semi"), "pii-edges")
     seeds = edges.filter("seed is not null").select("surface", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    found = seeds.limit(0)
+    found = seeds.limit(0).withColumn("unseen", F.lit(False))
     if edges.isEmpty():
         return found
     scores = seeds
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    no_secret = F.coalesce(F.col("seed") != SECRET, ~F.array_contains("kinds", SECRET))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(no_secret).alias("against"))
     for _ in range(rounds):
         known = edges.select("pattern", "surface").join(scores, "surface")
         patterns = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum((F.col("score") == 1.0).cast("int")).alias("seeds"))
         patterns = patterns.filter(F.col("seeds") >= least_seeds).join(sizes, "pattern")
-        patterns = patterns.select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= confident / 2)
+        weighed = F.when(F.col("kind") == SECRET, F.col("mass") + F.col("against")).otherwise(F.col("n"))
+        patterns = patterns.select("pattern", "kind", (F.col("mass") / (weighed + 1)).alias("confidence")).filter(F.col("confidence") >= confident / 2)
         told = edges.filter(open_).join(patterns, "pattern").filter("seed is null or seed = kind")
         told = told.filter(F.array_contains("kinds", F.col("kind")) | (F.col("confidence") >= strong))
         right = F.col("pattern").startswith("R ")
@@ -195,29 +205,32 @@ def bootstrap(seen: DataFrame, rounds: int = 3, confident: float = 0.8, strong:
         found = materialize(found.groupBy("surface").agg(best.alias("kind"), F.max("score").alias("score")), "pii-found")
         fresh = found.join(seeds.select("surface"), "surface", "left_anti").select("surface", "kind", F.least("score", F.lit(0.99)).alias("score"))
         scores = materialize(seeds.unionByName(fresh), "pii-scores")
-    return found
+    known = seeds.select("surface", F.lit(False).alias("unseen"))
+    return found.join(known, "surface", "left").withColumn("unseen", F.coalesce("unseen", F.lit(True)))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_more, n_spans) for each row, from its whole text.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_more, n_unseen, n_spans) for each row, from its whole text.
 
     The four counts and the digest are of the base rules' spans; spans also has the n_more that the bootstrap adds, of
-    the kinds as listed and secret after them; n_spans counts all. An addition never lies within a base span. A null
+    the kinds as listed and secret after them; n_unseen of these were no seeds; n_spans counts all. An addition never lies within a base span. A null
     text counts as empty and has no spans; repeated rows are reported each, and their mentions count as one instance;
     long texts are read wholly; null ids stay; an empty table gives no rows; other columns aren't read.
     """
     rows = materialize(scan(docs, id_col, text_col), "pii-scan")
     flat = rows.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
-    found = bootstrap(flat.select("surface", "seed", "kinds", "two", "before", "after"), **options)
+    found = materialize(bootstrap(flat.select("surface", "seed", "kinds", "two", "before", "after"), **options), "pii-instances")
     count = found.count()
     found = F.broadcast(found) if count <= BROADCAST_SPANS else found
-    more = flat.filter(f"seed is null or seed = {SECRET}").join(found.select("surface", "kind"), "surface").select("key", F.struct(F.col("kind").alias("k"), "s", "e").alias("x"))
+    more = flat.filter(f"seed is null or seed = {SECRET}").join(found.select("surface", "kind", "unseen"), "surface").select("key", F.struct(F.col("kind").alias("k"), "s", "e", F.col("unseen").alias("u")).alias("x"))
     more = materialize(more.groupBy("key").agg(F.collect_set("x").alias("more")), "pii-more")
     # Few texts have additions; so equal texts, however many, needn't meet in one task. Beyond the bound Spark splits them.
     spans = more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
     more = F.broadcast(more) if spans <= BROADCAST_SPANS else more
     none = F.array().cast(SPANS)
-    told = rows.join(more, "key", "left").withColumn("more", F.coalesce("more", none)).withColumn("every", F.array_sort(F.concat("base", "more")))
+    unseen = F.coalesce(F.size(F.filter("more", lambda x: x["u"])), F.lit(0)).cast("long")
+    plain = F.transform("more", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    told = rows.join(more, "key", "left").withColumn("n_unseen", unseen).withColumn("more", F.coalesce(plain, none)).withColumn("every", F.array_sort(F.concat("base", "more")))
     names = F.array(*[F.lit(k) for k in MORE_KINDS])
     told_of = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
@@ -225,5 +238,5 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
         return F.size(F.filter(spans, lambda x: x["k"] == i)).cast("long").alias(f"n_{MORE_KINDS[i]}")
 
     counts = [of_kind("base", i) for i in range(len(KINDS))]
-    sizes = [of_kind("more", SECRET), F.size("more").cast("long").alias("n_more"), F.size("every").cast("long").alias("n_spans")]
+    sizes = [of_kind("more", SECRET), F.size("more").cast("long").alias("n_more"), F.col("n_unseen"), F.size("every").cast("long").alias("n_spans")]
     return told.select(id_col, *counts, F.sha2(told_of(F.col("base")), 256).alias("base_sha256"), told_of(F.col("every")).alias("spans"), *sizes)
