@@ -31,26 +31,24 @@ def flat_map(docs: DataFrame, level: str = "full", key: str = "doc_id", title: C
     title = F.lit(None).cast("string") if title is None else title
     named = F.coalesce(F.nullif(title, F.lit("")), F.lit("Mind Map"))
     rows = lines(docs, text_col).select(F.col(key).alias("map_id"), named.alias("root"), even_chunks(F.col("segs"), TOPICS[level]).alias("chunks"))
-    rows = rows.withColumn("texts", F.transform("chunks", lambda c: T.strip(F.array_join(c, " "))))
-    # Sentences are split once a chunk, in a column of their own; what's made of them reads that.
-    rows = rows.withColumn("parts", F.transform("texts", lambda t: F.struct(t.alias("text"), T.sentences(t).alias("sents"))))
-
-    def node(path: Column, title: Column, kind: str, note: Column) -> Column:
-        return F.struct(path.cast("array<int>").alias("path"), title.alias("title"), F.lit(kind).alias("type"), note.cast("string").alias("note"))
-
+    # A chunk is a row of its own before its text is looked at, so what is made of it is generated code.
+    rows = rows.select("map_id", "root", F.posexplode_outer("chunks").alias("i", "chunk"))
+    rows = rows.select("map_id", "root", "i", F.array_join("chunk", " ").alias("text"))
+    rows = rows.withColumn("sents", T.split_sentences(F.col("text")))
+    n = LEAVES[level]
+    step = F.greatest(F.lit(1), F.floor((F.size("sents") - 1) / n).cast("int")) if n else None
+    # A node before its title is cut: which point of the chunk it is, -1 for the topic, -2 for the map's root.
+    node = lambda j, raw, note: F.struct(j.alias("j"), raw.cast("string").alias("raw"), note.cast("string").alias("note"))
     none = F.lit(None)
-
-    def topic(part: Column, i: Column) -> Column:
-        text = part["text"]
-        head = F.coalesce(F.get(part["sents"], F.lit(0)), text)
-        points = F.transform(leaves(part["sents"], LEAVES[level]), lambda s, j: node(F.array(i, j), s, "detail", none))
-        return F.concat(F.array(node(F.array(i), T.snippet_title(head, stripped=True), "topic", T.truncate(text, 500, stripped=True))), points)
-
-    empty = F.array(node(F.array(F.lit(0)), F.lit("(no content extracted)"), "detail", none))
-    body = F.when(F.size("texts") == 0, empty).otherwise(F.flatten(F.transform("parts", topic)))
-    root = F.array(node(F.array(), F.col("root"), "root", none))
-    nodes = rows.select("map_id", F.explode_outer(F.concat(root, body)).alias("n"))
-    return nodes.select("map_id", "n.path", "n.title", "n.type", "n.note", F.lit(None).cast("double").alias("timestamp"))
+    topic = node(F.lit(-1), F.coalesce(F.get("sents", F.lit(0)), F.col("text")), T.truncate(F.col("text"), 500, stripped=True))
+    points = [F.when(F.size("sents") > 1 + j * step, node(F.lit(j), F.get("sents", 1 + j * step), none)) for j in range(n)]
+    root = F.when(F.coalesce("i", F.lit(0)) == 0, node(F.lit(-2), F.col("root"), none))
+    nodes = rows.select("map_id", "i", F.explode_outer(F.array(root, topic, *points)).alias("n")).filter("n is not null").select("map_id", "i", "n.*")
+    empty, top = F.col("i").isNull(), F.col("j") == -2
+    title = F.when(top, F.col("raw")).when(empty, "(no content extracted)").when(F.col("j") == -1, T.snippet_title(F.col("raw"), stripped=True)).otherwise(T.truncate(F.col("raw"), 90, stripped=True))
+    path = F.when(top, F.array().cast("array<int>")).when(empty, F.array(F.lit(0))).when(F.col("j") == -1, F.array("i")).otherwise(F.array("i", "j"))
+    kind = F.when(top, "root").when(empty | (F.col("j") >= 0), "detail").otherwise("topic")
+    return nodes.select("map_id", path.alias("path"), title.alias("title"), kind.alias("type"), "note", F.lit(None).cast("double").alias("timestamp"))
 
 
 def enumerated_map(sections: DataFrame, intro: DataFrame, level: str = "full", least_intro: int = 40) -> DataFrame:

@@ -13,8 +13,7 @@ BUDGETS = {"brief": 2000, "full": 1400, "expert": 1200}
 
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with column segs: the array of cleaned lines that aren't blank."""
-    kept = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), T.clean_caption), lambda s: s != "")
-    return docs.withColumn("segs", kept)
+    return docs.withColumn("segs", T.clean_lines(F.coalesce(text_col, F.lit(""))))
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,21 +36,17 @@ def scored(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFram
     a column of its own, so that no lambda evaluates another array again for each element.
     """
     rows = lines(docs, text_col).withColumn("sets", F.transform("segs", T.tokens))
-    rows = rows.withColumn("sides", F.transform(
-        F.when(F.size("sets") < 2 * window, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(window), F.size("sets") - window)),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.array_distinct(F.flatten(F.slice("sets", i - window + 1, window))).alias("left"),
-            F.array_distinct(F.flatten(F.slice("sets", i + 1, window))).alias("right"),
-        ),
-    ))
-    counted = F.transform("sides", lambda g: F.struct(
-        g["i"].alias("i"), F.size(F.array_intersect(g["left"], g["right"])).alias("both"), F.size(F.array_union(g["left"], g["right"])).alias("all")))
-    rows = rows.withColumn("counted", counted)
+    # The window on a gap's right is that on the left of the gap a window later, so each is made once.
+    spans = F.when(F.size("sets") < 2 * window, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("sets") - window))
+    rows = rows.withColumn("spans", F.transform(spans, lambda i: F.array_distinct(F.flatten(F.slice("sets", i + 1, window)))))
+    gaps = F.slice("spans", 1, F.greatest(F.size("spans") - window, F.lit(0)))
+    counted = F.transform(gaps, lambda left, i: F.struct(
+        (i + window).alias("i"), F.size(F.array_intersect(left, F.get("spans", i + window))).alias("both"), (F.size(left) + F.size(F.get("spans", i + window))).alias("sizes")))
+    rows = rows.withColumn("counted", F.transform(counted, lambda g: F.struct(g["i"].alias("i"), g["both"].alias("both"), (g["sizes"] - g["both"]).alias("all"))))
     score = lambda g: F.when(g["all"] == 0, F.lit(1.0)).otherwise(g["both"] / g["all"])
     rows = rows.withColumn("scores", F.transform("counted", lambda g: F.struct(g["i"].alias("i"), score(g).alias("score"))))
     rows = rows.withColumn("sorted", F.array_sort(F.transform("scores", lambda s: s["score"])))
-    return rows.withColumn("limit", threshold(F.col("sorted"))).drop("sides", "counted", "sorted")
+    return rows.withColumn("limit", threshold(F.col("sorted"))).drop("spans", "counted", "sorted")
 
 
 def threshold(values: Column, fraction: float = 0.25, cap: float = 0.5) -> Column:
@@ -68,27 +63,33 @@ def batch_size(n: Column, target: int = 9) -> Column:
     return F.when(n <= target, F.lit(1)).otherwise(F.ceil(n / target)).cast("int")
 
 
-def chunk_numbers(counts: Column, boundary_after: Column, most: Column, fraction: float = 0.4) -> Column:
-    """The chunk of each segment: cut after it if the chunk has `most` words, or enough and the next gap is a boundary."""
+def chunk_runs(counts: Column, boundary_after: Column, most: Column, fraction: float = 0.4) -> Column:
+    """The chunks of segments as (first, n, words): cut after one if the chunk has `most` words, or enough and the next gap is a boundary."""
     least = F.floor(most * fraction)
+    run = lambda first, n, words: F.array(F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"), words.cast("int").alias("words")))
 
     def step(state: Column, i: Column) -> Column:
         total = state["words"] + F.get(counts, i)
         cut = (total >= most) | ((total >= least) & F.get(boundary_after, i))
         return F.struct(
-            F.when(cut, F.lit(0)).otherwise(total).cast("long").alias("words"),
-            (state["chunk"] + F.when(cut, 1).otherwise(0)).cast("int").alias("chunk"),
-            F.concat(state["of"], F.array(state["chunk"])).alias("of"),
-        )
+            F.when(cut, F.lit(0)).otherwise(total).cast("long").alias("words"), F.when(cut, i + 1).otherwise(state["first"]).alias("first"),
+            F.when(cut, F.concat(state["runs"], run(state["first"], i + 1 - state["first"], total))).otherwise(state["runs"]).alias("runs"),
+        )
 
-    zero = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
+    def rest(state: Column) -> Column:
+        n = F.size(counts) - state["first"]
+        return F.when(n > 0, F.concat(state["runs"], run(state["first"], n, state["words"]))).otherwise(state["runs"])
+
+    zero = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("first"), F.array().cast("array<struct<first:int,n:int,words:int>>").alias("runs"))
     each = F.when(F.size(counts) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(counts) - 1))
-    return F.aggregate(each, zero, step, lambda s: s["of"])
+    return F.aggregate(each, zero, step, rest)
 
 
 def topic_chunks(docs: DataFrame, most: int | None = None, level: str = "full", key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, chunk, first_seq, n_segments, n_words, text) of each document, cut at topic boundaries."""
-    rows = scored(docs, text_col).select(key, "segs", "scores", "limit", F.transform("segs", T.word_count).alias("counts"))
+    # Clean lines have single blanks alone between their words.
+    counts = F.transform("segs", lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)
+    rows = scored(docs, text_col).select(key, "segs", "scores", "limit", counts.alias("counts"))
     total = F.aggregate("counts", F.lit(0), lambda a, c: a + c)
     budget = F.lit(most) if most else adaptive_words(total, F.lit(BUDGETS[level]))
     # Scores are those of gaps 3 to n - 3, in order; a gap without one is no boundary unless the limit is 1.
@@ -96,12 +97,11 @@ def topic_chunks(docs: DataFrame, most: int | None = None, level: str = "full",
     first = F.when(n > 0, F.get("scores", F.lit(0))["i"]).otherwise(0)
     after = F.transform("segs", lambda _, i: F.coalesce(F.when((i + 1 >= first) & (i + 1 < first + n), F.get("scores", i + 1 - first)["score"]), F.lit(1.0)) <= F.col("limit"))
     rows = rows.withColumns({"most": budget.cast("long"), "after": after})
-    rows = rows.withColumn("of", chunk_numbers(F.col("counts"), F.col("after"), F.col("most")))
-    rows = rows.select(key, "segs", "counts", "of", F.explode_outer(F.array_distinct("of")).alias("chunk")).filter("chunk is not null")
-    first = F.array_position("of", F.col("chunk")).cast("int")
-    n = F.size(F.filter("of", lambda c: c == F.col("chunk")))
-    words = F.aggregate(F.slice("counts", first, n), F.lit(0), lambda a, c: a + c)
-    return rows.select(key, "chunk", (first - 1).alias("first_seq"), n.alias("n_segments"), words.alias("n_words"), F.array_join(F.slice("segs", first, n), " ").alias("text"))
+    rows = rows.withColumn("runs", chunk_runs(F.col("counts"), F.col("after"), F.col("most")))
+    # Texts are cut out before chunks are rows of their own, which so don't carry the other segments.
+    told = F.transform("runs", lambda r: F.struct(
+        r["first"].alias("first_seq"), r["n"].alias("n_segments"), r["words"].alias("n_words"), F.array_join(F.slice("segs", r["first"] + 1, r["n"]), " ").alias("text")))
+    return rows.select(key, F.posexplode_outer(told).alias("chunk", "r")).filter("chunk is not null").select(key, "chunk", "r.*")
 
 
 def even_chunks(segs: Column, target: int) -> Column:
