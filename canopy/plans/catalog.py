@@ -206,7 +206,15 @@ def list_items(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(T.list_items(plain)).alias("i", "item"))
 
 
-@query()
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(rf"""WITH r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^\pL\pN_])([A-Z][A-Za-z''’]+(?:\s+[A-Z][A-Za-z''’]+)+)', 1) AS rs FROM documents),
+  w AS (SELECT doc_id, list_transform(rs, lambda x: regexp_split_to_array(x, '\s+')) AS ws FROM r),
+  t AS (SELECT doc_id, list_transform(ws, lambda w: w[coalesce(nullif(list_position(list_transform(w, lambda x: list_contains({_listed(T.PROPER_LEAD)}, lower(x))), false), 0), 1000000):]) AS ws FROM w),
+  k AS (SELECT doc_id, list_filter(ws, lambda w: len(w) >= 2 AND len(list_filter(w, lambda x: NOT list_contains({_listed(T.PROPER_STOP)}, lower(x)))) > 0) AS ws FROM t)
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, array_to_string(ws[i], ' ') AS name FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM k)""")
 def proper_nouns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.proper_nouns(F.coalesce("text", F.lit("")))).alias("i", "name"))
 
