@@ -103,12 +103,3 @@ def batches(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 def call_estimate(docs: DataFrame, level: str = "full") -> DataFrame:
     """docs (n_chunks) with the number of requests a map takes: chunks, the reduction, and linking for experts."""
     return docs.withColumn("calls", F.col("n_chunks") + 1 + (1 if level == "expert" else 0))
-
-
-def synthesis(nodes: DataFrame, insights: DataFrame, least: int = 3) -> DataFrame:
-    """nodes with a last branch of insights (map_id, i, title) for maps of at least three nodes below the root."""
-    sizes = nodes.groupBy("map_id").agg(F.count_if(F.size("path") > 0).alias("n"), (F.coalesce(F.max(F.get("path", F.lit(0))), F.lit(-1)) + 1).alias("at"))
-    big = sizes.filter(F.col("n") >= least).join(insights.select("map_id").distinct(), "map_id", "left_semi")
-    head = big.select("map_id", F.array("at").alias("path"), F.lit("Key Takeaways").alias("title"), F.lit("insight").alias("type"), F.lit(None).cast("string").alias("note"))
-    below = insights.join(big, "map_id").select("map_id", F.array(F.col("at"), F.col("i").cast("int")).alias("path"), "title", F.lit("insight").alias("type"), F.lit(None).cast("string").alias("note"))
-    return nodes.select("map_id", "path", "title", "type", "note").unionByName(head).unionByName(below)

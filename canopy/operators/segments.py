@@ -23,12 +23,6 @@ def segments(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
     return rows.filter("text is not null")
 
 
-def gather(segs: DataFrame, key: str, *fields: str) -> DataFrame:
-    """(key, segs: ordered array of structs) of segment rows that aren't blank."""
-    rows = segs.filter(T.strip(F.col("text")) != "")
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("segs"))
-
-
 def scored(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFrame:
     """docs with segs, sets (the vocabulary of each), scores (structs (i, score) of gaps) and limit (their threshold).
 

@@ -258,3 +258,14 @@ def test_previews_cut_at_the_root(spark):
     nodes = spark.createDataFrame([("m", [], "R", "root", None), ("m", [0], "x", "topic", None)], "map_id string, path array<int>, title string, type string, note string")
     assert [r.line for r in structuring.preview(nodes, max_depth=0).collect()] == ["* R  (+1 more)"]
     assert [tuple(r) for r in structuring.failover(nodes.select("map_id").distinct(), []).collect()] == [("m", "heuristic", False)]
+
+
+def test_routes_single_nodes_and_first_items(spark):
+    from canopy.operators import snapshots, structuring
+
+    sources = spark.createDataFrame([("a", 2), ("b", 0)], "map_id string, entries int")
+    engines = lambda has: {r.map_id: r.engine for r in structuring.route(sources, F.col("entries") > 0, has).collect()}
+    assert engines(True) == {"a": "document", "b": "llm"} and engines(False) == {"a": "document", "b": "heuristic"}
+    nodes = spark.createDataFrame([("m", [0], "x"), ("m", [0, 1], "y"), ("n", [0, 1], "z")], "map_id string, path array<int>, title string")
+    assert [r.title for r in structuring.node_at(nodes, "m", [0, 1]).collect()] == ["y"] and structuring.node_at(nodes, "m", [7]).count() == 0
+    assert [r.title for r in snapshots.first_items(nodes, 2, "title").collect()] == ["x", "y"]
