@@ -52,7 +52,14 @@ def build(files: DataFrame, max_depth: int = 8, max_files: int = 20, everything:
             break
         out = out.unionByName(level)
     # At the cap a folder's children weren't looked at, so it has no counts.
-    return out.join(notes, "folder", "left").select("path", "title", "type", "note", "folder")
+    return _told(out.withColumn("note", F.lit(None).cast("string")), notes.withColumnRenamed("note", "_label"))
+
+
+def _told(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with the notes that labels (folder, _label) have for their folders; other nodes, which are most, aren't joined."""
+    named = nodes.filter("folder is not null").join(labels, "folder", "left").withColumn("note", F.coalesce("_label", "note"))
+    columns = ["path", "title", "type", "note", "folder"]
+    return named.select(columns).unionByName(nodes.filter("folder is null").select(columns))
 
 
 def _below(files: DataFrame, max_depth: int, everything: DataFrame | None) -> DataFrame:
@@ -109,7 +116,7 @@ def run(store: Store, root: str, files: DataFrame, max_depth: int = 8, max_files
         told = snapshots.tree_diff(marks.withColumnRenamed("folder", "relpath"), old.withColumnRenamed("folder", "relpath"))
         diff = written(told, "folder-diff")
         kept = diff.filter("status = 'reused'").select(F.col("relpath").alias("folder"), F.col("label").alias("_label"))
-        nodes = nodes.join(kept, "folder", "left").withColumn("note", F.coalesce("_label", "note")).select("path", "title", "type", "note", "folder")
+        nodes = _told(nodes, kept)
         changed = changed.join(kept.select("folder"), "folder", "left_anti")
         diff = diff.select(F.col("relpath").alias("folder"), "status")
     wanted = nodes.filter(F.size("path") > 0).join(changed, "folder", "left_semi").select("path")
