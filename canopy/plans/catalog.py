@@ -210,16 +210,40 @@ def _listed(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(rf"""WITH r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^\pL\pN_])([A-Z][A-Za-z''’]+(?:\s+[A-Z][A-Za-z''’]+)+)', 1) AS rs FROM documents),
+# Names as rows (doc_id, i, name).
+NAMES = rf"""r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^\pL\pN_])([A-Z][A-Za-z''’]+(?:\s+[A-Z][A-Za-z''’]+)+)', 1) AS rs FROM documents),
   w AS (SELECT doc_id, list_transform(rs, lambda x: regexp_split_to_array(x, '\s+')) AS ws FROM r),
   t AS (SELECT doc_id, list_transform(ws, lambda w: w[coalesce(nullif(list_position(list_transform(w, lambda x: list_contains({_listed(T.PROPER_LEAD)}, lower(x))), false), 0), 1000000):]) AS ws FROM w),
-  k AS (SELECT doc_id, list_filter(ws, lambda w: len(w) >= 2 AND len(list_filter(w, lambda x: NOT list_contains({_listed(T.PROPER_STOP)}, lower(x)))) > 0) AS ws FROM t)
-  SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, array_to_string(ws[i], ' ') AS name FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM k)""")
+  k AS (SELECT doc_id, list_filter(ws, lambda w: len(w) >= 2 AND len(list_filter(w, lambda x: NOT list_contains({_listed(T.PROPER_STOP)}, lower(x)))) > 0) AS ws FROM t),
+  names AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, array_to_string(ws[i], ' ') AS name FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM k))"""
+
+
+@query(f"WITH {NAMES} SELECT doc_id, i, name FROM names")
 def proper_nouns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.proper_nouns(F.coalesce("text", F.lit("")))).alias("i", "name"))
 
 
-@query()
+NUMBERS_IN = r"list_transform(regexp_extract_all({}, '(?:^|[^\w.])((?:\$\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?%|\d+\.\d+|\d[\d,]+))', 1), lambda x: trim(x))"
+NUMBER_KEY = r"regexp_replace(regexp_replace({}, '[^\d.]', '', 'g'), '^\.+|\.+$', '', 'g')"
+NORM = r"trim(regexp_replace(lower({}), '[,\s\pZ]+', ' ', 'g'))"
+
+
+# What documents hold that their maps don't: numbers by key, listed items and names by substring.
+@query(rf"""WITH {HEURISTIC}, {NAMES}, d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  nums AS (SELECT doc_id, i - 1 AS i, xs[i] AS a FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, {NUMBERS_IN.format('text')} AS xs FROM d))),
+  cues AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '(?i)\b(?:such as|like|including|e\.g\.,?)\s+(.+?)(?:[.!?;]|$)', 1),
+    lambda s: regexp_split_to_array(substring(s, 1, 80), '(?i),|\band\b|\bor\b'))) AS ps FROM d),
+  plain AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: array_to_string(list_filter(regexp_split_to_array(regexp_replace(p, '[^\pL\pM\pN_\s''’-]', ' ', 'g'), '\s+'), lambda w: w <> '')[1:2], ' ')), lambda p: length(p) >= 3) AS ps FROM cues),
+  every AS (SELECT doc_id, 0 AS kind, i AS pos, a, {NUMBER_KEY.format('a')} AS norm FROM nums
+    UNION ALL SELECT doc_id, 1, i - 1, ps[i], {NORM.format('ps[i]')} FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM plain)
+    UNION ALL SELECT doc_id, 2, i, name, {NORM.format('name')} FROM names),
+  found AS (SELECT * FROM every WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, kind = 0, norm ORDER BY kind, pos) = 1),
+  told AS (SELECT map_id, path, title || CASE WHEN note IS NULL THEN '' ELSE ' ' || note END AS t FROM nodes),
+  kept AS (SELECT DISTINCT map_id, {NUMBER_KEY.format('x')} AS norm FROM (SELECT map_id, unnest({NUMBERS_IN.format('t')}) AS x FROM told)),
+  said AS (SELECT map_id, {NORM.format("string_agg(t, ' ' ORDER BY CAST(list_transform(list_filter(string_split(path, '.'), lambda x: x <> ''), lambda x: CAST(x AS INTEGER)) AS INTEGER[]))")} AS said FROM told GROUP BY map_id),
+  lost AS (SELECT found.* FROM found LEFT JOIN kept ON kept.map_id = doc_id AND kept.norm = found.norm LEFT JOIN said ON said.map_id = doc_id
+    WHERE CASE WHEN kind = 0 THEN kept.norm IS NULL ELSE NOT coalesce(contains(said, found.norm), false) END)
+  SELECT doc_id AS map_id, CAST(rank AS INTEGER) AS rank, a AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, pos) AS rank FROM lost) WHERE rank <= 8""")
 def missing_anchors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return anchors.missing(docs.select(F.col("doc_id").alias("map_id"), "text"), heuristic.flat_map(docs))

@@ -17,7 +17,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["heuristic_map", "topic_chunks", "enumeration_sections", "number_anchors", "outline_tree", "subtree_sizes", "merkle_signature", "batch_reuse_diff", "cue_blocks"])
+@pytest.mark.parametrize("name", ["heuristic_map", "topic_chunks", "enumeration_sections", "number_anchors", "outline_tree", "subtree_sizes", "merkle_signature", "batch_reuse_diff", "cue_blocks", "missing_anchors", "outline_leaf_text", "md_sections"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from canopy.operators import outlines, snapshots
-from canopy.sources import article, folders
+from canopy.sources import article, folders, markdown
 
 
 def test_ignore_patterns():
@@ -41,3 +41,23 @@ def test_roll_ups(spark):
     checks = spark.createDataFrame([("a", "ok"), ("a", "warn"), ("b", "fail"), ("b", "ok"), ("c", "ok")], "group string, status string")
     assert {r.group: r.worst for r in snapshots.diagnostics(checks).collect()} == {"a": "warn", "b": "fail", "c": "ok"}
     assert snapshots.outcome_counts(spark.createDataFrame([("failed",)], "status string")).first().all_failed
+
+
+def test_outline_pages_by_number(spark):
+    outline = spark.createDataFrame([("s", 0, 1, "A", 0), ("s", 1, 1, "B", 0), ("s", 2, 1, "C", None), ("s", 3, 1, "D", 9), ("t", 0, 1, "E", 0), ("u", 0, 1, "F", 0)], "source string, seq int, level int, title string, page int")
+    pages = spark.createDataFrame([("s", 0, " p0 "), ("s", 1, None), ("s", 2, " "), ("t", 0, "a"), ("t", 1, "b"), ("t", 1, "b"), ("v", 0, "x")], "source string, seq int, text string")
+    # Two of one page both have it; a null page and a page beyond the end have none; repeated pages stay.
+    got = {(r.source, r.title): r.text for r in outlines.leaf_texts(outline, pages).collect()}
+    assert got == {("s", "A"): "p0", ("s", "B"): "p0", ("s", "C"): "", ("s", "D"): "", ("t", "E"): "a b b", ("u", "F"): ""}
+    assert outlines.leaf_texts(outline.limit(0), pages).count() == 0 and outlines.leaf_texts(outline, pages.limit(0)).filter("text <> ''").count() == 0
+
+
+def test_sections_of_odd_texts(spark):
+    long = "\n".join(f"## h{i}\nline {i}" for i in range(2000))
+    texts = [(0, None), (1, ""), (2, "  \n "), (3, "only text"), (4, "# T\r\nintro\r\n\r\n# T\r\nmore"), (5, "intro\n# t"), (6, long), (7, "#no\n####### no\n###### six"), (8, "# T")]
+    found = markdown.sections(spark.createDataFrame(texts, "source int, text string"), title=F.lit("t"))
+    got = {}
+    for r in found.orderBy("source", "seq").collect():
+        got.setdefault(r.source, []).append((r.level, r.heading, r.text))
+    assert got.pop(6) == [(2, f"h{i}", f"h{i}\nline {i}") for i in range(2000)]
+    assert got == {3: [(0, "", "only text")], 4: [(0, "", "intro"), (1, "T", "T\nmore")], 5: [(0, "", "intro")], 7: [(0, "", "#no\n####### no"), (6, "six", "six")]}
