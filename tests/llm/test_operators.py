@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,51 @@ def test_all_copies_of_one_original_go(spark, monkeypatch, seed):
         assert len({groups[i] for i, t in enumerate(rows) if t not in far}) == 1 and len(set(groups.values())) == 41
 
 
+def test_hot_shingles_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(similar, "FEW_PAIRS", 0)  # so that leaders are taken in all rounds
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join([*shared[: rng.choice([20, 60])], *(f"w{i}x{k}" for k in range(rng.choice([2, 4, 10, 30])))]) for i in range(160)]
+    texts += [" ".join([*shared, *(f"z{k}" for k in range(40)), *(f"y{i}x{k}" for k in range(rng.choice([4, 12])))]) for i in range(40)]
+    sets = [similar.shingles(t, 5) for t in texts]
+    edges = [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 5 * len(x & y) >= 4 * len(x | y)]
+    want = {i: i for i in range(len(texts))}
+    for _ in texts:
+        before = dict(want)
+        for i, j in edges:
+            want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    met = []
+    told = similar._all_apart
+    monkeypatch.setattr(similar, "_all_apart", lambda *a: met.append(1) or told(*a))
+    for block in (25, similar.BLOCK):
+        got = {r.doc_id: r.group_id for r in similar.similar_groups(docs(spark, texts), block=block).collect()}
+        assert got == want and 1 < len(set(want.values())) < len(texts) and len(met) == 1
+
+
+def test_a_shingle_of_all_texts_is_not_held():
+    import tracemalloc
+
+    rows, size, block = 50_000, 500, 2_000
+
+    def batches():
+        for at in range(0, rows, size):
+            node = np.arange(at, at + size)
+            place = np.full(size, 100, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, 7)), pa.array(node), pa.array(place), pa.array(node)], ["h", "node", "place", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array([7, 8, 8]), pa.array([rows, 1, 2]), pa.array([100, 100, 100]), pa.array([rows, 1, 2])], ["h", "node", "place", "root"])
+
+    tracemalloc.start()
+    passed, pairs = 0, []
+    for out in similar._meet(4, 5, False, block)(batches()):
+        passed += out.column("b").null_count
+        pairs += [(x, y) for x, y in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True) if y is not None]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert passed == rows + 1 and pairs == [(1, 2)] and peak < 2_000_000
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (201, None)]
     roots = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
