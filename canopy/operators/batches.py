@@ -99,3 +99,23 @@ def combined(items: DataFrame, nodes: DataFrame, links: DataFrame | None, title:
         empty = spark.range(1).select(F.array(F.lit(0)).alias("path"), F.lit("(no items processed successfully)").alias("title"), F.lit("detail").alias("type"), F.lit(None).cast("string").alias("note"))
         tree = tree.unionByName(empty)
     return tree, moved.select((F.col("ordinal") * (1 << 32) + F.col("seq")).alias("seq"), "a_path", "b_path", "label")
+
+
+def result(batch: Batch, **about) -> DataFrame:
+    """One row (result): the counts of a batch as a JSON object, with what is said `about` it before them.
+
+    reused, added and removed are null on a first run. What failed or went is rows of outcomes and diff, not a list
+    here, for either may be as long as the batch. Links across branches are cross_source_relationships.
+    """
+    nodes = batch.nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.max(F.size("path")) + 1, F.lit(0)).alias("depth"))
+    across = F.get("a_path", F.lit(0)) != F.get("b_path", F.lit(0))
+    links = batch.links.agg(F.count("*").alias("relationships"), F.count_if(across).alias("cross_source_relationships"))
+    done = batch.outcomes.agg(F.count("*").alias("items_total"), F.count_if(F.col("status") != "failed").alias("items_ok"), F.count_if(F.col("status") == "failed").alias("items_failed"))
+    kinds = ("reused", "added", "removed")
+    if batch.diff is None:
+        changes = batch.nodes.sparkSession.range(1).select(*[F.lit(None).cast("long").alias(k) for k in kinds])
+    else:
+        changes = batch.diff.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    row = nodes.crossJoin(links).crossJoin(done).crossJoin(changes)  # of one row each
+    said = [F.lit(v).alias(k) for k, v in {"ok": True, **about}.items()]
+    return row.select(F.to_json(F.struct(*said, *row.columns), {"ignoreNullFields": "false"}).alias("result"))

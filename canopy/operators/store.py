@@ -176,6 +176,16 @@ class Store:
             self.commit(source, time.time_ns(), "", live=False)
         return known
 
+    def listing(self, name: str) -> DataFrame:
+        """(source, built_at, n) of what is remembered: how many rows the table `name` of each source's last version has, 0 if it has none."""
+        last = self.status().select("source", "version", "built_at", F.substring(F.sha2("source", 256), 1, 24).alias("key"))
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return last.select("source", "built_at", F.lit(0).cast("long").alias("n"))
+        rows = self.spark.read.schema("source string").option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
+        at = F.split(F.col("_metadata.file_path"), "/")  # .../name/key/version/file; rows are counted, not read
+        counts = rows.select(F.element_at(at, -3).alias("key"), F.element_at(at, -2).cast("long").alias("version")).groupBy("key", "version").agg(F.count("*").alias("n"))
+        return last.join(counts, ["key", "version"], "left").select("source", "built_at", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
     def vacuum(self, names: list[str], source: str) -> int:
         """Delete all versions of a source but the last that counts; how many folders went."""
         kept = {r.version for r in self.status().filter(F.col("source") == source).collect()}
