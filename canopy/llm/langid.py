@@ -91,7 +91,11 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, seed: int = 7) ->
 
 
 def fit_on(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> dict:
-    """Fit on a bounded sample of the rows that have a language: those of the smallest id hash, about `rows` a language."""
+    """Fit on a bounded sample of the rows that have a language: those of the smallest id hash, about `rows` a language.
+
+    Rows without a language, an id or a letter teach nothing; rows of one id are taken together or not at all. Of an empty table
+    nothing is learned: every text is `und` then.
+    """
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     sizes = {r[0]: r[1] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not sizes:

@@ -447,7 +447,11 @@ def vocabulary(texts: DataFrame, text_col: str = "text", parts: int | None = Non
 
 
 def number(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words) of each row: the word numbers of its whole text and its end, from 1, each as few bytes; 0 is an unknown word."""
+    """(id, words) of each row: the word numbers of its whole text and its end, from 1, each as few bytes; 0 is an unknown word.
+
+    A null or empty text is its end alone; repeated rows and rows with a null id are numbered each; an empty table gives
+    no rows; other columns aren't read.
+    """
     width = _width(about)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -539,7 +543,11 @@ def _grow(numbered: DataFrame, about: dict, order: int, least: int, discount: fl
 
 
 def grow(numbered: DataFrame, about: dict, order: int = 3, least: int = 2, discount: float = 0.75) -> dict:
-    """Count, prune, smooth and write the levels above the vocabulary, from all rows of number(); every row counts."""
+    """Count, prune, smooth and write the levels above the vocabulary, from all rows of number(); every row counts.
+
+    least: n-grams of two words and more that occur less often are left out; 1 keeps all. Repeated rows and rows with a
+    null id count each; without rows the levels are empty, and texts are scored by the vocabulary alone.
+    """
     while about["order"] < order:
         about = _grow(numbered, about, order, least, discount)
     return about

@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, id_col: str = "
     Words are lower-cased in A-Z; a fingerprint bit is 1 if it is set in over half the shingles. component_id is the
     smallest id that is reachable over links of at most limit (0 to 3) bits. A null text counts as empty, an empty text
     has fingerprint zero and links like any other; a row with a null id keeps its place and never names a component;
-    repeated rows stay. Other columns of docs are not read.
+    repeated rows stay. Other columns of docs are not read; an empty table gives no rows.
     """
     if not 0 <= limit <= 3:
         raise ValueError("the anchors cover distances up to 3")

@@ -146,7 +146,13 @@ def fit(texts: list[str], labels: list[int], folds: int = 4) -> dict:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Fit on a bounded sample of the labelled rows: of each class those of the smallest id hash, up to rows and chars."""
+    """Fit on a bounded sample of the labelled rows: of each class those of the smallest id hash, up to rows and chars.
+
+    Labels that are null or neither 0 nor 1, without an id, or without a document teach nothing; a repeated label counts
+    once, an id with both labels in both classes, null texts as empty. Where too few fragments recur in toxic texts for
+    zstandard to train on, they are the dictionary as they are. Of an empty table nothing is learned, and nothing is
+    rejected then.
+    """
     named = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
     texts, values = [], []
