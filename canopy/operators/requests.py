@@ -19,6 +19,7 @@ from ..functions import text as T
 from . import prompts
 from .provider import Provider
 from .store import Log, written
+from .usage import Paces
 
 
 class ProviderError(Exception):
@@ -38,7 +39,7 @@ class Pacer:
     """Spaces the requests of one task; a refusal makes the spaces longer, up to 30 seconds."""
 
     def __init__(self, spacing: float, sleep=time.sleep, clock=time.monotonic):
-        self.spacing, self.sleep, self.clock, self.next = spacing, sleep, clock, 0.0
+        self.spacing, self.sleep, self.clock, self.next, self.slowed = spacing, sleep, clock, 0.0, False
 
     def wait(self) -> None:
         now = self.clock()
@@ -47,7 +48,7 @@ class Pacer:
         self.next = max(now, self.next) + self.spacing
 
     def slower(self) -> None:
-        self.spacing = min(30.0, max(self.spacing, 0.1) * 1.6)
+        self.spacing, self.slowed = min(30.0, max(self.spacing, 0.1) * 1.6), True
 
 
 def answer(provider: Provider, system: str, user: str, attempts: int, pacer: Pacer, sleep=time.sleep) -> tuple[str | None, str | None]:
@@ -57,9 +58,13 @@ def answer(provider: Provider, system: str, user: str, attempts: int, pacer: Pac
         pacer.wait()
         try:
             reply = provider.complete_json(system, user)
-        except (ProviderError, OSError) as e:  # OSError: the network
+        except Exception as e:
+            # By attribute, for a provider's module may have imported the class anew where this function came by value.
+            retryable = getattr(e, "retryable", True if isinstance(e, OSError) else None)  # OSError: the network
+            if retryable is None:
+                raise
             error = str(e) or type(e).__name__
-            if not getattr(e, "retryable", isinstance(e, OSError)) or attempt + 1 == attempts:
+            if not retryable or attempt + 1 == attempts:
                 break
             pacer.slower()
             sleep(delay(attempt, getattr(e, "after", None)))
@@ -72,11 +77,16 @@ def answer(provider: Provider, system: str, user: str, attempts: int, pacer: Pac
 
 
 class Answers:
-    """A provider with its log. lanes tasks ask at a time, pace seconds apart all together; ledger has (task, asked, failed)."""
+    """A provider with its log. lanes tasks ask at a time, pace seconds apart all together; ledger has (task, asked, failed).
 
-    def __init__(self, provider: Provider, log: Log, purpose: str = "general", attempts: int = 3, lanes: int | None = None, pace: float = 0.0):
+    A refusal makes the pace of all later requests slower. With paces, the first one is what earlier runs learned, `pace`
+    at least for a provider that wasn't refused in the last of them, and finish() adds what this run learned.
+    """
+
+    def __init__(self, provider: Provider, log: Log, purpose: str = "general", attempts: int = 3, lanes: int | None = None, pace: float = 0.0, paces: Paces | None = None):
         self.provider, self.log, self.purpose, self.attempts = provider, log, purpose, attempts
-        self.lanes, self.pace, self.ledger = lanes, pace, []
+        self.lanes, self.default, self.paces, self.ledger, self.refused = lanes, pace, paces, [], False
+        self.pace = paces.start(provider.name, pace) if paces else pace
 
     def key(self, task: str, *parts: Column) -> Column:
         """Of a request: the prompts' version, provider, model, task, its parts, and the purpose unless it is general."""
@@ -90,8 +100,10 @@ class Answers:
         known = self.log.read().select(F.col("key").alias("_key"), F.col("value").alias("reply"))
         wanted = keyed.select("_key", "_user").dropDuplicates(["_key"]).join(known.select("_key"), "_key", "left_anti")
         fresh = written(self._complete(wanted, prompts.system(task, level, self.purpose, limit)), f"replies-{task}")
-        asked, failed = fresh.agg(F.count("*"), F.count("error")).first()
+        asked, failed, refused, spacing = fresh.agg(F.count("*"), F.count("error"), F.bool_or("slowed"), F.max("spacing")).first()
         self.ledger.append((task, asked, failed))
+        if refused:
+            self.refused, self.pace = True, max(self.pace, spacing / (self.lanes or 1))
         if asked > failed:
             self.log.append(fresh.filter("value is not null").select("key", "value"))
         known = self.log.read().select(F.col("key").alias("_key"), F.col("value").alias("reply"))
@@ -106,14 +118,21 @@ class Answers:
             for batch in batches:
                 told = [answer(provider, system, user or "", attempts, pacer) for user in batch.column(1).to_pylist()]
                 values, errors = zip(*told, strict=True) if told else ((), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(errors, pa.string())], ["key", "value", "error"])
+                n = batch.num_rows
+                pace = [pa.array([pacer.slowed] * n, pa.bool_()), pa.array([pacer.spacing] * n, pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(errors, pa.string()), *pace], ["key", "value", "error", "slowed", "spacing"])
 
         some = wanted.select(F.col("_key").alias("key"), "_user")
         if self.pace and not self.lanes:
             some = some.coalesce(1)  # one pace for all needs one lane, or a number of lanes to share it
         elif self.lanes:
             some = some.repartition(self.lanes)
-        return some.mapInArrow(run, "key string, value string, error string")
+        return some.mapInArrow(run, "key string, value string, error string, slowed boolean, spacing double")
+
+    def finish(self) -> None:
+        """Remember the pace for the next run."""
+        if self.paces:
+            self.paces.record(self.provider.name, self.refused, self.pace, self.default)
 
     def asked(self, task: str | None = None) -> int:
         return sum(n for t, n, _ in self.ledger if task in (None, t))

@@ -6,10 +6,13 @@ provider that has most of the rows is no one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import exists, scratch
 
 # Headers and sentences in which limits are told.
 REQUESTS, TOKENS = "x-ratelimit-{}-requests", "x-ratelimit-{}-tokens"
@@ -74,6 +77,31 @@ def learned_pace(runs: DataFrame) -> DataFrame:
     return agg.select("provider", F.when(F.col("p").isNull(), F.col("d")).when(F.col("k") == 0, F.col("p")).otherwise(eased).alias("pace"))
 
 
+class Paces:
+    """Seconds between requests, learned from run to run: rows (provider, run, hit_limit, pace, default_pace) in a folder.
+
+    Rows are only added, one a run; a run's number is the driver's clock in nanoseconds.
+    """
+
+    SCHEMA = "provider string, run long, hit_limit boolean, pace double, default_pace double"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or scratch(spark, "paces")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def start(self, provider: str, default: float) -> float:
+        """The pace that a provider's next run begins with, never below `default` unless it was just learned so."""
+        mine = self.rows().filter(F.col("provider") == provider).withColumn("default_pace", F.lit(default))
+        found = learned_pace(mine).first()  # one row at most
+        return found.pace if found else default
+
+    def record(self, provider: str, hit_limit: bool, pace: float, default: float) -> None:
+        row = [(provider, time.time_ns(), hit_limit, float(pace), float(default))]
+        self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def level(used, total):
     """green below 0.6 of a quota, yellow below 0.85, red from there on; null where there is no quota."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), used / F.nullif(total, F.lit(0))))

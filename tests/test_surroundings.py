@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import text as T
 from canopy.operators import batches, store, usage
+from canopy.operators.requests import Answers, ProviderError
 from canopy.plans import surroundings  # noqa: F401  adds its queries
 from canopy.sources import discovery
 
@@ -149,3 +150,39 @@ def test_clean_input(spark):
 @pytest.mark.parametrize("name", ["course_sources", "listing_entries", "listing_failures", "file_settings", "provider_quota", "provider_pace", "readable_sizes", "remembered", "batch_result", "export_names"])
 def test_query_equals_sql(spark, name):
     check(spark, name)
+
+
+class Hurried:
+    """Refuses each request once, if told to."""
+
+    name, model = "hurried", "h1"
+
+    def __init__(self, refuse):
+        self.refuse, self.seen = refuse, set()
+
+    def complete_json(self, system, user):
+        if self.refuse and user not in self.seen:
+            self.seen.add(user)
+            raise ProviderError("slow down", retryable=True, after=0.0)
+        return {"ok": user}
+
+
+def test_paces_are_kept_from_run_to_run(spark):
+    paces, log = usage.Paces(spark), store.Log(spark)
+    assert paces.start("hurried", 0.01) == 0.01
+
+    def run(refuse, *users):
+        answers = Answers(Hurried(refuse), log, pace=0.01, paces=paces)
+        begun = answers.pace
+        got = answers.ask(spark.createDataFrame([(u,) for u in users], "u string"), "map", F.col("u"), [F.col("u")])
+        assert got.filter("reply is not null").count() == len(users)
+        answers.finish()
+        return begun, answers.pace
+
+    begun, ended = run(True, "a", "b")
+    assert begun == 0.01 and ended == pytest.approx(0.1 * 1.6**2)  # two refusals
+    again = run(False, "c")
+    assert again == (pytest.approx(ended), pytest.approx(ended))
+    assert paces.start("hurried", 0.01) == pytest.approx(ended * 0.85) and paces.start("other", 0.5) == 0.5
+    assert run(False, "c")[0] == pytest.approx(ended * 0.85) and paces.start("hurried", 0.25) == 0.25  # never below the default
+    assert paces.rows().count() == 3
