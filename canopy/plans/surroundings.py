@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batches, store, usage
-from ..sources import discovery
+from ..operators import batches, provider, snapshots, store, usage
+from ..sources import discovery, subtitles
 from .catalog import LINKS, _numbered_links, _regions, query, table
 
 # Which files an order's lesson has, by its number.
@@ -148,3 +148,34 @@ def export_names(spark, sf_dir):
     key = F.col("p_partkey")
     title = F.concat("p_type", F.lit("/"), "p_brand", F.when(key % 2 == 0, " long" * 20).otherwise("!"))
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(T.safe_filename(title), F.when(key % 3 == 0, ".xmind").otherwise(".opml")).alias("name"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, doc_id % 4 AS k, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^\x{0}-\x{FF}]', '?', 'g') AS narrow FROM documents),
+  d AS (SELECT doc_id, CASE WHEN k = 0 OR (k = 1 AND regexp_full_match(narrow, '[\x{0}-\x{7F}]*')) THEN 'utf-8' WHEN k < 3 THEN 'cp1252' ELSE 'latin-1' END AS encoding,
+    CASE k WHEN 0 THEN text WHEN 1 THEN narrow WHEN 2 THEN '“' || narrow ELSE chr(129) || narrow END AS text FROM t)
+  SELECT doc_id, encoding, CASE WHEN encoding <> 'utf-8' THEN 'not UTF-8, read as ' || encoding || '; some characters may be wrong' END AS warning, length(text) AS n, md5(text) AS digest FROM d""")
+def decoded_texts(spark, sf_dir):
+    """Documents as bytes: UTF-8, Latin-1, and that after a byte that only the Windows code page has, or none has."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    narrow = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "?"), "ISO-8859-1")
+    content = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, narrow).when(k == 2, F.concat(F.unhex(F.lit("93")), narrow)).otherwise(F.concat(F.unhex(F.lit("81")), narrow))
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("c"))
+    told = subtitles.decode(F.col("c"))
+    return rows.select("doc_id", subtitles.encoding(F.col("c")).alias("encoding"), subtitles.warning(F.col("c")).alias("warning"), F.length(told).cast("long").alias("n"), F.md5(told).alias("digest"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN '{"k":' || event_id || ',"t":["' || event_type || '"]}' END AS reply FROM events""")
+def parsed_replies(spark, sf_dir):
+    """Events as replies of a model: plain, in a fence, in a fence without a name, amid prose, and cut off."""
+    body = F.concat(F.lit('{"t": ["'), "event_type", F.lit('"], "k": '), F.col("event_id").cast("string"), F.lit("}"))
+    made = [body, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")), F.concat(F.lit("```"), body, F.lit("```\n")), F.concat(F.lit("It is: "), body, F.lit(" - done.")), F.rtrim(body, F.lit("}"))]
+    reply = provider.parse_json(F.get(F.array(*made), (F.col("event_id") % 5).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(reply).alias("reply"))
+
+
+@query("""SELECT user_id AS "group", CASE max(CASE event_type WHEN 'error' THEN CASE WHEN value > 150 THEN 2 ELSE 1 END WHEN 'signup' THEN CASE WHEN value > 400 THEN 1 ELSE 0 END ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS worst FROM events GROUP BY 1""")
+def worst_checks(spark, sf_dir):
+    """Events as checks of their users."""
+    error = F.col("event_type") == "error"
+    status = F.when(error & (F.col("value") > 150), "fail").when(error | ((F.col("event_type") == "signup") & (F.col("value") > 400)), "warn").otherwise("ok")
+    return snapshots.diagnostics(table(spark, sf_dir, "events").select(F.col("user_id").alias("group"), status.alias("status")))

@@ -13,6 +13,18 @@ CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œž
 CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 
 
+def encoding(content: Column) -> Column:
+    """What bytes are read as: utf-8, else cp1252, else latin-1 where one of them means nothing in that; what isn't utf-8 deserves a warning."""
+    undefined = F.decode(content, "ISO-8859-1").rlike("[\u0081\u008d\u008f\u0090\u009d]")
+    return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").when(undefined, "latin-1").when(content.isNotNull(), "cp1252")
+
+
+def warning(content: Column) -> Column:
+    """What to tell about bytes that aren't UTF-8, null for others."""
+    kind = encoding(content)
+    return F.when(kind != "utf-8", F.concat(F.lit("not UTF-8, read as "), kind, F.lit("; some characters may be wrong")))
+
+
 def decode(content: Column) -> Column:
     """Bytes as UTF-8, else in the Windows code page, else in Latin-1; a byte order mark goes."""
     latin = F.decode(content, "ISO-8859-1")

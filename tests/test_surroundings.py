@@ -147,7 +147,7 @@ def test_clean_input(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["course_sources", "listing_entries", "listing_failures", "file_settings", "provider_quota", "provider_pace", "readable_sizes", "remembered", "batch_result", "export_names"])
+@pytest.mark.parametrize("name", ["course_sources", "listing_entries", "listing_failures", "file_settings", "provider_quota", "provider_pace", "readable_sizes", "remembered", "batch_result", "export_names", "decoded_texts", "parsed_replies", "worst_checks"])
 def test_query_equals_sql(spark, name):
     check(spark, name)
 
