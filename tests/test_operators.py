@@ -191,3 +191,33 @@ def test_links_merge_polish_and_failover(spark):
     raw = mapfiles.to_xmind(rows, [{"from_path": [0], "to_path": [1, 0], "label": "see"}, {"from_path": [0], "to_path": [7], "label": "lost"}], "https://example.org")
     assert mapfiles.xmind_links(raw) == [("n0", "n1-0", "see")]
     assert sorted((x[0], x[2], x[3]) for x in mapfiles.xmind_rows(raw)) == sorted((r["path"], r["title"], r["type"]) for r in rows)
+
+
+def test_outline_of_one_long_source_over_many_parts(spark):
+    import random
+    import time
+
+    rnd = random.Random(5)
+    rows = [(f"s{rnd.randrange(3)}", i, rnd.choice([1, 1, 2, 3, 3, 5, None] if i % 50 == 0 else [1, 2, 2, 3, 4]), f"t{i}", i) for i in range(2000)]
+    rows += [("z", i, 2 if i < 900 else 1, "t", 0) for i in range(1000)]
+    want = {}
+    for source in {r[0] for r in rows}:
+        stack = []
+        for _, seq, level, *_ in sorted(r for r in rows if r[0] == source):
+            known = [o for o in stack if level is not None and o[0] is not None]
+            closed = [o for o in known if o[0] >= level]
+            stack = [o for o in known if o[0] < level] + [(level, closed[0][1] + 1 if closed else 0)]
+            want[source, seq] = [o[1] for o in stack]
+    schema = "source string, seq int, level int, title string, page int"
+    for parts, fold in (("16", "false"), ("4", "true")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", fold)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = trees.outline_tree(spark.createDataFrame(rows, schema)).collect()
+        assert len(got) == len(rows) and {(r.source, r.seq): r.path for r in got} == want
+    assert trees.outline_tree(spark.createDataFrame([], schema)).collect() == []
+    # One source of 100,000 entries: a fold that copies the paths so far for each entry takes minutes.
+    begun = time.time()
+    many = spark.range(100_000).selectExpr("'s' source", "cast(id as int) seq", "if(id % 100 = 0, 1, 2) level", "'t' title", "0 page")
+    out = trees.outline_tree(many)
+    assert out.filter("seq = 99999").first().path == [999, 98] and out.count() == 100_000
+    assert time.time() - begun < 40
