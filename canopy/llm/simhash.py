@@ -233,14 +233,28 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, id_col: str = "
     return table.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def near_pairs(texts: DataFrame, n: int = 3, limit: int = 3) -> DataFrame:
+    """(a, b), a < b: pairs of the texts (node, t) that span what is linked by fingerprints of at most limit (0 to 3) differing bits."""
+    table = materialize(fingerprints(texts, n, 1, "node", "t").select("node", F.element_at("fps", 1).alias("fp")), "simhash-fp")
+    least = materialize(table.groupBy("fp").agg(F.min("node").alias("least")), "simhash-distinct")
+    same = table.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    named = lambda fp, to: least.select(F.col("fp").alias(fp), F.col("least").alias(to))
+    apart = links(least.select(F.col("fp").alias("node"), F.lit(0).alias("part"), "fp"), limit).withColumnsRenamed({"a": "x", "b": "y"})
+    apart = apart.join(named("x", "a"), "x").join(named("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.union(apart).distinct()
+
+
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest id; all columns as they are.
 
+    Texts within 3 bits of each other's SimHash are looked at first and joined where their n-word shingles have a Jaccard
+    similarity of num/den or more; no distance of fingerprints bounds that, so similar.py then finds the other pairs.
+
     Null and empty texts are copies of each other; rows with a null id stay. Rows of one id are documents of their own:
     each belongs to the group of its text. Where several of a group have its smallest id, the one of the smallest hash of
     its text stays, and of rows equal in id and text any one. An empty table gives no rows.
     """
-    groups = materialize(grouped(docs, n, num, den, id_col, text_col), "similar-groups")
+    groups = materialize(grouped(docs, n, num, den, id_col, text_col, first=near_pairs), "similar-groups")
     raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     repeated = materialize(groups.groupBy("id", "raw").agg(F.count("*").alias("rows")).groupBy("id").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("id"), "similar-repeated")
     if repeated.isEmpty():

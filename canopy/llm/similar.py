@@ -13,13 +13,16 @@ compared with one of them, the leader, which needs no more comparing then; what
 compared again. After ROUNDS leaders, all pairs that are still apart are compared. So links are spanned as they are
 found, and none is left out for one that isn't verified.
 
+Candidates that another method found may be looked at first; what of them is verified is joined from the start, and all
+else is found as above.
+
 A shingle of more than BLOCK texts is no task's group: its rows are passed on as they come, its leader is found by
 aggregation and joined to them, and its last pairs are dealt in cells of two blocks each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -103,18 +106,18 @@ _BITS = 28
 
 
 def _first_shingles(texts: DataFrame, n: int, num: int, den: int, often) -> DataFrame:
-    """(h, node, place) of the first shingles of each text; often: a broadcast of the hashes that come last."""
+    """(h, node, place, root) of the first shingles of each text (node, t, root); often: a broadcast of the hashes that come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ranks = np.frombuffer(often.value, np.uint64).reshape(2, -1)
 
         def made(parts: list) -> pa.RecordBatch:
-            h, node, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(place)], ["h", "node", "place"])
+            h, node, place, root = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(place), pa.array(root)], ["h", "node", "place", "root"])
 
         for batch in batches:
             parts, held = [], 0
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, text, root in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 hs = hashes(text.as_py(), n)
                 if not len(hs):
                     continue
@@ -126,7 +129,7 @@ def _first_shingles(texts: DataFrame, n: int, num: int, den: int, often) -> Data
                     hs = np.concatenate([hs[~met], hs[met][np.argsort(ranks[found[met]])]])
                 first = hs[: size - -(-num * size // den) + 1]
                 place = (np.arange(len(first), dtype=np.int64) << _BITS) + ((share << 2 * _BITS) + size)
-                parts.append((first, np.full(len(first), node, np.int64), place))
+                parts.append((first, np.full(len(first), node, np.int64), place, np.full(len(first), root, np.int64)))
                 held += len(first)
                 if held >= CHUNK:
                     yield made(parts)
@@ -134,7 +137,7 @@ def _first_shingles(texts: DataFrame, n: int, num: int, den: int, often) -> Data
             if parts:
                 yield made(parts)
 
-    return texts.select("node", "t").mapInArrow(run, "h long, node long, place long")
+    return texts.select("node", "t", "root").mapInArrow(run, "h long, node long, place long, root long")
 
 
 MET = "a long, b long, h long, place long"
@@ -156,6 +159,13 @@ def _meet(num: int, den: int, last: bool, block: int):
         a, b = np.broadcast_arrays(rows[x, 1], rows[y, 1])
         return np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1)
 
+    def met_by_size(rows: np.ndarray) -> np.ndarray:
+        """Which rows of one shingle have another there of a size that can_be allows them."""
+        at, size = rows[:, 2] >> _BITS & mask, rows[:, 2] & mask
+        least, most = -(-size * num // den), np.minimum(size * den // num, (size - at) * (num + den) // num - size)
+        order = np.sort(size)
+        return np.searchsorted(order, most, "right") - np.searchsorted(order, least) > (size <= most)
+
     def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
         h, i, k, found, held = rows[:, 0], np.arange(len(rows)), 0, [], 0
         while True:
@@ -192,7 +202,7 @@ def _meet(num: int, den: int, last: bool, block: int):
             elif not last:
                 leader = np.lexsort((some[:, 1], -(some[:, 2] >> 2 * _BITS)))[0]
                 others = np.delete(np.arange(m), leader)
-                yield can_be(some, np.array([leader]), others), some[others]
+                yield can_be(some, np.array([leader]), others), some[others][met_by_size(some[others])]
                 continue
             for p in pairs(some):
                 yield p, None
@@ -378,13 +388,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return dealt(texts, pairs, rows, "t").mapInArrow(by_text, "a long, b long")
 
 
-def _links(texts: DataFrame, count: int, n: int, num: int, den: int, block: int) -> DataFrame:
-    """(a, b): verified links between the texts (node, t) that span all of them."""
+def _links(texts: DataFrame, count: int, n: int, num: int, den: int, block: int, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): verified links between the texts (node, t) that span all of them; first(texts): pairs (a, b) to look at before any others."""
     spark = texts.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     often = spark.sparkContext.broadcast(_often(texts, n, count).tobytes())
-    rows = _first_shingles(texts, n, num, den, often).withColumn("root", F.col("node"))
+    rows = texts.select("node", "t", F.col("node").alias("root"))
     edges, hot = None, None  # hot: (h, count) of the shingles of more than block rows
+    if first is not None:
+        edges = materialize(_verified(materialize(first(texts), "similar-first"), texts, n, num, den), "similar-links")
+        # Joined here, so that no shingle has its rows compared where all are of one root.
+        roots = connected_components(edges)
+        roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+        rows = texts.join(roots, "node", "left").select("node", "t", F.coalesce("root", "node").alias("root"))
+    rows = _first_shingles(rows, n, num, den, often)
     last, parts = ROUNDS, shuffles
     for turn in range(ROUNDS + 1):
         cold = rows if hot is None else rows.join(hot, "h", "left_anti")
@@ -415,11 +432,11 @@ def _links(texts: DataFrame, count: int, n: int, num: int, den: int, block: int)
     return edges
 
 
-def grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+def grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, block: int = BLOCK, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, raw: hash of the text as it is, root: of its group, group_id) of each row with an id.
 
     Repeated rows stay, each with its group; an empty table gives no rows. block: texts of a shingle that one task may
-    hold; it changes no result.
+    hold; first: candidate pairs (a, b) of the distinct texts (node, t), looked at before others. Neither changes the result.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity lies in (0, 1]")
@@ -434,7 +451,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     texts = read.join(small, "key").filter("id = least").select("node", "t")
     # An id with several rows gives one text of a key: rows of one key have the same words.
     texts = materialize(texts.dropDuplicates(["node"]) if _repeats(keyed, "id", "key") else texts, "similar-texts")
-    roots = materialize(connected_components(_links(texts, count, n, num, den, block)), "similar-roots")
+    roots = materialize(connected_components(_links(texts, count, n, num, den, block, first)), "similar-roots")
     named = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("group_id"))
     groups = materialize(named.join(smallest, "root").select("key", "root", "group_id"), "similar-named")

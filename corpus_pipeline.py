@@ -38,7 +38,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id; by exact similarity, not by fingerprints.
+    """One document of each group of near copies stays, that of the smallest id.
+
+    SimHash fingerprints within 3 bits give the first candidates, exact similarity decides, and what fingerprints can't
+    tell is found by shared shingles.
 
     Documents without words, null texts among them, are copies of each other. Rows with a null id stay; of rows with one
     id each is a document, and of equal ones one stays.
@@ -66,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_boilerplate),
-    ("near_dedup", drop_copies),
+    ("simhash_near_dedup", drop_copies),
     ("benchmark_decontamination", drop_contaminated),
     ("best_fit_packing", pack),
 ]

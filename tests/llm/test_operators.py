@@ -480,3 +480,27 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (201, None)]
     roots = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({roots[i] for i in range(51)}) == 1 and len({roots[100 + i] for i in range(30)}) == 1 and roots[200] == 200 and 201 not in roots
+
+
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [[f"v{rng.randrange(5000)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w, "more"]) for w in words] + ["", None]
+    pairs = {(r.a, r.b) for r in simhash.near_pairs(docs(spark, texts).selectExpr("cast(doc_id as long) node", "text t")).collect()}
+    bits = [simhash.simhash(t)[0] for t in texts]
+    assert all(bin(bits[a] ^ bits[b]).count("1") <= 3 for a, b in pairs) and len(pairs & {(i, i + 12) for i in range(12)}) >= 6
+    seen = []
+    told = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda some, *a: seen.append({(r.a, r.b) for r in some.collect()}) or told(some, *a))
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()}
+    assert kept == {*range(12), 24} and len(seen[0]) >= 6  # the fingerprints' pairs, before those of the shingles
+    assert not seen[0] & set().union(*seen[1:])  # what they joined isn't compared again
+
+
+def test_rows_that_no_other_can_be_like_are_not_passed_on():
+    sizes = [1000, 1010, 500, 100, *range(2000, 2020)]
+    rows = [pa.array(np.full(len(sizes), 7)), pa.array(np.arange(len(sizes))), pa.array(np.array(sizes, np.int64)), pa.array(np.arange(len(sizes)))]
+    again = set()
+    for out in similar._meet(4, 5, False, 1 << 16)(iter([pa.RecordBatch.from_arrays(rows, ["h", "node", "place", "root"])])):
+        again |= {r["a"] for r in out.to_pylist() if r["b"] is None}
+    assert again == set(range(4, 24))  # 1000 is the leader; 1010, 500 and 100 shingles are like no other number there
