@@ -221,3 +221,20 @@ def test_outline_of_one_long_source_over_many_parts(spark):
     out = trees.outline_tree(many)
     assert out.filter("seq = 99999").first().path == [999, 98] and out.count() == 100_000
     assert time.time() - begun < 40
+
+
+def test_outlines_of_a_large_file_are_read_without_their_tree():
+    import tracemalloc
+
+    row = '<outline text="node {}" _note="n"><foo><outline text="no"/></foo><outline text="below"/></outline>'
+    raw = ("<opml><head/><body><outline text='R'>" + "".join(row.format(i) for i in range(30_000)) + "</outline><outline text='S'/></body></opml>").encode()
+    tracemalloc.start()
+    n = sum(1 for _ in mapfiles.opml_rows(raw))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_001 and peak < 5_000_000
+    rows = sorted(mapfiles.opml_rows(raw, every=True))
+    assert rows[0] == ([0], None, "R", "root", None) and rows[-1] == ([1], None, "S", "root", None) and ([0, 29_999, 0], None, "below", "topic", None) in rows
+    for broken in (b"<opml><body/></opml>", b"<opml><outline/></opml>", raw[:-9], b""):
+        with pytest.raises(Exception):
+            list(mapfiles.opml_rows(broken))
