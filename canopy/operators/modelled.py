@@ -15,7 +15,7 @@ from ..functions import text as T
 from . import anchors, outlines, structuring, trees
 from .requests import Answers, points, unnest
 from .segments import batch_size
-from .store import written
+from .store import MOST, among, written
 
 #: Words of a section that one request carries.
 WORDS = {"brief": 2000, "full": 1400, "expert": 1200}
@@ -57,25 +57,32 @@ def map_parts(parts: DataFrame, answers: Answers, level: str = "full", passes: i
     What the log has isn't asked. Of the others a source's are asked together where they are more than nine; each reply
     is kept by itself, so that a later run finds it however it groups them. What a pass leaves is asked once more.
     """
-    keyed = written(parts.withColumn("_part_key", answers.key("map", F.lit(level), F.col("text"))), "parts")
+    keyed = parts.withColumns({"_part_key": answers.key("map", F.lit(level), F.col("text")), "_id": F.monotonically_increasing_id()})
+    keyed = written(keyed, "parts")
     replies = lambda: answers.log.read().select(F.col("key").alias("_part_key"), F.col("value").alias("reply"))
     for _ in range(passes):
-        left = written(keyed.join(replies(), "_part_key", "left_anti"), "parts-left")
+        lacking = keyed.select("_part_key", "_id").join(answers.log.keys().withColumnRenamed("key", "_part_key"), "_part_key", "left_anti")
+        left = among(keyed, written(lacking.select("_id"), "parts-left"))
         if left.isEmpty():
             break
-        by = Window.partitionBy("map_id")
-        sized = left.withColumn("_size", batch_size(F.count("*").over(by)))
-        sized = sized.withColumn("_batch", F.floor((F.row_number().over(by.orderBy("part")) - 1) / F.col("_size")))
-        answers.ask(sized.filter("_size = 1"), "map", F.col("text"), [F.lit(level), F.col("text")], level)
+        # Few sources have many parts; the parts of the others stay where they are, for they are asked one by one.
+        size = left.groupBy("map_id").agg(batch_size(F.count("*")).alias("_size")).filter("_size > 1")
+        size = written(size.withColumnRenamed("map_id", "_of"), "parts-many")
+        size = F.broadcast(size) if size.count() <= MOST else size
+        mine = F.col("map_id").eqNullSafe(F.col("_of"))
+        answers.fetch(left.join(size, mine, "left_anti").select(F.col("_part_key").alias("_key"), F.col("text").alias("_user"), "_id"), "map", level)
+        turn = F.row_number().over(Window.partitionBy("map_id").orderBy("part")) - 1
+        sized = left.join(size, mine).withColumn("_batch", F.floor(turn / F.col("_size")))
         item = F.struct("part", "_part_key", "text")
-        many = sized.filter("_size > 1").groupBy("map_id", "_batch").agg(F.array_sort(F.collect_list(item)).alias("ps"))
-        segments = F.to_json(F.struct(F.transform("ps", lambda p, i: F.struct(i.alias("id"), p["text"].alias("text"))).alias("segments")))
-        told = answers.ask(many, "map_batch", segments, [F.lit(level), F.array_join(F.transform("ps", lambda p: p["text"]), "|")], level)
-        result = told.select("ps", F.explode(F.from_json("reply", "results array<string>")["results"]).alias("r")).filter(F.col("r").startswith("{"))
-        numbered = result.withColumn("id", F.from_json("r", "id int")["id"]).filter((F.col("id") >= 0) & (F.col("id") < F.size("ps")))
+        many = sized.groupBy("map_id", "_batch").agg(F.array_sort(F.collect_list(item)).alias("ps"))
+        many = many.select(F.transform("ps", lambda p: p["_part_key"]).alias("ks"), F.transform("ps", lambda p: p["text"]).alias("ts"))
+        segments = F.to_json(F.struct(F.transform("ts", lambda t, i: F.struct(i.alias("id"), t.alias("text"))).alias("segments")))
+        told = answers.ask(many, "map_batch", segments, [F.lit(level), F.array_join("ts", "|")], level, keep=["ks"])
+        result = told.select("ks", F.explode(F.from_json("reply", "results array<string>")["results"]).alias("r")).filter(F.col("r").startswith("{"))
+        numbered = result.withColumn("id", F.from_json("r", "id int")["id"]).filter((F.col("id") >= 0) & (F.col("id") < F.size("ks")))
         single = F.to_json(F.from_json("r", "topic string, type string, summary string, points array<struct<title:string,type:string>>"))
-        answers.log.append(numbered.select(F.get("ps", F.col("id"))["_part_key"].alias("key"), single.alias("value")))
-    return keyed.join(replies(), "_part_key", "left").drop("_part_key")
+        answers.log.append(numbered.select(F.get("ks", F.col("id")).alias("key"), single.alias("value")))
+    return keyed.join(replies(), "_part_key", "left").drop("_part_key", "_id")
 
 
 def reduce_parts(mapped: DataFrame, sources: DataFrame, answers: Answers, level: str = "full") -> tuple[DataFrame, DataFrame]:
@@ -92,7 +99,7 @@ def reduce_parts(mapped: DataFrame, sources: DataFrame, answers: Answers, level:
     title = F.to_json(F.struct(F.col("title").alias("title"), F.lit(level).alias("level")))
     joined = F.array_join(F.transform("rs", lambda r: r["reply"]), ", ")
     user = F.concat(F.regexp_replace(title, r"\}$", ""), F.lit(', "segments": ['), joined, F.lit("]}"))
-    asked = answers.ask(some.withColumn("user", user), "reduce", F.col("user"), [F.lit(level), F.col("user")], level)
+    asked = answers.ask(some.withColumn("user", user), "reduce", F.col("user"), [F.lit(level), F.col("user")], level, keep=["map_id", "title"])
     told = written(asked.withColumn("n", F.size(F.from_json("reply", "children array<string>")["children"])), "reduced")
     good = told.filter("n >= 0")
     below = unnest(good, deepest=1 if level == "brief" else None)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import prompts
 from .provider import Provider
-from .store import Log, written
+from .store import Log, among, written
 from .usage import Paces
 
 
@@ -94,11 +94,28 @@ class Answers:
         purpose = [] if self.purpose == "general" else [F.lit(f"purpose={self.purpose}")]
         return T.content_key(*named, *parts, *purpose)
 
-    def ask(self, rows: DataFrame, task: str, user: Column, parts: list[Column], level: str = "full", limit: int | None = None) -> DataFrame:
-        """rows with reply (JSON, null if the request failed) and error (null if it didn't)."""
-        keyed = written(rows.withColumns({"_key": self.key(task, *parts), "_user": user}), f"ask-{task}")
+    def ask(self, rows: DataFrame, task: str, user: Column, parts: list[Column], level: str = "full", limit: int | None = None, keep: list[str] | None = None) -> DataFrame:
+        """rows, or the columns of them to keep, with reply (JSON, null if the request failed) and error (null if it didn't)."""
+        keyed = rows.withColumns({"_key": self.key(task, *parts), "_user": user}).select(*(rows.columns if keep is None else keep), "_key", "_user")
+        keyed = written(keyed.withColumn("_id", F.monotonically_increasing_id()), f"ask-{task}")
+        fresh, others = self.fetch(keyed.select("_key", "_user", "_id"), task, level, limit)
+        keyed = keyed.drop("_user", "_id")
+        if not others:  # then all replies are fresh, and the log needn't be read
+            reply = F.when(F.try_parse_json("value").isNotNull(), F.col("value"))
+            return keyed.join(fresh.select(F.col("key").alias("_key"), reply.alias("reply"), "error"), "_key", "left").drop("_key")
         known = self.log.read().select(F.col("key").alias("_key"), F.col("value").alias("reply"))
-        wanted = keyed.select("_key", "_user").dropDuplicates(["_key"]).join(known.select("_key"), "_key", "left_anti")
+        errors = fresh.filter("error is not null").select(F.col("key").alias("_key"), "error")
+        return keyed.join(known, "_key", "left").join(errors, "_key", "left").drop("_key")
+
+    def fetch(self, keyed: DataFrame, task: str, level: str = "full", limit: int | None = None) -> tuple[DataFrame, bool]:
+        """Ask once what the log lacks of keyed (_key, _user, _id), rows of a written table; (key, value, error) of that, and whether the log had others.
+
+        Which rows are asked for is found by keys and ids alone, so requests, which are long, aren't shuffled.
+        """
+        known = self.log.keys().select(F.col("key").alias("_key"), F.lit(True).alias("_known"))
+        ids = keyed.groupBy("_key").agg(F.min("_id").alias("_id")).join(known, "_key", "left")
+        ids = written(ids.select("_id", F.coalesce("_known", F.lit(False)).alias("_known")), f"wanted-{task}")
+        wanted = among(keyed, ids.filter("not _known").select("_id"))
         fresh = written(self._complete(wanted, prompts.system(task, level, self.purpose, limit)), f"replies-{task}")
         asked, failed, refused, spacing = fresh.agg(F.count("*"), F.count("error"), F.bool_or("slowed"), F.max("spacing")).first()
         self.ledger.append((task, asked, failed))
@@ -106,9 +123,7 @@ class Answers:
             self.refused, self.pace = True, max(self.pace, spacing / (self.lanes or 1))
         if asked > failed:
             self.log.append(fresh.filter("value is not null").select("key", "value"))
-        known = self.log.read().select(F.col("key").alias("_key"), F.col("value").alias("reply"))
-        errors = fresh.filter("error is not null").select(F.col("key").alias("_key"), "error")
-        return keyed.join(known, "_key", "left").join(errors, "_key", "left").drop("_key", "_user")
+        return fresh, not ids.filter("_known").isEmpty()
 
     def _complete(self, wanted: DataFrame, system: str) -> DataFrame:
         provider, attempts, spacing = self.provider, self.attempts, self.pace * (self.lanes or 1)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import modelled, prompts, requests, trees
+from canopy.operators import modelled, prompts, requests, store, trees
 from canopy.operators.echo import EchoProvider
 from canopy.operators.store import Log
 
@@ -232,3 +232,39 @@ def test_folders_are_labelled(spark):
     assert notes[("m", ())][2] == "Root with 25" and notes[("m", (0,))][2] == "f0 with 1" and notes[("m", (3,))][2] == "f3 with 0" and notes[("m", (4,))][2] is None and failures.count() == 0
     _, failures = modelled.label_folders(nodes, wanted, made(spark, name="other", fails_on="f3"))
     assert {tuple(r.path) for r in failures.collect()} == {(), (3,)}
+
+
+def shuffled(spark):
+    """Bytes of shuffles that were written so far."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_texts_of_requests_are_not_shuffled(spark, monkeypatch):
+    def noise(i):  # text that no codec makes smaller than 32 of its 64 bytes
+        return F.concat(i.cast("string"), F.lit(" b c d e f g h i j k l "), *[F.sha2(F.concat(i.cast("string"), F.lit(f" {k}")), 256) for k in range(60)])
+
+    parts = spark.range(2000).select((F.col("id") % 400).alias("map_id"), (F.col("id") / 400).cast("int").alias("part"), noise(F.col("id") % 1900).alias("text"))  # 100 texts twice
+    parts = parts.unionByName(spark.range(10).select(F.lit(1000).cast("long").alias("map_id"), F.col("id").cast("int").alias("part"), F.concat(F.lit("long map "), "id").alias("text")))
+    before, answers = shuffled(spark), made(spark)
+    got = {(r.map_id, r.part): r.reply for r in modelled.map_parts(parts, answers).select("map_id", "part", "reply").collect()}
+    moved = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert answers.asked("map") == 1900 and answers.asked("map_batch") == 5 and all(got.values()) and len(got) == 2010
+    assert moved < 1900 * 60 * 32 / 2
+    monkeypatch.setattr(store, "MOST", 0)  # nothing counts as small
+    monkeypatch.setattr(modelled, "MOST", 0)
+    again = made(spark)
+    assert {(r.map_id, r.part): r.reply for r in modelled.map_parts(parts, again).collect()} == got and again.asked("map") == 1900
+    # A log with some of the replies: only the rest is asked, whichever side is the smaller.
+    some = made(spark, again.log)
+    more = parts.unionByName(parts.filter("map_id < 3").withColumn("text", F.concat("text", F.lit(" more"))))
+    assert modelled.map_parts(more, some).filter("reply is null").count() == 0 and some.asked("map") == 15
+    monkeypatch.undo()
+    more = more.unionByName(parts.filter("map_id = 5").withColumn("text", F.concat("text", F.lit(" more"))))
+    assert modelled.map_parts(more, some).filter("reply is null").count() == 0 and some.asked("map") == 20
+
+
+def test_known_keys_are_the_keys_that_are_read(spark):
+    log = spark.createDataFrame([("a", "1", 1), ("a", None, 2), ("b", None, 3), ("b", "2", 3), ("c", "{", 4), ("d", "1", 5), ("d", "{", 6), (None, None, 0)], "key string, value string, version long")
+    assert {r.key for r in store.known(log).collect()} == {r.key for r in store.latest(log).collect()} == {"b", "d"}
