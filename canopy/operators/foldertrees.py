@@ -30,16 +30,21 @@ def build(files: DataFrame, max_depth: int = 8, max_files: int = 20, everything:
     inside = shown.filter("depth > 0")
     order = Window.partitionBy("parent").orderBy(F.when(F.col("is_dir"), 0).otherwise(1), F.lower("name"), "name")
     counted = Window.partitionBy("parent")
-    placed = inside.withColumns({"at": F.row_number().over(order) - 1, "dirs": F.sum(F.col("is_dir").cast("int")).over(counted), "all": F.count("*").over(counted)})
+    # The places first: what sorts them serves the counts too.
+    placed = inside.withColumn("at", F.row_number().over(order) - 1)
+    placed = placed.withColumns({"dirs": F.sum(F.col("is_dir").cast("int")).over(counted), "all": F.count("*").over(counted)})
     placed = placed.withColumn("file", F.when(~F.col("is_dir"), F.col("at") - F.col("dirs")))
-    kept = placed.filter(F.col("is_dir") | (F.col("file") < max_files))
+    # One pass over all files leaves the shown ones and the first of the others, which has a folder's counts.
+    first = placed.filter(F.col("is_dir") | (F.col("file") <= max_files) | (F.col("at") == 0))
+    first = written(first.select("parent", "at", "name", "is_dir", F.when(F.col("is_dir"), F.col("path")).alias("folder"), "dirs", "all", "file"), "folder-files")
+    kept = first.filter(F.col("is_dir") | (F.col("file") < max_files))
     kind = F.when(F.col("is_dir"), "topic").when(folders.notable(F.col("name")), "definition").otherwise("detail")
-    rows = kept.select("parent", "at", F.col("name").alias("title"), kind.alias("type"), F.when(F.col("is_dir"), F.col("path")).alias("folder"))
-    rest = placed.filter(F.col("file") == max_files).select("parent", "at", F.concat(F.lit("+"), (F.col("all") - F.col("dirs") - max_files).cast("string"), F.lit(" more file(s)")).alias("title"))
+    rows = kept.select("parent", "at", F.col("name").alias("title"), kind.alias("type"), "folder")
+    rest = first.filter(F.col("file") == max_files).select("parent", "at", F.concat(F.lit("+"), (F.col("all") - F.col("dirs") - max_files).cast("string"), F.lit(" more file(s)")).alias("title"))
     cut = _below(files, max_depth, everything)
     more = rest.unionByName(cut).select("parent", "at", "title", F.lit("detail").alias("type"), F.lit(None).cast("string").alias("folder"))
     rows = written(rows.unionByName(more), "folder-rows")
-    notes = placed.filter("at = 0").select(F.col("parent").alias("folder"), F.concat(F.col("dirs").cast("string"), F.lit(" folder(s), "), (F.col("all") - F.col("dirs")).cast("string"), F.lit(" file(s)")).alias("note"))
+    notes = first.filter("at = 0").select(F.col("parent").alias("folder"), F.concat(F.col("dirs").cast("string"), F.lit(" folder(s), "), (F.col("all") - F.col("dirs")).cast("string"), F.lit(" file(s)")).alias("note"))
 
     # From the root down, a level a step: what lies in a folder is placed below it by an equi-join.
     top = files.filter("depth = 0").select(F.array().cast("array<int>").alias("path"), F.col("name").alias("title"), F.lit("root").alias("type"), F.col("path").alias("folder"))
@@ -106,6 +111,7 @@ def run(store: Store, root: str, files: DataFrame, max_depth: int = 8, max_files
     if given, gets (nodes, wanted) and gives the nodes with labels for their notes. Signatures and labels are written
     and committed last, so a run that fails while labelling leaves what was there.
     """
+    files = written(files.select(FILES), "folder-listing")  # what lists them, joins maybe, is done once
     params = json.dumps({"max_depth": max_depth, "max_files": max_files})
     marks = written(signatures(files, max_depth), "folder-signatures")
     nodes = written(build(files, max_depth, max_files, everything), "folder-nodes")
@@ -122,7 +128,7 @@ def run(store: Store, root: str, files: DataFrame, max_depth: int = 8, max_files
     wanted = nodes.filter(F.size("path") > 0).join(changed, "folder", "left_semi").select("path")
     labels = nodes.select("folder", F.lit(None).cast("string").alias("label")).limit(0) if old is None else kept.select("folder", F.col("_label").alias("label"))
     if label is not None:
-        plain = nodes.select("path", F.col("note").alias("_was"))
+        plain = nodes.filter("folder is not null").select("path", F.col("note").alias("_was"))
         nodes = written(label(nodes, wanted), "folder-labelled")
         fresh = nodes.join(plain, "path").filter("folder is not null and note is not null and not note <=> _was").select("folder", F.col("note").alias("label"))
         labels = labels.join(fresh.select("folder"), "folder", "left_anti").unionByName(fresh)

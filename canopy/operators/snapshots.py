@@ -35,14 +35,15 @@ def signature(rows: Column) -> Column:
 def merkle(files: DataFrame) -> DataFrame:
     """(path, signature) of each folder of files (path, parent, name, is_dir, size, mtime, depth), from the leaves up.
 
-    A round for each depth, deepest first; depth is bounded by the folder cap, and a round's rows are folders only. Each
-    round is written, so that none is made again for what is above it.
+    A round for each depth, deepest first; depth is bounded by the folder cap, and a round's rows are folders only. What
+    lies right in a folder is collected before, and each round is written, so that none is made again for what is above it.
     """
     name = lambda *parts: F.concat_ws(":", *parts)
     leaves = files.filter(~F.col("is_dir")).select("parent", name(F.lit("f"), "name", F.col("size").cast("string"), F.col("mtime").cast("string")).alias("line"))
     by_parent = leaves.groupBy("parent").agg(F.collect_list("line").alias("own"))
     folders = files.filter("is_dir").select("path", "parent", "name", "depth").join(by_parent.withColumnRenamed("parent", "path"), "path", "left")
-    deepest = files.filter("is_dir").agg(F.max("depth")).first()[0]
+    folders = written(folders, "merkle-files")  # so that files are collected once, not in every round
+    deepest = folders.agg(F.max("depth")).first()[0]
     done, below = None, None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         level = folders.filter(F.col("depth") == depth)

@@ -269,3 +269,22 @@ def test_routes_single_nodes_and_first_items(spark):
     nodes = spark.createDataFrame([("m", [0], "x"), ("m", [0, 1], "y"), ("n", [0, 1], "z")], "map_id string, path array<int>, title string")
     assert [r.title for r in structuring.node_at(nodes, "m", [0, 1]).collect()] == ["y"] and structuring.node_at(nodes, "m", [7]).count() == 0
     assert [r.title for r in snapshots.first_items(nodes, 2, "title").collect()] == ["x", "y"]
+
+
+def test_a_listing_is_made_once_a_run(spark):
+    from canopy.operators import foldertrees, snapshots
+
+    made = spark.sparkContext.accumulator(0)
+    rows = listing(spark, {"/a/x": 1, "/a/in/y": 1, "/b/z": 1})
+    n = rows.count()
+
+    def told(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(told, rows.schema)
+    foldertrees.run(store.Store(spark), "r", counted)
+    assert made.value == n
+    made.value = 0
+    assert snapshots.merkle(counted).count() == 4 and made.value == 2 * n  # folders and files are read once each, whatever the depth
