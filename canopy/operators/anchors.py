@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import trees
+from .store import MOST, written
 
 
 def anchors(sources: DataFrame, key: str = "map_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +23,8 @@ def anchors(sources: DataFrame, key: str = "map_id", text_col: str = "text") ->
 
 def missing(sources: DataFrame, nodes: DataFrame, most: int = 8, text_col: str = "text") -> DataFrame:
     """(map_id, rank, anchor) of a source's anchors that its map lacks: numbers by key, terms by substring; most a map."""
-    found = anchors(sources, "map_id", text_col)
+    found = written(anchors(sources, "map_id", text_col), "anchors")
+    nodes = _of(nodes, found)
     text = F.concat_ws(" ", "title", "note")
     numbers = nodes.select("map_id", F.explode(F.transform(T.number_anchors(text), T.number_key)).alias("norm")).distinct()
     lost = found.filter("kind = 0").join(numbers, ["map_id", "norm"], "left_anti")
@@ -34,13 +36,20 @@ def missing(sources: DataFrame, nodes: DataFrame, most: int = 8, text_col: str =
     return every.filter(F.col("rank") <= most).select("map_id", "rank", "anchor")
 
 
+def _of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The nodes of the maps that rows (map_id) name, where those are few; else all, for picking them would move all."""
+    maps = written(rows.select("map_id").distinct(), "maps")
+    return nodes.join(F.broadcast(maps), "map_id", "left_semi") if maps.count() <= MOST else nodes
+
+
 def repair(nodes: DataFrame, repairs: DataFrame) -> DataFrame:
     """nodes with new leaves from repairs (map_id, seq, to, title, type), to being a node's number in the walk, the root left out.
 
     Repairs of one node come after its children, in the order of seq; a number that no node has and an empty title are
     passed over, an unknown type is topic. Other columns of nodes are null in the new ones.
     """
-    placed = trees.walk(nodes).filter("position > 0").select("map_id", (F.col("position") - 1).alias("to"), F.col("path").alias("parent"))
     told = T.strip(F.coalesce("title", F.lit("")))
-    good = repairs.select("map_id", "seq", "to", told.alias("title"), T.node_type(F.col("type")).alias("type")).filter("title <> ''")
-    return trees.insert(nodes, good.join(placed, ["map_id", "to"]).select("map_id", "parent", "seq", "title", "type"))
+    good = written(repairs.select("map_id", "seq", "to", told.alias("title"), T.node_type(F.col("type")).alias("type")).filter("title <> ''"), "repairs")
+    mine = _of(nodes, good)
+    placed = trees.walk(mine).filter("position > 0").select("map_id", (F.col("position") - 1).alias("to"), F.col("path").alias("parent"))
+    return trees.insert(nodes, good.join(placed, ["map_id", "to"]).select("map_id", "parent", "seq", "title", "type"), mine)

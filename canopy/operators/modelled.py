@@ -205,10 +205,12 @@ def repair_anchors(nodes: DataFrame, texts: DataFrame, answers: Answers, level:
 
     Nothing is asked of a map that lacks none, nor at level brief.
     """
-    lost = anchors.missing(texts, nodes).groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("rank", "anchor"))).alias("a"))
     if level == "brief":
-        return nodes, lost.select("map_id", F.lit("").alias("error")).limit(0)
-    rows = _listing(nodes).join(lost, "map_id")
+        return nodes, nodes.select("map_id", F.lit("").alias("error")).limit(0)
+    nodes = written(nodes, "anchor-nodes")  # what makes them may be long, and they are read at each step
+    lost = anchors.missing(texts, nodes).groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("rank", "anchor"))).alias("a"))
+    lost = written(lost, "anchors-lost")
+    rows = _listing(nodes.join(lost, "map_id", "left_semi")).join(lost, "map_id")
     user = F.to_json(F.struct(F.col("listing").alias("nodes"), F.transform("a", lambda x: x["anchor"]).alias("candidates")))
     asked = answers.ask(rows.select("map_id", user.alias("user")), "anchors", F.col("user"), [F.lit(level), F.col("user")], level)
     told = asked.select("map_id", F.posexplode(F.from_json("reply", "repairs array<string>")["repairs"]).alias("seq", "r")).filter(F.col("r").startswith("{"))

@@ -268,3 +268,25 @@ def test_texts_of_requests_are_not_shuffled(spark, monkeypatch):
 def test_known_keys_are_the_keys_that_are_read(spark):
     log = spark.createDataFrame([("a", "1", 1), ("a", None, 2), ("b", None, 3), ("b", "2", 3), ("c", "{", 4), ("d", "1", 5), ("d", "{", 6), (None, None, 0)], "key string, value string, version long")
     assert {r.key for r in store.known(log).collect()} == {r.key for r in store.latest(log).collect()} == {"b", "d"}
+
+
+def test_maps_are_made_once_for_their_anchors(spark, monkeypatch):
+    from canopy.operators import anchors
+
+    rows = [("m", [], "Root", "root"), ("m", [0], "A", "topic"), ("m", [0, 0], "old", "detail"), ("n", [], "Other", "root"), ("n", [0], "Ann Lee", "topic")]
+    plain = spark.createDataFrame(rows, "map_id string, path array<int>, title string, type string").withColumns({"note": F.lit(None).cast("string"), "timestamp": F.lit(None).cast("double")})
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made_rows.add(batch.num_rows)
+            yield batch
+
+    nodes = plain.mapInArrow(counted, plain.schema)
+    texts = spark.createDataFrame([("m", "It grew by 2048 units in 1999."), ("n", "Nothing here."), ("x", None)], "map_id string, text string")
+    out, failures = modelled.repair_anchors(nodes, texts, made(spark))
+    got = told(out)
+    assert failures.count() == 0 and made_rows.value == len(rows)
+    assert {k: v for k, v in got.items() if v[0] in ("2048", "1999")} and len(got) == 7 and {k[0] for k in got} == {"m", "n"}
+    monkeypatch.setattr(anchors, "MOST", 0)  # too many maps to pick them
+    assert told(modelled.repair_anchors(plain, texts, made(spark))[0]) == got
