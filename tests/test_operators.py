@@ -238,3 +238,94 @@ def test_outlines_of_a_large_file_are_read_without_their_tree():
     for broken in (b"<opml><body/></opml>", b"<opml><outline/></opml>", raw[:-9], b""):
         with pytest.raises(Exception):
             list(mapfiles.opml_rows(broken))
+
+
+def _long_xmind(more: str = "") -> bytes:
+    """A file of 100,001 topics in 60 MB of content, its root's own values after its children, two links, and a second sheet."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("content.json", "w") as stream:
+        stream.write(b'[{"rootTopic": {"children": {"detached": [{"title": "no"}], "attached": [')
+        for i in range(0, 100_000, 1000):
+            topics = (f'{{"id": "t{j}", "title": "node {j}", "notes": {{"plain": {{"content": "{"note " * 110}"}}}}, "children": {{"attached": []}}}}' for j in range(i, i + 1000))
+            stream.write(((", " if i else "") + ", ".join(topics)).encode())
+        stream.write(b']}, "id": "r", "title": "R", "href": "https://a.org"}, "relationships": [{"end1Id": "t99999", "end2Id": "r", "title": "up"}, {"end1Id": "t0"}, {"end1Id": "t0", "end2Id": "t1"}],')
+        stream.write(f'"title": "Long"}}, {{"rootTopic": {{"title": "second"}}}}, {{}}]{more}'.encode())
+    return out.getvalue()
+
+
+def test_long_content_of_a_map_file_is_read_in_pieces(spark):
+    import tracemalloc
+
+    from canopy.operators import merging
+
+    raw = _long_xmind()
+    tracemalloc.start()
+    n = sum(1 for _ in mapfiles.xmind_rows(raw))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_001 and peak < 20_000_000
+    opml = b'<opml><head><title>Head</title></head><body><outline text="one"/></body></opml>'
+    files = spark.createDataFrame([("a.xmind", raw, 0), ("b.opml", opml, 1)], "path string, content binary, ordinal int")
+    tree, _, _ = merging.merge_files(files)
+    assert tree.count() == 100_003 and tree.filter("title = 'node 99999'").first().path == [0, 99_999]
+    assert [r.title for r in tree.filter("size(path) = 1").orderBy("path").collect()] == ["Long", "Head"]
+    assert mapfiles.heads(files).filter("map_id = 'a.xmind'").first().source == "https://a.org"
+
+
+def test_json_is_read_alike_in_pieces_of_any_size(monkeypatch):
+    import io
+    import json
+    import zipfile
+
+    rows = [{"path": p, "title": f"n{p} \"é\" ]}}", "type": "root" if not p else "action", "note": "a\nb" if len(p) == 2 else None} for p in ([], [0], [0, 0], [0, 1], [0, 1, 0], [2], [2, 4])]
+    raw = mapfiles.to_xmind(rows, [{"from_path": [0], "to_path": [2, 4], "label": "see"}], "https://a.org")
+    want = [(r["title"], r["type"], r["note"]) for r in rows]
+    content = zipfile.ZipFile(io.BytesIO(raw)).read("content.json")
+
+    def filed(made: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("content.json", made)
+        return out.getvalue()
+
+    for piece in (4, 30, 1 << 16):
+        monkeypatch.setattr(mapfiles, "PIECE", piece)
+        for made in (content, json.dumps(json.loads(content), indent=40).encode("utf-16"), b"\xef\xbb\xbf" + content):
+            assert sorted(((r[2], r[3], r[4]) for r in mapfiles.xmind_rows(filed(made))), key=str) == sorted(want, key=str)
+            assert sorted(r[0] for r in mapfiles.xmind_rows(filed(made))) == [[], [0], [0, 0], [0, 1], [0, 1, 0], [1], [1, 0]]
+            assert mapfiles.map_head("x.xmind", filed(made)) == (rows[0]["title"], "https://a.org") and len(mapfiles.xmind_links(filed(made))) == 1
+        for broken in (content[:-1], content + b"x", content.replace(b", ", b" ", 1), content.replace(b'{"attached"', b'{attached', 1), b"[]", b"{}", b"", b"[{}]", b'[{"rootTopic": null}]'):
+            with pytest.raises(Exception):
+                list(mapfiles.xmind_rows(filed(broken)))
+
+
+def test_maps_are_written_node_by_node(spark):
+    import tracemalloc
+
+    for made in (mapfiles._Opml(), mapfiles._Xmind()):
+        tracemalloc.start()
+        made.add((), None, "R", "root", None)
+        for i in range(100_000):
+            made.add((i,), None, "node", "detail", None)
+        raw = made.close()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4_000_000 + 2.2 * len(raw)
+    nodes = spark.range(30_000).selectExpr("id % 3 map_id", "if(id < 3, array(), array(cast(id as int))) path", "concat('t', id) title", "if(id < 3, 'root', 'topic') type", "cast(null as string) note")
+    nodes = nodes.repartition(7, "title")
+    links = spark.createDataFrame([(1, 0, [4], [7], "x"), (1, 1, [4], [5], "lost"), (2, 0, [5], [], None)], "map_id long, seq int, a_path array<int>, b_path array<int>, label string")
+    for form in ("opml", "xmind"):
+        files = mapfiles.render(nodes, form, links, spark.createDataFrame([(2, "https://b.org"), (9, "none")], "map_id long, source string"))
+        raw = {r.map_id: bytes(r.content) for r in files.collect()}
+        assert sorted(raw) == [0, 1, 2]
+        for m, content in raw.items():
+            rows = mapfiles.opml_rows(content) if form == "opml" else mapfiles.xmind_rows(content)
+            assert sorted((p, t) for p, _, t, _, _ in rows) == [([], f"t{m}")] + [([i], f"t{3 * (i + 1) + m}") for i in range(9_999)]
+    assert [mapfiles.xmind_links(raw[m]) for m in range(3)] == [[], [("n4", "n7", "x")], [("n5", "n", "")]]
+    assert mapfiles.map_head("x.xmind", raw[2])[1] == "https://b.org"
+    # A node whose parent is missing was left out of XMind without a word.
+    with pytest.raises(ValueError, match="no parent"):
+        mapfiles.to_xmind([{"path": p, "title": "t", "type": "topic", "note": None} for p in ([], [0, 0])])
