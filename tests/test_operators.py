@@ -329,3 +329,13 @@ def test_maps_are_written_node_by_node(spark):
     # A node whose parent is missing was left out of XMind without a word.
     with pytest.raises(ValueError, match="no parent"):
         mapfiles.to_xmind([{"path": p, "title": "t", "type": "topic", "note": None} for p in ([], [0, 0])])
+
+
+def test_links_of_long_content_are_merged(spark):
+    from canopy.operators import merging
+
+    opml = b'<opml><body><outline text="one"/></body></opml>'
+    files = spark.createDataFrame([("b.opml", opml, 0), ("a.xmind", _long_xmind(), 1)], "path string, content binary, ordinal int")
+    _, links, lost = merging.merge_files(files)
+    assert sorted((r.seq - (1 << 32), r.a_path, r.b_path, r.label) for r in links.collect()) == [(0, [1, 99_999], [1], "up"), (1, [1, 0], [1, 1], "")]
+    assert lost.count() == 0
