@@ -339,3 +339,25 @@ def test_links_of_long_content_are_merged(spark):
     _, links, lost = merging.merge_files(files)
     assert sorted((r.seq - (1 << 32), r.a_path, r.b_path, r.label) for r in links.collect()) == [(0, [1, 99_999], [1], "up"), (1, [1, 0], [1, 1], "")]
     assert lost.count() == 0
+
+
+def test_files_that_cannot_be_searched_are_told(spark, monkeypatch):
+    from canopy.operators import merging
+    from canopy.plans import files as queries
+
+    raw, title = _long_xmind(), "node 9999"
+    files = spark.createDataFrame([("a.xmind", raw), ("cut.xmind", _long_xmind("{")), ("c.opml", b"<opml>"), ("e.txt", b""), ("d.opml", b'<opml><body><outline text="R"/></body></opml>')], "path string, content binary")
+    want = [("a.xmind", [0, 9_999], title), ("a.xmind", [0, 99_990], f"{title}0"), ("a.xmind", [0, 99_991], f"{title}1")]
+    assert [(r.map_id, r.path, r.title) for r in merging.lenient_search(files, title, 3).orderBy("path").collect()] == want
+    found, failed = merging.search(files, title, 3)
+    assert [(r.map_id, r.path, r.title) for r in found.orderBy("path").collect()] == want
+    assert sorted(r.map_id for r in failed.filter("length(error) > 10").collect()) == ["c.opml", "cut.xmind", "e.txt"]
+    assert [(r.map_id, r.title) for r in merging.search(files.filter("path = 'a.xmind'"), "SECOND")[0].collect()] == [("a.xmind", "second")]
+    with pytest.raises(ValueError):
+        merging.search(files, "")
+    # The query's files were written by itself: one that can't be read is an error, not a file without a hit.
+    monkeypatch.setattr(queries, "_files", lambda *_: files.withColumn("ordinal", F.lit(0)))
+    with pytest.raises(ValueError, match="cut.xmind"):
+        queries.search_files(spark, "")
+    monkeypatch.setattr(queries, "_files", lambda *_: files.filter("path in ('a.xmind', 'd.opml')").withColumn("ordinal", F.lit(0)))
+    assert queries.search_files(spark, "").count() == 10
